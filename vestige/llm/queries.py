@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vestige.llm import packing, token_files
+from vestige.llm import bpe, fingerprints, language_id, near_dup, packing, token_files
 from vestige.llm.shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,16 +21,32 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), END_ID, 1024)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(documents(spark, sf_dir))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), ~language_id.held_out(4, 2))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), END_ID)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op10_token_files)}
+    return {f.__name__: f for f in (op2_bpe, op3_best_fit_packing, op6_fingerprints, op7_near_dup, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
