@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vestige.llm import bpe, fingerprints, language_id, near_dup, packing, token_files
-from vestige.llm.shared import documents
+from vestige.llm import bpe, fingerprints, language_id, line_dedup, near_dup, oracle, packing, quality_rules, token_files
+from vestige.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -37,6 +42,11 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir), 20, 3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir), ~language_id.held_out(4, 2))
 
@@ -46,8 +56,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_bpe, op3_best_fit_packing, op6_fingerprints, op7_near_dup, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op6_fingerprints, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": oracle.OP8}
