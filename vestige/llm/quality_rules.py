@@ -58,6 +58,8 @@ def with_counts(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         grams.alias("grams"),
+        # A value that isn't deterministic: filters on the counts stay above this step, where each text is split once.
+        F.monotonically_increasing_id().alias("row"),
     )
     return counted.withColumn("n_repeat_words", repeated_words(F.col("grams"))).select(
         "doc_id",
@@ -71,6 +73,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_capitals"),
         F.length(F.regexp_replace("text", "[^!]+", "")).cast("long").alias("n_exclamations"),
         F.length(F.regexp_replace("text", "[^0-9]+", "")).cast("long").alias("n_digits"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -211,9 +214,9 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
     texts = own_columns(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     # The label rides on the id, so that the statistics stay those of the text alone.
     labelled = texts.select(F.struct("doc_id", "quality").alias("doc_id"), "text")
-    sample = with_statistics(with_counts(labelled)).where(~base_failed())
-    sample = sample.select((F.col("doc_id.quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id.doc_id", F.lit("grow")), F.lit(3)) > 0).alias("grow"), *STATISTICS)
-    return learn(stash(sample, "quality-sample"))
+    sample = with_statistics(with_counts(labelled)).withColumn("failed", base_failed())
+    sample = sample.select((F.col("doc_id.quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id.doc_id", F.lit("grow")), F.lit(3)) > 0).alias("grow"), "failed", *STATISTICS)
+    return learn(stash(sample, "quality-sample").where("not failed"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -222,3 +225,4 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = with_statistics(with_counts(own_columns(docs, "doc_id", "text").withColumn("text", whole_text())))
     judged = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
