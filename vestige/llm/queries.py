@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestige.llm import bpe, fingerprints, language_id, line_dedup, near_dup, oracle, packing, quality_rules, token_files, toxicity
+from vestige.llm import bpe, fingerprints, language_id, line_dedup, near_dup, oracle, packing, pii, quality_rules, token_files, toxicity
 from vestige.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), END_ID, 1024)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_table(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = language_id.held_out(5, 0)
     return toxicity.score_texts(documents(spark, sf_dir), labels(spark, sf_dir), ~held_out, held_out)
@@ -61,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op5_toxicity, op6_fingerprints, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op4_pii, op5_toxicity, op6_fingerprints, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
