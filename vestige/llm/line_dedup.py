@@ -126,10 +126,10 @@ def dropped_keys(keys: DataFrame, frequent: DataFrame) -> DataFrame:
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 20, least_docs: int = 3, batches: int = 3) -> DataFrame:
-    """doc_id, text (without the dropped lines), n_lines, n_dropped of every row."""
+def dedup_lines(docs: DataFrame, least: int = 20, least_docs: int = 3, batches: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (without the dropped lines), n_lines, n_dropped of every row, and the columns of ``carry``."""
     spark = docs.sparkSession
-    own = own_columns(docs, "doc_id", "text").withColumn("text", whole_text())
+    own = own_columns(docs, "doc_id", "text", *carry).withColumn("text", whole_text())
     keys = stash(document_keys(own, least), "line-keys")
     shares = [i / batches for i in range(1, batches)]
     cuts = sorted(set(keys.agg(F.percentile_approx("doc_id", shares).alias("cuts")).first()["cuts"] or []))
@@ -145,9 +145,10 @@ def dedup_lines(docs: DataFrame, least: int = 20, least_docs: int = 3, batches:
     lost = dropped_keys(keys, runs.frequent(least_docs))
     joined = own.withColumn("key_id", F.coalesce("doc_id", F.lit(NO_ID))).join(lost.withColumnRenamed("doc_id", "key_id"), "key_id", "left")
     n_lines = F.size(lines_of(F.col("text"))).cast("long")
-    kept = joined.select("doc_id", "text", n_lines.alias("n_lines"), "dropped", F.when(F.col("dropped").isNull(), F.lit(None)).otherwise(F.filter(lines_of(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("dropped"), key_hash(x, least)), F.lit(False)))).alias("kept"))
+    kept = joined.select("doc_id", "text", *carry, n_lines.alias("n_lines"), "dropped", F.when(F.col("dropped").isNull(), F.lit(None)).otherwise(F.filter(lines_of(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("dropped"), key_hash(x, least)), F.lit(False)))).alias("kept"))
     return kept.select(
         "doc_id",
+        *carry,
         F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
         "n_lines",
         F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),

@@ -193,9 +193,9 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id, text (spans replaced by tags) of every row of ``docs``."""
-    own = own_columns(docs, "doc_id", "text").withColumn("text", whole_text()).withColumn("doc_hash", F.xxhash64("text", F.lit(11)))
+def sanitise(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text (spans replaced by tags) of every row of ``docs``, and the columns of ``carry``."""
+    own = own_columns(docs, "doc_id", "text", *carry).withColumn("text", whole_text()).withColumn("doc_hash", F.xxhash64("text", F.lit(11)))
     found = find(docs).where((F.size("spans") > 0) | (F.size("term_spans") > 0))
     by_text = found.groupBy("doc_hash").agg(F.first(F.concat("spans", "term_spans")).alias("spans"))
-    return own.join(by_text, "doc_hash", "left").select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans"))).alias("text"))
+    return own.join(by_text, "doc_hash", "left").select("doc_id", *carry, F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans"))).alias("text"))

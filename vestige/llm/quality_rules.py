@@ -226,3 +226,14 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns."""
+    rules = learn_rules(docs, labels)
+    # The whole row rides on the id.
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    at = [c.lower() for c in names].index("text")
+    rows = plain.select(F.struct(*plain.columns).alias("doc_id"), F.coalesce(f"_{at}", F.lit("")).alias("text"))
+    judged = with_statistics(with_counts(rows)).withColumn("kept", ~base_failed() & verdict(rules))
+    return judged.where(F.col("kept") & (F.col("row") >= 0)).select("doc_id.*").toDF(*names)
