@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 32
 
 
 def full_paths(entries: DataFrame, volume: list[str], entry: str, parent: str, name: str, root: Column, follows: Column | None = None, separator: str = "\\") -> DataFrame:
     """``entries`` with ``path`` and ``state``: root, missing (a parent isn't there), invalid (cycle or bad edge).
 
     ``root``: which entries end a path. ``follows``: which edges may be
-    followed (a sequence number may say that the parent was reused).
+    followed (a sequence number may say that the parent was reused). States
+    come first, so that names are joined only where a path ends.
     """
     spark = entries.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -27,18 +27,27 @@ def full_paths(entries: DataFrame, volume: list[str], entry: str, parent: str, n
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vestige-"))
     good = follows if follows is not None else F.lit(True)
     state = F.when(root, "root").when(~F.coalesce(good, F.lit(False)), "invalid").when(F.col(parent).isNull(), "missing").otherwise("open")
-    now = entries.select(*volume, F.col(entry).alias("e"), F.col(parent).alias("up"), F.col(name).cast("string").alias("path"), state.alias("state")).checkpoint()
-    for _ in range(MOST_ROUNDS):
-        above = now.select(*volume, F.col("e").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("state").alias("above_state"))
+    edges = entries.select(*volume, F.col(entry).alias("e"), F.col(parent).alias("up"), F.col(name).cast("string").alias("path"), state.alias("state")).checkpoint()
+    most = edges.groupBy(*volume).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rounds = most.bit_length() + 1  # after so many doublings an open entry can only be in or under a cycle
+    ends = _doubled(edges.withColumn("path", F.lit("")), volume, "", rounds)
+    ends = ends.select(*volume, "e", F.when(F.col("state") == "open", "invalid").otherwise(F.col("state")).alias("end_state"))
+    ended = ends.where("end_state <> 'invalid'")
+    paths = _doubled(edges.join(ended.select(*volume, "e"), [*volume, "e"]), volume, separator, rounds)
+    return ends.join(paths.select(*volume, "e", "path"), [*volume, "e"], "left").select(*volume, F.col("e").alias(entry), "path", F.col("end_state").alias("state"))
+
+
+def _doubled(now: DataFrame, volume: list[str], separator: str, rounds: int) -> DataFrame:
+    for _ in range(rounds):
         open_now = now.where("state = 'open'")
         if open_now.isEmpty():
             break
+        above = now.select(*volume, F.col("e").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("state").alias("above_state"))
         # An ancestor that isn't there ends the path; else its path goes before, and its state is taken over.
         stepped = open_now.join(above, [*volume, "up"], "left").select(
             *volume, "e", F.when(F.col("above_state") == "open", F.col("next")).alias("up"),
             F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", F.lit(separator), "path")).alias("path"),
             F.coalesce("above_state", F.lit("missing")).alias("state"),
         )
-        now = now.where("state <> 'open'").unionByName(stepped).checkpoint()
-    cyclic = F.col("state").isin("open", "invalid")
-    return now.select(*volume, F.col("e").alias(entry), F.when(cyclic, F.lit(None)).otherwise(F.col("path")).alias("path"), F.when(cyclic, "invalid").otherwise(F.col("state")).alias("state"))
+        now = now.where("state <> 'open'").unionByName(stepped.select(*now.columns)).checkpoint()
+    return now
