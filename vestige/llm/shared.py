@@ -39,9 +39,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _stashes.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of this driver's stashes.
+_stashes: list[str] = []
+
+
+def stashes() -> list[str]:
+    return list(_stashes)
+
+
+def drop_stashes(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stashes that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _stashes.remove(path)
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
