@@ -42,6 +42,8 @@ TAGS = {kind: f"<{kind.upper()}>" for kind in KINDS}
 LETTERS = r"[^\p{L}]+"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 SIEVE = 1 << 16
+#: Terms up to which the exact terms are broadcast.
+MOST_BROADCAST = 50_000
 
 
 def luhn(match: Column) -> Column:
@@ -134,15 +136,24 @@ def disclosing_terms(base: DataFrame, docs: DataFrame) -> DataFrame | None:
     often = counted.groupBy("entity").agg(F.count("*").alias("lines"), F.sum("n").alias("n_entity")).where(F.col("lines") >= LEAST_LINES)
     terms = F.array_distinct(F.filter(F.split(F.lower("line"), LETTERS), lambda w: F.length(w) > 1))
     together = counted.join(often.select("entity", "n_entity"), "entity").select("entity", "n_entity", "n", F.explode(terms).alias("term"))
-    likely = stash(together.groupBy("entity", "term").agg(F.count("*").alias("lines"), F.sum("n").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("lines") >= LEAST_LINES), "pii-likely")
+    both = together.groupBy("entity", "term").agg(F.count("*").alias("lines"), F.sum("n").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("lines") >= LEAST_LINES)
+    # A term is in at least as many lines as documents have it beside any entity: that alone rules out common words.
+    beside = F.array_distinct(F.flatten(F.transform("entities", lambda e: F.split(F.lower(e["line"]), LETTERS))))
+    least = base.where(F.size("entities") > 0).select(F.explode(beside).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    likely = stash(both.join(least, "term").where(F.col("n_both") >= LEAST_CHANCE * F.col("least")).drop("least"), "pii-likely")
     if likely.isEmpty():
         return None
-    # How many lines of the corpus hold each such term. A table of at most 2^16 hash values keeps most other words out.
+    # How many lines of the corpus hold each such term. Few terms are broadcast; of many, a table of at most 2^16 hash values
+    # keeps most other words out.
     wanted = likely.select("term").distinct()
-    sieve = F.pmod(F.xxhash64("term"), F.lit(SIEVE))
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode(F.array_distinct(F.split(F.lower("line"), LETTERS))).alias("term")).withColumn("sieve", sieve)
-    words = words.join(F.broadcast(wanted.select(sieve.alias("sieve")).distinct()), "sieve", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    words = lines.select(F.explode(F.array_distinct(F.split(F.lower("line"), LETTERS))).alias("term"))
+    if wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    else:
+        sieve = F.pmod(F.xxhash64("term"), F.lit(SIEVE))
+        words = words.withColumn("sieve", sieve).join(F.broadcast(wanted.select(sieve.alias("sieve")).distinct()), "sieve", "left_semi")
+    words = words.groupBy("term").agg(F.count("*").alias("n_term"))
     n_lines = docs.select(F.sum(F.size(F.split("text", "\n")))).first()[0]
     chance = F.col("n_both") / F.col("n_term")
     bits = F.log2(chance * F.lit(float(n_lines)) / F.col("n_entity"))
