@@ -222,7 +222,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame) -> list[list[Condition]]:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept of every row of ``docs``."""
     rules = learn_rules(docs, labels)
-    rows = with_statistics(with_counts(own_columns(docs, "doc_id", "text").withColumn("text", whole_text())))
+    # Written once: a filter that a caller puts on the verdicts never reaches the texts.
+    rows = with_statistics(stash(with_counts(own_columns(docs, "doc_id", "text").withColumn("text", whole_text())), "quality-counts"))
     judged = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
