@@ -19,15 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vestige.llm.shared import map_batches, own_columns, whole_text
 from vestige.llm.shingles import groups
 
 ORDER = 3
-#: The bound of the training sample: texts of each language, chosen by a hash of the id.
+#: The bound of the training sample: texts of each language, about so many, chosen by a hash of the id.
 TRAINING_TEXTS = 2000
+#: Languages up to which their sizes are broadcast.
+MOST_LANGUAGES = 10_000
 #: Contexts of three bytes seen less often than this are left out of a tree.
 LEAST_SEEN = 10
 PAD = b"\n" * ORDER
@@ -151,9 +152,13 @@ def code_lengths(chain: list[np.ndarray]) -> np.ndarray:
 def train(docs: DataFrame, learn: Column) -> Trees | None:
     """Trees of all values of ``lang``, from at most ``TRAINING_TEXTS`` texts of each."""
     rows = own_columns(docs, "doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRAINING_TEXTS).select("doc_id", F.col("lang").alias("own"))
-    sample = rows.join(F.broadcast(chosen), "doc_id").where("lang = own").select("lang", "text")
+    # A share of each language's rows by a hash of the id: no ranking, so no task holds a language.
+    share = F.lit(float(TRAINING_TEXTS)) / F.col("n")
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    if sizes.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
+        sizes = F.broadcast(sizes)
+    sample = rows.join(sizes, "lang").where(draw < share).select("lang", "text")
     table = count_grams(sample).toPandas()  # of a bounded sample
     if not len(table):
         return None
