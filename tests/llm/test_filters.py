@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import duckdb
@@ -151,6 +152,24 @@ def test_classes(spark, sf_dir, empty):
     assert near_dup.classes(empty).count() == 0
 
 
+def test_links_inside_crowded_buckets(spark):
+    # Texts some 0.7 alike that meet in buckets of more than 64; few pairs are 0.8 alike.
+    draw, base, rows = random.Random(4), [f"w{i}" for i in range(200)], []
+    for k in range(400):
+        words = list(base)
+        for at in draw.sample(range(200), 4):
+            words[at] = f"x{k}at{at}"
+        rows.append((k, " ".join(words)))
+    sets = [set(shingles(t)) for _, t in rows]
+    links = [(a, b) for a in range(400) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = list(range(400))
+    for _ in rows:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(table(spark, rows)).collect()}
+    assert len(set(want)) == 389 and got == dict(enumerate(want))
+
+
 def test_repeated_rows_and_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = table(spark, [(1, text), (1, text), (2, text), (None, text), (None, None)])

@@ -11,10 +11,12 @@ Texts of one weighted shingle set (exact copies above all) are one *profile*,
 known by its least id. Bands of registers are joined in Spark in rounds: each
 bucket's profiles with the least one of the bucket, for a few bands, which
 settles nearly all of a large group; the same for the other bands, where the
-two are still apart; last, only in buckets that still hold several classes,
-profiles of different classes with each other (in large buckets those that
-agree in a longer run of registers). Every candidate is verified on its
-whole texts. Classes are connected components, found by label propagation
+two are still apart; then, in large buckets that still hold several
+classes, profiles with some further pivots of the bucket; last, in every bucket
+that still holds several classes, all profiles of different classes with each
+other that weren't compared before. So two profiles that share a bucket are
+compared unless other links put them into one class. Every candidate is
+verified on its whole texts. Classes are connected components, found by label propagation
 in Spark.
 
 Likeness of two texts is the greater of probability Jaccard (counts) and plain
@@ -41,8 +43,12 @@ REGISTERS = 192
 BAND = 6
 #: Bands of the first round.
 FIRST_BANDS = 4
-#: Buckets of more profiles than this join on a run of three bands in the last round.
+#: Buckets of more profiles than this are compared with further pivots before the last round.
 LARGE = 64
+#: Further pivots of a large bucket.
+PIVOTS = 16
+#: Profiles of a bucket that the last round joins with the bucket in one piece.
+DEALT = 512
 #: Partners of one profile that are verified in one piece.
 PIECE = 500
 
@@ -82,16 +88,13 @@ def signatures(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, tex
 
 
 def band_keys(holder: np.ndarray) -> np.ndarray:
-    """Two keys a band and text: of the band's registers, and of those of three bands from it on."""
+    """A key for each band and text, of the band's registers."""
     bands = holder.shape[1] // BAND
     with np.errstate(over="ignore"):
         salt = spread(np.arange(1, holder.shape[1] + 1, dtype=np.uint64))
         terms = spread(holder ^ salt)
         one = terms.reshape(len(holder), bands, BAND).sum(axis=2, dtype=np.uint64)
-        short = spread(one + spread(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 40)))
-        run = one + np.roll(one, -1, axis=1) * np.uint64(3) + np.roll(one, -2, axis=1) * np.uint64(5)
-        long = spread(run + spread(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 41)))
-    return np.stack([short, long], axis=2).view(np.int64)
+        return spread(one + spread(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 40))).view(np.int64)
 
 
 PROFILES = "doc_id long, p1 long, p2 long, n_shingles long, bands binary"
@@ -124,17 +127,17 @@ def profiles(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def banded(representatives: DataFrame) -> DataFrame:
-    """(band, key, long_key, node): a row for each band of each profile."""
+    """(band, key, node): a row for each band of each profile."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, 2)
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
             bands = len(keys) // max(1, len(batch))
             nodes = np.repeat(batch.column(0).to_numpy(), bands)
             number = np.tile(np.arange(bands, dtype=np.int16), len(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(nodes)], names=["band", "key", "long_key", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(keys), pa.array(nodes)], names=["band", "key", "node"])
 
-    return map_batches(representatives.select("node", "bands"), work, "band short, key long, long_key long, node long")
+    return map_batches(representatives.select("node", "bands"), work, "band short, key long, node long")
 
 
 def likenesses(one: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +237,13 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFr
     return rows.join(named, node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, n, label) of the buckets whose profiles are of several classes."""
+    named = labelled(live.select("key", "node", "n"), labels, "node", "label")
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    return stash(named.join(several, "key"), "mixed")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id, class_id (the class's least id), profile_id, n_shingles of every row of ``docs``."""
     alike = F.greatest("jaccard", "probability_jaccard") >= threshold
@@ -247,30 +257,37 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame
     live = stash(rows.join(buckets, "key"), "buckets")
     texts = own_columns(docs, "doc_id", "text").where("doc_id is not null").withColumn("text", whole_text())
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return stash(verify_pairs(pairs.distinct(), texts, size).where(alike).select("a", "b"), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        return stash(verify_pairs(pairs, texts, size).select("a", "b", alike.alias("alike")), "verified")
+
+    def linked(done: DataFrame) -> DataFrame:
+        return components(done.where("alike"))
 
     # Rounds one and two: every profile of a bucket with the bucket's least; few bands settle nearly all of a large group,
     # the other bands are asked about what is then still apart.
     with_least = live.where("node != least").select("band", F.col("least").alias("a"), F.col("node").alias("b"))
-    found = links(with_least.where(F.col("band") < FIRST_BANDS).select("a", "b"))
-    labels = components(found)
+    done = verified(with_least.where(F.col("band") < FIRST_BANDS).select("a", "b").distinct())
+    labels = linked(done)
     apart = labelled(labelled(with_least.where(F.col("band") >= FIRST_BANDS), labels, "a", "la"), labels, "b", "lb").where("la != lb")
-    found = found.unionByName(links(apart.select("a", "b")))
-    labels = components(found)
-    # Round three: profiles of different classes in one bucket; a pair that meets in several is taken in the first alone.
-    named = labelled(live.withColumn("key", F.when(F.col("n") > LARGE, F.col("long_key")).otherwise(F.col("key"))), labels, "node", "label").select("band", "key", "node", "least", "label")
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    left = stash(named.join(mixed, "key"), "mixed")
-    of_node = left.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("band", "key")))["key"].alias("keys"))  # at most one a band
-    left = left.join(of_node, "node")
-    one = left.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("least").alias("tried"), F.col("keys").alias("keys_a"))
-    other = left.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("keys").alias("keys_b"))
+    done = done.unionByName(verified(apart.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")))
+    labels = linked(done)
+    # Round three: the large buckets that still hold several classes, with pivots drawn from all of the bucket.
+    left = mixed(live.where(F.col("n") > LARGE), labels)
+    if not left.isEmpty():
+        drawn = left.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("draw")).agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(1))).alias("pivot"))
+        drawn = drawn.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.label").alias("of_pivot"))
+        asked = left.join(drawn, "key").where("label != of_pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        done = done.unionByName(verified(asked.join(done, ["a", "b"], "left_anti")))
+        labels = linked(done)
+    # Last round: all profiles of different classes in one bucket; a pair that meets in several is taken in the first alone.
+    left = mixed(live, labels)
+    of_node = left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one a band
+    left = left.join(of_node, "node").withColumn("pieces", F.ceil(F.col("n") / DEALT).cast("int"))
+    one = left.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("keys").alias("keys_a"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"))
+    other = left.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("keys").alias("keys_b"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     first = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0))
-    pairs = one.join(other, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("a") != F.col("tried")) & (first == F.col("key"))).select("a", "b")
-    # A pair that is still apart and met a bucket's least in an earlier round was verified there.
-    pairs = pairs.join(with_least.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    labels = components(found.unionByName(links(pairs)))
+    pairs = one.join(other, ["key", "piece"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (first == F.col("key"))).select("a", "b")
+    labels = linked(done.unionByName(verified(pairs.join(done, ["a", "b"], "left_anti"))))
     named = grouped.join(labels, "node", "left").select("p1", "p2", F.col("node").alias("profile_id"), F.coalesce("label", "node").alias("class_id"))
     own = known.select("doc_id", "p1", "p2", "n_shingles").join(named, ["p1", "p2"], "left")
     empty = F.col("n_shingles") == 0
