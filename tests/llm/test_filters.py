@@ -170,6 +170,16 @@ def test_links_inside_crowded_buckets(spark):
     assert len(set(want)) == 389 and got == dict(enumerate(want))
 
 
+def test_copies_that_repeat_a_line(spark):
+    # Plain Jaccard 0.98, probability Jaccard 0.51.
+    rows = []
+    for k in range(40):
+        words = [f"k{k}w{i}" for i in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[-10:] * 20))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(table(spark, rows)).collect()}
+    assert got == brute_classes(rows) == {k: k - k % 2 for k in range(80)}
+
+
 def test_repeated_rows_and_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = table(spark, [(1, text), (1, text), (2, text), (None, text), (None, None)])

@@ -5,7 +5,10 @@ arrivals, a Poisson process whose rate is its weight, to the registers of a
 signature at random; a register keeps the shingle that came first. A shingle
 stops as soon as its next arrival is later than the last register's, so a long
 text costs little more than one arrival a shingle. Two texts agree in a
-register with the probability Jaccard likeness of their weighted shingles.
+register with the probability Jaccard likeness of their weighted shingles. A
+text that repeats shingles has a second signature, with weight 1 for each, so
+that texts also meet with their plain Jaccard likeness; of a text that repeats
+none both are the same.
 
 Texts of one weighted shingle set (exact copies above all) are one *profile*,
 known by its least id. Bands of registers are joined in Spark in rounds: each
@@ -108,8 +111,14 @@ def profiles(docs: DataFrame, size: int = 5) -> DataFrame:
             ids, at = batch.column(0), 0
             for group in groups((t.encode() for t in batch.column(1).to_pylist()), 1 << 20):
                 owner, shingles, counts = distinct_shingles(group, size)
-                keys = band_keys(signatures(owner, shingles, counts, len(group)))
+                keys = list(band_keys(signatures(owner, shingles, counts, len(group))))
                 edges = np.searchsorted(owner, np.arange(len(group) + 1))
+                repeating = np.unique(owner[counts > 1])
+                if len(repeating):
+                    part = np.isin(owner, repeating)
+                    plain = band_keys(signatures(np.searchsorted(repeating, owner[part]), shingles[part], np.ones(part.sum(), np.int64), len(repeating)))
+                    for i, more in zip(repeating, plain):
+                        keys[i] = np.r_[keys[i], more]
                 both = np.stack([shingles, counts.astype(np.uint64)], axis=1)
                 digests = np.frombuffer(b"".join(hashlib.blake2b(both[a:b].tobytes(), digest_size=16).digest() for a, b in zip(edges, edges[1:])), "<i8").reshape(-1, 2)
                 some = np.diff(edges) > 0
@@ -127,14 +136,17 @@ def profiles(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def banded(representatives: DataFrame) -> DataFrame:
-    """(band, key, node): a row for each band of each profile."""
+    """(band, key, node): a row for each band of each profile and, with the same number, its plain band if that differs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
-            bands = len(keys) // max(1, len(batch))
-            nodes = np.repeat(batch.column(0).to_numpy(), bands)
-            number = np.tile(np.arange(bands, dtype=np.int16), len(batch))
+            held = [np.frombuffer(k, "<i8") for k in batch.column(1).to_pylist()]
+            bands = REGISTERS // BAND
+            keys = np.concatenate(held) if held else np.zeros(0, "<i8")
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in held])
+            number = np.concatenate([np.arange(len(k), dtype=np.int16) % bands for k in held]) if held else np.zeros(0, np.int16)
+            fresh = np.concatenate([np.r_[np.ones(bands, bool), k[bands:] != k[:bands][: len(k) - bands]] for k in held]) if held else np.zeros(0, bool)
+            keys, nodes, number = keys[fresh], nodes[fresh], number[fresh]
             yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(keys), pa.array(nodes)], names=["band", "key", "node"])
 
     return map_batches(representatives.select("node", "bands"), work, "band short, key long, node long")
@@ -281,7 +293,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame
         labels = linked(done)
     # Last round: all profiles of different classes in one bucket; a pair that meets in several is taken in the first alone.
     left = mixed(live, labels)
-    of_node = left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most one a band
+    of_node = left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most two a band
     left = left.join(of_node, "node").withColumn("pieces", F.ceil(F.col("n") / DEALT).cast("int"))
     one = left.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("keys").alias("keys_a"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"))
     other = left.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("keys").alias("keys_b"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
