@@ -194,3 +194,40 @@ def test_toxicity(spark, sf_dir, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.score_texts(docs, none, F.lit(True), held).collect()} == {0}
     assert toxicity.score_texts(empty, none, F.lit(True), held).count() == 0
+
+
+def test_restoring_gathers_from_all_texts(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([(i, "the house on the hill") for i in range(4)] + [(9, "мороз замок")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    grams = toxicity.train(table, labels, F.lit(True))[0]
+    assert grams["^^м"] == 1 and grams["the"] == 4
+    assert toxicity.Restorer(grams).restore("м.о.р.о.з") == "мороз"
+
+
+def test_restoring_leaves_out_no_state():
+    draw = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    grams = {a + b + c: draw.randint(1, 60) for a in "^" + letters for b in "^" + letters for c in letters + "$" if (b != "^" or a == "^") and draw.random() < 0.3}
+    restorer = toxicity.Restorer(grams)
+
+    def all_states(word):
+        states, before = {"^^": (0.0, "")}, ""
+        for seen in word:
+            options = [(x, toxicity.COST_ALIKE) for x in toxicity.LOOKALIKES.get(seen, "")]
+            skip = toxicity.COST_DROPPED_SIGN if seen not in toxicity.LOOKALIKES else toxicity.COST_DROPPED_ALIKE
+            if seen.isalpha():
+                options.append((seen, 0.0))
+                skip = toxicity.COST_DROPPED_REPEAT if seen == before else toxicity.COST_DROPPED_LETTER
+            before, reached = seen, {}
+            for context, (bits, text) in states.items():
+                for to, total, grown in [(context, bits + skip, text)] + [(context[1] + x, bits + c + restorer.cost(context, x), text + x) for x, c in options]:
+                    if to not in reached or reached[to][0] > total:
+                        reached[to] = (total, grown)
+            states = reached
+        return min((bits + restorer.cost(context, "$"), text) for context, (bits, text) in states.items())[1]
+
+    for _ in range(1500):
+        word = "".join(draw.choice("161681616|!abc.") for _ in range(draw.randint(8, 16)))
+        assert restorer.restore(word) == all_states(word)

@@ -4,8 +4,8 @@ A word that holds digits or signs, repeats a letter three times, or is spelt
 out letter by letter went through a noisy channel: letters replaced by look-
 alikes, signs put between, letters repeated. The Viterbi decoder walks the
 lattice of what each character may stand for (itself, a letter it looks like,
-nothing) under a character trigram model of the training words and finds the
-likeliest word. Words, restored words and their beginnings are then
+nothing) under a character trigram model of the plain words of all documents
+and finds the likeliest word: no state is left out that could still win. Words, restored words and their beginnings are then
 scored by a logistic model over those features that tell labels apart.
 
 Labels that are learnt from are a bounded sample. Null and empty texts have the
@@ -42,7 +42,6 @@ COST_ALIKE, COST_DROPPED_SIGN, COST_DROPPED_REPEAT, COST_DROPPED_LETTER, COST_DR
 EDGES = ".,;:!?\"'`()[]{}<>*_-~#$%&|+=/\\^@"
 THRICE = re.compile(r"(.)\1\1")
 SPELT = re.compile(r"(?<!\S)(?:\S[ ._*-]){3,}\S(?!\S)")
-BEAM = 24
 
 
 class Restorer:
@@ -57,6 +56,8 @@ class Restorer:
         self.bits = {g: -math.log2((n + 0.1) / (pairs[g[:2]] + 0.1 * size)) for g, n in counts.items()}
         self.new = {p: -math.log2(0.1 / (n + 0.1 * size)) for p, n in pairs.items()}
         self.unseen = math.log2(size)
+        # Two states differ in the costs of the next two letters at most, so one this much dearer than another never wins.
+        self.reach = 2 * max([self.unseen, *self.bits.values(), *self.new.values()]) + 1e-6
         self.cost = lru_cache(maxsize=200_000)(self._cost)
 
     def _cost(self, context: str, letter: str) -> float:
@@ -65,7 +66,7 @@ class Restorer:
 
     def restore(self, word: str) -> str:
         """The likeliest word behind ``word`` (lower case); the empty string if none is left."""
-        states = {"^^": (0.0, "")}
+        states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # the word so far as its last letter and the word before it
         before = ""
         for seen in word:
             options = [(letter, COST_ALIKE) for letter in LOOKALIKES.get(seen, "")]
@@ -75,7 +76,7 @@ class Restorer:
             else:
                 skip = COST_DROPPED_SIGN if seen not in LOOKALIKES else COST_DROPPED_ALIKE
             before = seen
-            reached: dict[str, tuple[float, str]] = {}
+            reached: dict[str, tuple[float, tuple | None]] = {}
             for context, (bits, text) in states.items():
                 if reached.get(context, (math.inf,))[0] > bits + skip:
                     reached[context] = (bits + skip, text)
@@ -83,9 +84,20 @@ class Restorer:
                     total = bits + cost + self.cost(context, letter)
                     to = context[1] + letter
                     if reached.get(to, (math.inf,))[0] > total:
-                        reached[to] = (total, text + letter)
-            states = dict(sorted(reached.items(), key=lambda x: x[1][0])[:BEAM]) if len(reached) > BEAM else reached
-        return min((bits + self.cost(context, "$"), text) for context, (bits, text) in states.items())[1]
+                        reached[to] = (total, (letter, text))
+            most = min((bits for bits, _ in reached.values()), default=0.0) + self.reach
+            states = {context: x for context, x in reached.items() if x[0] <= most}
+        ends = {context: bits + self.cost(context, "$") for context, (bits, _) in states.items()}
+        best = min(ends.values())
+        return min(spelt(states[context][1]) for context, bits in ends.items() if bits == best)
+
+
+def spelt(text: tuple | None) -> str:
+    letters = []
+    while text is not None:
+        letter, text = text
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def suspicious(core: str) -> bool:
@@ -142,8 +154,8 @@ class Reader:
         return out
 
 
-def count_trigrams(sample: DataFrame) -> dict[str, int]:
-    """Character trigrams of the sample's plain words, each word counted once a batch."""
+def count_trigrams(texts: DataFrame) -> dict[str, int]:
+    """All character trigrams of the plain words of ``texts``, each word counted once a text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,8 +169,8 @@ def count_trigrams(sample: DataFrame) -> dict[str, int]:
                     grams[padded[i : i + 3]] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(grams)), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
 
-    rows = map_batches(sample.select("text"), work, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in rows.orderBy(F.desc("n"), "gram").limit(60_000).collect()}
+    rows = map_batches(texts.select("text"), work, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r["gram"]: r["n"] for r in rows.collect()}
 
 
 def telling(sample: DataFrame, grams: dict[str, int]) -> list[str]:
@@ -203,12 +215,12 @@ def fit(rows: list[tuple[np.ndarray, int]], size: int, rounds: int = 400, penalt
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, int], dict[str, int], np.ndarray, float]:
-    """Trigrams, features, weights, offset; from at most ``TRAINING_TEXTS`` labelled texts where ``learn`` holds."""
+    """Trigrams of all texts; features, weights, offset from at most ``TRAINING_TEXTS`` labelled texts where ``learn`` holds."""
     marked = own_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(learn)
     chosen = marked.select("doc_id", F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(TRAINING_TEXTS)
     texts = own_columns(docs, "doc_id", "text").where("text is not null")
     sample = stash(texts.join(F.broadcast(chosen), "doc_id").select("text", "label").repartition(12), "toxic-sample")
-    grams = count_trigrams(sample)
+    grams = count_trigrams(texts)
     names = {n: i for i, n in enumerate(telling(sample, grams))}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
