@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,8 +133,10 @@ def brute_classes(rows, threshold=0.8):
             if a < b and sets[a] and sets[b]:
                 x, y, both = sets[a], sets[b], set(sets[a]) & set(sets[b])
                 plain = len(both) / len(set(x) | set(y))
-                if plain < threshold and plain > 0.4:
-                    plain = max(plain, sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in set(x) | set(y)) for i in both))
+                if threshold > plain > 0.4 and max(*x.values(), *y.values()) > 1:
+                    every = list(set(x) | set(y))
+                    u, v = (np.array([z[j] for j in every], float) for z in (x, y))
+                    plain = max(plain, sum(1 / np.maximum(u / x[i], v / y[i]).sum() for i in both))
                 if plain >= threshold:
                     p, q = find(a), find(b)
                     least[max(p, q)] = min(p, q)
@@ -180,6 +183,60 @@ def test_copies_that_repeat_a_line(spark):
     assert got == brute_classes(rows) == {k: k - k % 2 for k in range(80)}
 
 
+def test_links_below_shared_passages(spark):
+    # All texts share a frame, half of them passages besides that the centre lacks, and some repeat a line: long lists with centres of their own.
+    draw, rows = random.Random(9), []
+    frame, passage = [f"w{i}" for i in range(160)], [f"p{i}" for i in range(60)]
+    for k in range(180):
+        words = frame + passage if k % 2 else list(frame)
+        for at in draw.sample(range(160), 6 if k % 9 else 2):
+            words[at] = f"x{k // 9 if k % 9 == 1 else k}at{at}"
+        rows.append((k, " ".join(words + words[:5] * 3 if k % 5 == 0 else words)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(table(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_no_pair_of_unlike_texts_is_compared_for_nothing(spark, monkeypatch):
+    # 300 texts some 0.6 alike, all pairs are 44,850: what is compared grows with the texts.
+    base, rows, asked = [f"w{i}" for i in range(150)], [], []
+    for k in range(300):
+        words = list(base)
+        for at in random.Random(k).sample(range(0, 150, 6), 4 if k else 0):
+            words[at] = f"x{k}at{at}"
+        rows.append((k, " ".join(words)))
+    true = near_dup.measured
+    monkeypatch.setattr(near_dup, "measured", lambda pairs, *rest, **named: (asked.append(pairs.count()), true(pairs, *rest, **named))[1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(table(spark, rows)).collect()}
+    assert got == brute_classes(rows) and sum(asked) < 20 * len(rows)
+
+
+def test_texts_of_one_id_are_one_class(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, two), (2, one), (2, two), (3, one + " end"), (4, two + " end"), (5, "other words that are alone here")]
+    got = {(r["doc_id"], r["class_id"]) for r in near_dup.classes(table(spark, rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+    docs = table(spark, [(2, two), (2, one), (2, one), (3, one), (None, None)]).withColumn("kept", F.lit(1)).withColumn("kept_id", F.lit(2)).withColumn("Label", F.lit(3))
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(2, one), (None, None)], key=repr)
+
+
+def test_likenesses_of_weighted_sets():
+    draw = random.Random(2)
+    for _ in range(50):
+        x, y = ({k: draw.randint(1, 4) for k in draw.sample(range(12), draw.randint(1, 10))} for _ in range(2))
+        sets = [(np.array(sorted(z), np.uint64), np.array([z[k] for k in sorted(z)])) for z in (x, y)]
+        got = near_dup.Comparison(sets[0], (np.zeros(len(y), np.int64), *sets[1]), 1)
+        both = set(x) & set(y)
+        assert got.plain[0] == pytest.approx(len(both) / len(set(x) | set(y)))
+        share = [{k: n / sum(z.values()) for k, n in z.items()} for z in (x, y)]
+        want = sum(1 / sum(max(share[0].get(j, 0) / share[0][i], share[1].get(j, 0) / share[1][i]) for j in set(x) | set(y)) for i in both)
+        assert got.chance[0] == pytest.approx(want)
+        if both:  # the bound that rules pairs out
+            m = [sum(z[k] for k in both) for z in share]
+            assert want <= 1 / (1 / m[0] + 1 / m[1] - 1) + 1e-9
+
+
 def test_repeated_rows_and_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(50))
     docs = table(spark, [(1, text), (1, text), (2, text), (None, text), (None, None)])

@@ -11,22 +11,29 @@ that texts also meet with their plain Jaccard likeness; of a text that repeats
 none both are the same.
 
 Texts of one weighted shingle set (exact copies above all) are one *profile*,
-known by its least id. Bands of registers are joined in Spark in rounds: each
-bucket's profiles with the least one of the bucket, for a few bands, which
-settles nearly all of a large group; the same for the other bands, where the
-two are still apart; then, in large buckets that still hold several
-classes, profiles with some further pivots of the bucket; last, in every bucket
-that still holds several classes, all profiles of different classes with each
-other that weren't compared before. So two profiles that share a bucket are
-compared unless other links put them into one class. Every candidate is
-verified on its whole texts. Classes are connected components, found by label propagation
-in Spark.
+known by its least id, its *node*. Bands of registers are joined in Spark, and
+what shares a bucket is compared on whole texts:
+
+1. Each bucket has a centre, the node that shares most buckets with most others.
+   Every node of the bucket is compared with it. That settles nearly all of a group.
+2. Of two nodes x and y of a bucket that are still apart, likeness is bounded by
+   what each shares with the centre, unless they share a shingle that the centre
+   lacks. So only those pairs are compared for which the bound allows a link, or
+   that share such a shingle. Shingles that most of a bucket share count as the
+   centre's; a list of very many nodes with another such shingle is a bucket of the
+   next round, with a centre of its own.
+
+No pair of a bucket is left out that could be a link, and none is made that the
+bounds rule out, so a group of texts just too unlike costs no square of its size.
+Classes are connected components, found by label propagation in Spark.
 
 Likeness of two texts is the greater of probability Jaccard (counts) and plain
 Jaccard (sets). Texts of fewer than five words are one shingle; texts without
 words (nulls) are alike to none, their own class. Rows without id get the class
-of their profile. Repeated rows are one profile; rows of one id but different
-texts are one class. With other columns of any name nothing changes.
+of their profile, null if no row with an id has it. Repeated rows are one
+profile; rows of one id but different texts are one class. With other columns
+of any name nothing changes. An empty table gives no rows. Long texts are
+compared alone, whole.
 """
 
 from __future__ import annotations
@@ -36,24 +43,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vestige.llm.shared import drop_stashes, map_batches, own_columns, stash, stashes, whole_text
+from vestige.llm.shared import drop_stashes, map_batches, own_columns, partitions, stash, stashes, whole_text
 from vestige.llm.shingles import distinct_shingles, groups, spread
 
 REGISTERS = 192
 BAND = 6
-#: Bands of the first round.
-FIRST_BANDS = 4
-#: Buckets of more profiles than this are compared with further pivots before the last round.
-LARGE = 64
-#: Further pivots of a large bucket.
-PIVOTS = 16
-#: Profiles of a bucket that the last round joins with the bucket in one piece.
-DEALT = 512
-#: Partners of one profile that are verified in one piece.
+BANDS = REGISTERS // BAND
+#: A list of nodes that share a shingle is joined with itself up to this length; a longer one gets a centre of its own.
+LIST = 64
+#: Partners of one node that are verified in one piece, and members of a centre that are joined in one.
 PIECE = 500
+#: Pairs up to which they are broadcast to the texts (24 bytes each); more are joined by shuffle.
+MOST_BROADCAST = 250_000
+#: Bytes of partners' texts that are taken apart at once.
+BLOCK = 1 << 20
 
 
 def arrivals(shingles: np.ndarray, count: int, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +98,12 @@ def signatures(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, tex
 
 
 def band_keys(holder: np.ndarray) -> np.ndarray:
-    """A key for each band and text, of the band's registers."""
-    bands = holder.shape[1] // BAND
+    """A key for each band and text: 59 bits of a hash of the band's registers, and the band's number."""
     with np.errstate(over="ignore"):
         salt = spread(np.arange(1, holder.shape[1] + 1, dtype=np.uint64))
         terms = spread(holder ^ salt)
-        one = terms.reshape(len(holder), bands, BAND).sum(axis=2, dtype=np.uint64)
-        return spread(one + spread(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 40))).view(np.int64)
+        one = spread(terms.reshape(len(holder), BANDS, BAND).sum(axis=2, dtype=np.uint64))
+        return (one & ~np.uint64(31) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 PROFILES = "doc_id long, p1 long, p2 long, n_shingles long, bands binary"
@@ -135,97 +141,120 @@ def profiles(docs: DataFrame, size: int = 5) -> DataFrame:
     return map_batches(own_columns(docs, "doc_id", "text").withColumn("text", whole_text()), work, PROFILES)
 
 
-def banded(representatives: DataFrame) -> DataFrame:
-    """(band, key, node): a row for each band of each profile and, with the same number, its plain band if that differs."""
+def banded(nodes: DataFrame) -> DataFrame:
+    """(key, node): a row for each band of each profile and, where it differs, for its plain band of the same number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [np.frombuffer(k, "<i8") for k in batch.column(1).to_pylist()]
-            bands = REGISTERS // BAND
-            keys = np.concatenate(held) if held else np.zeros(0, "<i8")
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in held])
-            number = np.concatenate([np.arange(len(k), dtype=np.int16) % bands for k in held]) if held else np.zeros(0, np.int16)
-            fresh = np.concatenate([np.r_[np.ones(bands, bool), k[bands:] != k[:bands][: len(k) - bands]] for k in held]) if held else np.zeros(0, bool)
-            keys, nodes, number = keys[fresh], nodes[fresh], number[fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(keys), pa.array(nodes)], names=["band", "key", "node"])
-
-    return map_batches(representatives.select("node", "bands"), work, "band short, key long, node long")
-
-
-def likenesses(one: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Plain and probability Jaccard of one weighted set with each of ``texts`` others."""
-    shingles, counts = one
-    owner, theirs, n = others
-    at = np.minimum(np.searchsorted(shingles, theirs), len(shingles) - 1)
-    common = shingles[at] == theirs
-    both = np.bincount(owner[common], minlength=texts)
-    union = len(shingles) + np.bincount(owner, minlength=texts) - both
-    plain = both / np.maximum(union, 1)
-    chance = np.zeros(texts)
-    edges = np.searchsorted(owner, np.arange(texts + 1))
-    total = counts.sum()
-    for i in range(texts):
-        part = slice(edges[i], edges[i + 1])
-        shared = common[part]
-        if not shared.any():
-            continue
-        x, y = counts[at[part]][shared].astype(float), n[part][shared].astype(float)
-        x_rest, y_rest = total - x.sum(), n[part].sum() - y.sum()
-        # For shingle i: 1 / sum over j of max(x_j / x_i, y_j / y_i). With r = y_j / x_j sorted, the sum splits at r_i.
-        r = y / x
-        order = np.argsort(r, kind="stable")
-        x_up, y_up = np.r_[0, np.cumsum(x[order])], np.r_[0, np.cumsum(y[order])]
-        split = np.searchsorted(r[order], r, side="right")
-        sums = (x_up[split] + x_rest) / x + (y_up[-1] - y_up[split] + y_rest) / y
-        chance[i] = (1 / sums).sum()
-    return plain, chance
-
-
-def verify_pairs(pairs: DataFrame, texts: DataFrame, size: int = 5) -> DataFrame:
-    """(a, b, jaccard, probability_jaccard) of each pair of ids, on whole texts.
-
-    A profile with many partners is dealt out in pieces; its own text goes to
-    each piece, its partners' texts to one.
+            if held:
+                keys = [k[np.r_[np.ones(BANDS, bool), k[BANDS:] != k[:BANDS][: len(k) - BANDS]]] for k in held]
+                owners = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owners)], names=["key", "node"])
+
+    return map_batches(nodes.select("node", "bands"), work, "key long, node long")
+
+
+# Comparison on whole texts ---------------------------------------------------
+
+
+class Comparison:
+    """One weighted set against each of ``texts`` others: what they share, and both likenesses."""
+
+    def __init__(self, one: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int):
+        shingles, counts = one
+        owner, theirs, n = others
+        self.owner, self.theirs = owner, theirs
+        if len(shingles):
+            at = np.minimum(np.searchsorted(shingles, theirs), len(shingles) - 1)
+            self.in_common = shingles[at] == theirs
+        else:
+            at, self.in_common = np.zeros(len(theirs), int), np.zeros(len(theirs), bool)
+        self.kinds = np.bincount(owner, minlength=texts)
+        self.total = np.bincount(owner, n, minlength=texts).astype(np.int64)
+        self.common = np.bincount(owner[self.in_common], minlength=texts)
+        self.mass = np.bincount(owner[self.in_common], n[self.in_common], minlength=texts).astype(np.int64)
+        self.plain = self.common / np.maximum(len(shingles) + self.kinds - self.common, 1)
+        # Where neither repeats a shingle both likenesses are the same.
+        self.chance = self.plain.copy()
+        repeats = len(counts) and counts.max() > 1
+        edges = np.searchsorted(owner, np.arange(texts + 1))
+        for i in np.flatnonzero((self.common > 0) & (repeats | (self.total > self.kinds))):
+            part = slice(edges[i], edges[i + 1])
+            shared = self.in_common[part]
+            self.chance[i] = probability_jaccard(counts[at[part]][shared].astype(float), n[part][shared].astype(float), counts.sum(), self.total[i])
+
+
+def probability_jaccard(x: np.ndarray, y: np.ndarray, x_total: float, y_total: float) -> float:
+    """Of two weighted sets whose common elements weigh ``x`` and ``y``: the sum of 1 / sum over j of max(x_j / x_i, y_j / y_i)."""
+    r = y / x  # with r sorted, the inner sum splits at r_i
+    order = np.argsort(r, kind="stable")
+    x_up, y_up = np.r_[0, np.cumsum(x[order])], np.r_[0, np.cumsum(y[order])]
+    split = np.searchsorted(r[order], r, side="right")
+    sums = (x_up[split] + x_total - x_up[-1]) / x + (y_up[-1] - y_up[split] + y_total - y_up[-1]) / y
+    return float((1 / sums).sum())
+
+
+MEASURED = "a long, head int, b long, jaccard double, probability_jaccard double, n long, total long, common long, mass long, added array<long>"
+
+
+def measured(pairs: DataFrame, texts: DataFrame, size: int = 5, with_added: bool = True) -> DataFrame:
+    """Each pair of ids compared on whole texts.
+
+    ``n``, ``total``: shingles of b, without and with repeats; ``common``,
+    ``mass``: those of them that a has; ``added``: those it lacks. An id with
+    several texts has a row for each, ``head`` numbers those of a. An id with many
+    partners is dealt out in pieces; its own text goes to each piece, its
+    partners' texts to one.
     """
-    pairs = pairs.select("a", "b")
-    pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
-    dealt = pairs.join(pieces, "a").withColumn("piece", F.pmod(F.xxhash64("b"), F.col("pieces")))
-    # Few ids have partners: a table of at most 2^16 hash values keeps most other texts out of the shuffle.
-    sieve = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
-    texts = texts.withColumn("sieve", sieve).join(F.broadcast(wanted.select(sieve.alias("sieve")).distinct()), "sieve", "left_semi").drop("sieve")
-    heads = dealt.select("a", "piece").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "piece", F.lit(None).cast("long").alias("b"), "text")
-    partners = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "piece", "b", "text")
-    streams = heads.unionByName(partners).repartition("a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first())
+    pairs = stash(pairs.select("a", "b"), "pairs")
+    heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces")).where("pieces > 1")
+    dealt = pairs.join(heavy, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).alias("piece"), "b")
+    wanted = dealt.select("a", "piece", "b", F.col("b").alias("doc_id")).unionByName(dealt.select("a", "piece", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct())
+    if pairs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    streams = texts.join(wanted, "doc_id").select("a", "piece", "b", "text").repartition(partitions(texts.sparkSession), "a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first(), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, own = None, None
+        group, heads, last = None, [], None
         for batch in batches:
-            out: list[list] = [[], [], [], []]
             a_ids, piece, b_ids, text = (batch.column(i).to_pylist() for i in range(4))
             at = 0
             while at < len(a_ids):
+                if (a_ids[at], piece[at]) != group:
+                    group, heads, last = (a_ids[at], piece[at]), [], None
                 if b_ids[at] is None:
-                    if head != (a_ids[at], piece[at]):  # of several texts of one id the first
-                        head = (a_ids[at], piece[at])
-                        own = distinct_shingles([text[at].encode()], size)[1:]
+                    if text[at] != last:
+                        last = text[at]
+                        heads.append(distinct_shingles([last.encode()], size)[1:])
                     at += 1
                     continue
-                end = at
-                while end < len(a_ids) and b_ids[end] is not None and (a_ids[end], piece[end]) == head and end - at < 64:
+                end, held = at, 0
+                while end < len(a_ids) and end - at < 256 and (end == at or held + len(text[end]) <= BLOCK) and b_ids[end] is not None and (a_ids[end], piece[end]) == group:
+                    held += len(text[end])
                     end += 1
-                if end == at:  # no text of that id
-                    at += 1
-                    continue
                 others = distinct_shingles([t.encode() for t in text[at:end]], size)
-                plain, chance = likenesses(own, others, end - at) if len(own[0]) else (np.zeros(end - at), np.zeros(end - at))
-                for column, values in zip(out, (a_ids[at:end], b_ids[at:end], plain.tolist(), chance.tolist())):
-                    column.extend(values)
+                for number, one in enumerate(heads):
+                    x = Comparison(one, others, end - at)
+                    lacking = ~x.in_common if with_added else np.zeros(len(x.in_common), bool)
+                    offsets = np.searchsorted(x.owner[lacking], np.arange(end - at + 1)).astype(np.int32)
+                    columns = [
+                        pa.array([group[0]] * (end - at), pa.int64()), pa.array([number] * (end - at), pa.int32()), pa.array(b_ids[at:end], pa.int64()),
+                        pa.array(x.plain, pa.float64()), pa.array(x.chance, pa.float64()), pa.array(x.kinds, pa.int64()), pa.array(x.total, pa.int64()),
+                        pa.array(x.common, pa.int64()), pa.array(x.mass, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.theirs[lacking].astype(np.int64))),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MEASURED.split(", ")])
                 at = end
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=["a", "b", "jaccard", "probability_jaccard"])
 
-    return map_batches(streams, work, "a long, b long, jaccard double, probability_jaccard double")
+    return map_batches(streams, work, MEASURED)
+
+
+def verify_pairs(pairs: DataFrame, texts: DataFrame, size: int = 5) -> DataFrame:
+    """(a, b, jaccard, probability_jaccard) of each pair of ids, on whole texts."""
+    return measured(pairs, texts, size, with_added=False).select("a", "b", "jaccard", "probability_jaccard")
+
+
+# Classes ---------------------------------------------------------------------
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,71 +278,149 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFr
     return rows.join(named, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def mixed(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, n, label) of the buckets whose profiles are of several classes."""
-    named = labelled(live.select("key", "node", "n"), labels, "node", "label")
-    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    return stash(named.join(several, "key"), "mixed")
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links: components of the classes that these join, then each node's."""
+    between = labelled(labelled(links.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la != lb")
+    fresh = stash(between.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("la").alias("a"), F.col("lb").alias("b")), "between")
+    if fresh.isEmpty():
+        return labels
+    of_class = components(fresh)
+    ends = fresh.select(F.col("x").alias("node")).union(fresh.select("y")).distinct()
+    nodes = labels.select("node").union(ends).distinct()
+    now = labelled(nodes, labels, "node", "was")
+    return stash(labelled(now, of_class, "was", "label").select("node", "label"), "labels")
+
+
+def starred(live: DataFrame, score: DataFrame) -> DataFrame:
+    """(a, b): every node of a bucket with the bucket's centre, the node of the greatest score, of several the least."""
+    best = live.join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", F.bitwise_not("node"))).alias("a"))
+    return live.join(best, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()
+
+
+def may_link(threshold: float) -> Column:
+    """Whether x and y may be alike if all they share is in their centre.
+
+    At most ``s`` shingles are shared, the smaller of both ``common``. With M the
+    share of a text that lies in what both have, likeness is 1 / (1/Mx + 1/My - 1)
+    for sets, and at most that for counts. Of counts, M is at most the mass in the
+    centre, and at most ``s`` and all repeats.
+    """
+    reach = 1 + 1 / threshold + 1e-9
+    s = F.least("x.common", "y.common")
+
+    def inverse(t: str) -> Column:
+        most = F.least(F.col(f"{t}.mass"), s + F.col(f"{t}.total") - F.col(f"{t}.n"))
+        return F.col(f"{t}.total") / F.greatest(most, F.lit(1))
+
+    plain = F.col("x.n") + F.col("y.n") <= reach * s
+    repeats = (F.col("x.total") > F.col("x.n")) | (F.col("y.total") > F.col("y.n"))
+    return (s > 0) & (plain | repeats & (inverse("x") + inverse("y") <= reach))
+
+
+def bounded_pairs(members: DataFrame, threshold: float) -> DataFrame:
+    """(x, y): members of one centre, of different classes, that ``may_link``. One of them at least isn't of the centre's class."""
+    reach = 1 + 1 / threshold + 1e-9
+    narrow = members.select("a", "head", "b", "n", "total", "common", "mass", "label", "centre_label")
+    about = narrow.groupBy("a", "head").agg(F.min("n").alias("least"), F.bool_or(F.col("total") > F.col("n")).alias("any_repeats"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    strangers = narrow.where("label != centre_label").join(about, ["a", "head"])
+    plain = F.col("n") + F.col("least") <= reach * F.col("common")
+    counted = F.col("any_repeats") & (F.col("total") <= (reach - 1) * F.col("mass"))
+    x = strangers.where(plain | counted).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("x")
+    y = narrow.join(about.select("a", "head", "pieces"), ["a", "head"]).withColumn("piece", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int")).alias("y")
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.head") == F.col("y.head")) & (F.col("x.piece") == F.col("y.piece"))
+    # Two strangers are met from both sides.
+    once = (F.col("y.label") == F.col("y.centre_label")) | (F.col("x.b") < F.col("y.b"))
+    return x.join(y, same & (F.col("x.label") != F.col("y.label")) & once & may_link(threshold)).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
+
+
+def shared_lists(members: DataFrame) -> DataFrame:
+    """A row for each shingle that a member has and its centre lacks, where members of several classes share it.
+
+    ``key`` names the list, ``length`` its rows; ``most``: whether more than
+    half of the centre's members are in it.
+    """
+    rows = members.select("a", "head", "b", "n", "total", "common", "label", F.explode("added").alias("z")).withColumn("key", F.xxhash64("a", "head", "z")).drop("z")
+    sizes = members.groupBy("a", "head").agg(F.count("*").alias("size"))
+    lists = rows.groupBy("key", "a", "head").agg(F.count("*").alias("length"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    lists = lists.join(sizes, ["a", "head"]).select("key", "length", ((F.col("length") > 2) & (2 * F.col("length") > F.col("size"))).alias("most"))
+    return rows.join(lists, "key")
+
+
+def widened(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """``members`` whose centre also has the shingles that most of them share."""
+    more = lists.where("most").groupBy("a", "head", "b").agg(F.count("*").alias("more"))
+    out = members.join(more, ["a", "head", "b"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    mass = F.when(F.col("more") > 0, F.least("total", F.col("mass") + F.col("more") + F.col("total") - F.col("n"))).otherwise(F.col("mass"))
+    return out.withColumns({"common": F.least("n", F.col("common") + F.col("more")), "mass": mass}).drop("more")
+
+
+def listed_pairs(lists: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different classes that share a list; at most half a list's length for each of its rows."""
+    reach = 1 + 1 / threshold + 1e-9
+    x, y = lists.alias("x"), lists.alias("y")
+    most = F.least("x.common", "y.common") + F.least(F.col("x.n") - F.col("x.common"), F.col("y.n") - F.col("y.common"))
+    repeats = (F.col("x.total") > F.col("x.n")) | (F.col("y.total") > F.col("y.n"))
+    may = repeats | (F.col("x.n") + F.col("y.n") <= reach * most)
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & may).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+
+
+def same_ids(known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of different texts of one id."""
+    several = known.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("p1", "p2")).alias("low"), F.max(F.struct("p1", "p2")).alias("high")).where("low != high").select("doc_id")
+    of_id = known.where("n_shingles > 0").join(several, "doc_id").select("doc_id", "p1", "p2").distinct().join(nodes.select("p1", "p2", "node"), ["p1", "p2"])
+    return of_id.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id, class_id (the class's least id), profile_id, n_shingles of every row of ``docs``."""
     alike = F.greatest("jaccard", "probability_jaccard") >= threshold
     known = stash(profiles(docs, size), "profiles")
-    grouped = known.where("n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("node"))
-    representatives = known.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.first("bands").alias("bands"), F.first("p1").alias("p1"), F.first("p2").alias("p2"))
-    nodes = grouped.select("node", "p1", "p2")
-    representatives = representatives.join(nodes.where("node is not null"), ["p1", "p2"]).where("doc_id = node").select("node", "bands")
-    rows = banded(representatives)
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    nodes = stash(known.where("n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")).where("node IS NOT NULL"), "nodes")
+    rows = banded(nodes)
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = stash(rows.join(buckets, "key"), "buckets")
-    texts = own_columns(docs, "doc_id", "text").where("doc_id is not null").withColumn("text", whole_text())
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return stash(verify_pairs(pairs, texts, size).select("a", "b", alike.alias("alike")), "verified")
-
-    def linked(done: DataFrame) -> DataFrame:
-        return components(done.where("alike"))
-
-    # Rounds one and two: every profile of a bucket with the bucket's least; few bands settle nearly all of a large group,
-    # the other bands are asked about what is then still apart.
-    with_least = live.where("node != least").select("band", F.col("least").alias("a"), F.col("node").alias("b"))
-    done = verified(with_least.where(F.col("band") < FIRST_BANDS).select("a", "b").distinct())
-    labels = linked(done)
-    apart = labelled(labelled(with_least.where(F.col("band") >= FIRST_BANDS), labels, "a", "la"), labels, "b", "lb").where("la != lb")
-    done = done.unionByName(verified(apart.select("a", "b").distinct().join(done, ["a", "b"], "left_anti")))
-    labels = linked(done)
-    # Round three: the large buckets that still hold several classes, with pivots drawn from all of the bucket.
-    left = mixed(live.where(F.col("n") > LARGE), labels)
-    if not left.isEmpty():
-        drawn = left.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("draw")).agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(1))).alias("pivot"))
-        drawn = drawn.select("key", F.col("pivot.node").alias("pivot"), F.col("pivot.label").alias("of_pivot"))
-        asked = left.join(drawn, "key").where("label != of_pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        done = done.unionByName(verified(asked.join(done, ["a", "b"], "left_anti")))
-        labels = linked(done)
-    # Last round: all profiles of different classes in one bucket; a pair that meets in several is taken in the first alone.
-    left = mixed(live, labels)
-    of_node = left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most two a band
-    left = left.join(of_node, "node").withColumn("pieces", F.ceil(F.col("n") / DEALT).cast("int"))
-    one = left.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("keys").alias("keys_a"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"))
-    other = left.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("keys").alias("keys_b"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    first = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0))
-    pairs = one.join(other, ["key", "piece"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (first == F.col("key"))).select("a", "b")
-    labels = linked(done.unionByName(verified(pairs.join(done, ["a", "b"], "left_anti"))))
-    named = grouped.join(labels, "node", "left").select("p1", "p2", F.col("node").alias("profile_id"), F.coalesce("label", "node").alias("class_id"))
-    own = known.select("doc_id", "p1", "p2", "n_shingles").join(named, ["p1", "p2"], "left")
+    score = stash(live.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score")), "score")
+    texts = own_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    labels = merged(docs.sparkSession.createDataFrame([], "node long, label long"), same_ids(known, nodes))
+    while True:
+        members = stash(measured(starred(live, score), texts, size).withColumn("alike", alike), "members")
+        labels = merged(labels, members.where("alike"))
+        named = labelled(labelled(members.drop("alike", "jaccard", "probability_jaccard"), labels, "a", "centre_label"), labels, "b", "label")
+        mixed = named.join(named.where("label != centre_label").select("a").distinct(), "a", "left_semi")
+        mixed = stash(mixed, "mixed")
+        if mixed.isEmpty():
+            break
+        lists = stash(shared_lists(mixed), "lists")
+        apart = bounded_pairs(widened(mixed, lists), threshold).unionByName(listed_pairs(lists.where((F.col("length") <= LIST) & ~F.col("most")), threshold)).distinct()
+        labels = merged(labels, stash(verify_pairs(apart, texts, size).where(alike), "verified"))
+        # Long lists that still hold several classes are the next round's buckets.
+        long = labelled(lists.where((F.col("length") > LIST) & ~F.col("most")).select("key", F.col("b").alias("node")), labels, "node", "label")
+        still = long.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        live = stash(long.join(still, "key").select("key", "node").distinct(), "buckets")
+        if live.isEmpty():
+            break
+    named = nodes.select("p1", "p2", F.col("node").alias("profile_id")).join(labels.withColumnRenamed("node", "profile_id"), "profile_id", "left")
+    own = known.select("doc_id", "p1", "p2", "n_shingles").join(named.select("p1", "p2", "profile_id", F.coalesce("label", "profile_id").alias("class_id")), ["p1", "p2"], "left")
     empty = F.col("n_shingles") == 0
     return own.select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("profile_id")).alias("profile_id"), "n_shingles")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: its least id, one row of it. Rows without id stay."""
+    """The rows of ``docs`` that stand for their class: its least id, one row of it. Rows without id stay.
+
+    Of several rows of that id the one with the least text stays, of equal texts any.
+    """
     made = stashes()
-    of_rows = classes(docs, threshold, size).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    of_rows = classes(docs, threshold, size).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
     used = stashes()[len(made) :]
-    standing = stash(of_rows.where("doc_id = class_id").select(F.col("doc_id").alias("kept_id"), "n"), "near-kept")
+    standing = stash(of_rows.where("doc_id = class_id").select(F.col("doc_id").alias("kept"), "n"), "near-kept")
     drop_stashes(docs.sparkSession, used)
-    id_of = docs[next(c for c in docs.columns if c.lower() == "doc_id")]
-    single = docs.join(standing.where("n = 1"), id_of == F.col("kept_id"), "left_semi")
-    repeated = docs.join(standing.where("n > 1"), id_of == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated).unionByName(docs.where(id_of.isNull()))
+    # Columns by place, so that no name clashes.
+    names = docs.columns
+    lower = [c.lower() for c in names]
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    key, text = (f"_{lower.index(c)}" for c in ("doc_id", "text"))
+    single = plain.join(standing.where("n = 1"), F.col(key) == F.col("kept"), "left_semi")
+    repeated = plain.join(standing.where("n > 1"), F.col(key) == F.col("kept"), "left_semi")
+    first = repeated.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))).where("nth = 1").drop("nth")
+    return single.unionByName(first).unionByName(plain.where(F.col(key).isNull())).toDF(*names)
