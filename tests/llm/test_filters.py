@@ -300,6 +300,33 @@ def test_terms_that_disclose(spark):
     assert "zanzibar" not in clean[0] and "x@y.zz" not in clean[0] and clean[0].startswith("the <TERM> office") and clean[100] == rows[6][1]
 
 
+def test_very_many_matches(spark):
+    mails = " ".join(f"m{i}@x{i}.yz" for i in range(50_000)) + " é\U0001f600 end"
+    mixed = "\n".join(f"+1 (319) 555-51{i % 90 + 10} at 10.0.{i % 250}.7 é" for i in range(5_000))
+    docs = table(spark, [(1, mails), (2, mixed), (3, "é@ a@b.cd+1 (319) 555-5132 \U0001f600")])
+    got = {r["doc_id"]: r["base_sha256"] for r in pii.span_table(docs).collect()}
+    assert got == {k: hashlib.sha256(brute_spans(t).encode()).hexdigest() for k, t in ((r["doc_id"], r["text"]) for r in docs.collect())}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[1] == " ".join(["<EMAIL>"] * 50_000) + " é\U0001f600 end"
+    assert clean[2] == "\n".join(["<PHONE> at <IP> é"] * 5_000)
+    assert clean[3] == "é@ <EMAIL> \U0001f600" or clean[3] == "é@ <EMAIL><PHONE> \U0001f600"
+
+
+def test_overlapping_spans(spark):
+    spans = [(3, 1, 8), (5, 0, 6), (6, 2, 10), (10, 3, 11), (0, 4, 1)]
+    df = spark.createDataFrame([("0123456789é\U0001f600z", spans), ("plain", [])], "text string, spans " + pii.SPAN)
+    assert [r[0] for r in df.select(pii.redacted(F.col("text"), F.col("spans"))).collect()] == ["<TERM>12<IP><PHONE>\U0001f600z", "plain"]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from vestige.llm.shared import shared_folder
+
+    with pytest.raises(ValueError):
+        shared_folder(N(conf=N(get=lambda *_: None), sparkContext=N(master="spark://host:7077")))
+
+
 # The pipeline ---------------------------------------------------------------
 
 

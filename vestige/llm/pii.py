@@ -6,7 +6,8 @@ entity against how often it stands at all. A term is a span of kind ``term``
 in every document that holds the entity if it stands with it in at least
 ``LEAST_LINES`` distinct lines, tells it with a chance of at least
 ``LEAST_CHANCE``, and with at least ``LEAST_BITS`` bits of pointwise mutual
-information. DataFrame operations only.
+information. A term stands with an entity if it is in the same line, with no other
+match of the entity's kind between. DataFrame operations only.
 
 Matches are leftmost and don't overlap within a kind; those that fail a check
 are dropped. The patterns are written so that matching takes linear time and
@@ -41,6 +42,9 @@ LEAST_LINES, LEAST_CHANCE, LEAST_BITS = 5, 0.5, 4.0
 TAGS = {kind: f"<{kind.upper()}>" for kind in KINDS}
 LETTERS = r"[^\p{L}]+"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+MATCHES = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+#: Elements that are scanned in one piece.
+BLOCK = 128
 SIEVE = 1 << 16
 #: Terms up to which the exact terms are broadcast.
 MOST_BROADCAST = 50_000
@@ -67,21 +71,54 @@ def passes(kind: str, match: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """For each of an array of ints what ``combine`` (a sum or maximum, from 0) makes of those before it.
+
+    In blocks, so that no array longer than a block, or than the number of blocks, is copied for each element.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def scan(block: Column) -> Column:
+        return F.aggregate(block, start, lambda acc, x: F.struct(combine(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def join(blocks: Column) -> Column:
+        before = scan(F.transform(blocks, lambda b: b["at"]))["out"]
+        return let(before, lambda base: F.flatten(F.transform(blocks, lambda b, i: F.transform(b["out"], lambda x: combine(x, F.get(base, i)).cast("int")))))
+
+    def cut(xs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
+        return F.transform(numbers, lambda k: scan(F.slice(xs, k * BLOCK + 1, BLOCK)))
+
+    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(let(cut(xs), join)))
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def placed_matches(text: Column, pattern: Column) -> Column:
-    """Array of (start, end, value) of all matches: running sums over the gaps between them."""
-    matches, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.transform(matches, lambda m, i: F.struct(m.alias("value"), F.length(m).alias("size"), i.alias("i")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """Array of (start, end, value, before, after) of all matches; before and after are the gaps beside a match, in its line."""
+
+    def place(found: Column) -> Column:
+        gaps, matches = found["gaps"], found["matches"]
+        sizes = F.transform(matches, lambda m, i: (F.length(F.get(gaps, i)) + F.length(m)).cast("int"))
+
+        def at(starts: Column) -> Column:
+            def one(m: Column, i: Column) -> Column:
+                start = F.get(starts, i) + F.length(F.get(gaps, i))
+                before, after = F.substring_index(F.get(gaps, i), "\n", -1), F.substring_index(F.get(gaps, i + 1), "\n", 1)
+                return F.struct(start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"), m.alias("value"), before.alias("before"), after.alias("after"))
 
-    def step(gap_sizes: Column):
-        def add(acc: Column, m: Column) -> Column:
-            at = acc["at"] + F.get(gap_sizes, m["i"])
-            found = F.struct(at.alias("start"), (at + m["size"]).alias("end"), m["value"].alias("value"))
-            return F.struct((at + m["size"]).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+            return F.transform(matches, one)
 
-        return F.aggregate(sizes, start, add, lambda acc: acc["out"])
+        return let(running(sizes, plus), at)
 
-    return F.get(F.transform(F.array(F.transform(gaps, F.length)), step), F.lit(0))
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("matches")), place)
 
 
 def _checker(kind: str):
@@ -93,19 +130,17 @@ def _spanner(rank: int):
 
 
 def _entity(kind: str):
-    """The entity of a match and the rest of its line."""
+    """The entity of a match and the words beside it: of its line, up to the matches of its kind before and after."""
 
     def pair(m: Column) -> Column:
-        before = F.substring_index(F.substr("text", F.lit(1), m["start"]), "\n", -1)
-        after = F.substring_index(F.substr("text", m["end"] + 1), "\n", 1)
-        return F.struct(F.concat(F.lit(kind + ":"), F.lower(m["value"])).alias("entity"), F.concat_ws(" ", before, after).alias("line"))
+        return F.struct(F.concat(F.lit(kind + ":"), F.lower(m["value"])).alias("entity"), F.concat_ws(" ", m["before"], m["after"]).alias("line"))
 
     return pair
 
 
 def with_matches(docs: DataFrame) -> DataFrame:
-    """``docs`` with an array column of good matches (start, end, value) for each base kind."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    """``docs`` with an array column of good matches for each base kind (see ``placed_matches``)."""
+    none = F.array().cast(MATCHES)
     for kind, pattern in PATTERNS.items():
         hint = F.col("text").contains(HINTS[kind]) if kind in HINTS else F.col("text").rlike(pattern)
         found = F.filter(placed_matches(F.col("text"), F.lit(pattern)), _checker(kind))
@@ -164,16 +199,21 @@ def term_spans(base: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, doc_hash, term_spans of the documents that hold an entity which terms give away."""
     held = base.where(F.size("entities") > 0).select("doc_id", "doc_hash", F.explode("entities.entity").alias("entity"))
     wanted = stash(held.join(terms, "entity").groupBy("doc_hash").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms")), "pii-wanted")
-    sieve = F.pmod("doc_hash", F.lit(SIEVE))
+    sieve = F.pmod(F.xxhash64("doc_hash"), F.lit(SIEVE))
     few = docs.withColumn("sieve", sieve).join(F.broadcast(wanted.select(sieve.alias("sieve")).distinct()), "sieve", "left_semi").drop("sieve")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("terms"), F.lit(r")(?!\p{L})"))
     found = F.transform(placed_matches(F.col("text"), pattern), _spanner(KINDS.index("term")))
     return few.join(wanted, "doc_hash").select("doc_hash", found.alias("term_spans")).groupBy("doc_hash").agg(F.first("term_spans").alias("term_spans"))
 
 
+def text_hash() -> Column:
+    """128 bits, so that no two texts of a corpus of any size share theirs by chance."""
+    return F.unhex(F.md5("text"))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, doc_hash (of the text), n_email ... n_phone, spans (base), term_spans of every row of ``docs``."""
-    own = own_columns(docs, "doc_id", "text").withColumn("text", whole_text()).withColumn("doc_hash", F.xxhash64("text", F.lit(11)))
+    own = own_columns(docs, "doc_id", "text").withColumn("text", whole_text()).withColumn("doc_hash", text_hash())
     base = stash(base_entities(own), "pii-base")
     terms = disclosing_terms(base, own)
     none = F.array().cast(SPAN)
@@ -194,19 +234,30 @@ def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind's tag; overlapping spans are replaced as one, by the first one's."""
     tags = F.array(*[F.lit(TAGS[k]) for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        clear = s["start"] >= acc["at"]
-        out = F.when(clear, F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(tags, s["rank"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    # Four bytes for each code point, so that a piece is cut out without walking over the text before it.
+    def piece(wide: Column, start: Column, size: Column) -> Column:
+        return F.decode(F.substr(wide, 4 * start + 1, 4 * size), "UTF-32")
+
+    def build(found: Column) -> Column:
+        wide, ordered = found["wide"], found["ordered"]
+
+        def pieces(ends: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                end = F.get(ends, i)
+                return F.when(s["start"] >= end, F.concat(piece(wide, end, s["start"] - end), F.get(tags, s["rank"]))).otherwise("")
+
+            last = F.array_max(F.transform(ordered, lambda s: s["end"]))
+            return F.concat(F.array_join(F.transform(ordered, one), ""), piece(wide, last, F.length(text) - last))
+
+        return let(running(F.transform(ordered, lambda s: s["end"]), F.greatest), pieces)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.sort_array(spans), start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    done = let(F.struct(F.encode(text, "UTF-32").alias("wide"), F.sort_array(spans).alias("ordered")), build)
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 
 def sanitise(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (spans replaced by tags) of every row of ``docs``, and the columns of ``carry``."""
-    own = own_columns(docs, "doc_id", "text", *carry).withColumn("text", whole_text()).withColumn("doc_hash", F.xxhash64("text", F.lit(11)))
+    own = own_columns(docs, "doc_id", "text", *carry).withColumn("text", whole_text()).withColumn("doc_hash", text_hash())
     found = find(docs).where((F.size("spans") > 0) | (F.size("term_spans") > 0))
     by_text = found.groupBy("doc_hash").agg(F.first(F.concat("spans", "term_spans")).alias("spans"))
     return own.join(by_text, "doc_hash", "left").select("doc_id", *carry, F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans"))).alias("text"))

@@ -25,8 +25,10 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that the cluster shares: ``spark.checkpoint.dir``. Only a session on one machine may do without: it has one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (folder or _own_folder()).rstrip("/")
 
 
