@@ -347,3 +347,22 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     packed = stages["best_fit_packing"](spark, clean, sf_dir)
     assert {r["doc_id"] for r in packed.collect()} == {k for k, _ in pairs(clean)}
     assert corpus_pipeline.run(spark, sf_dir).count() == packed.count()
+
+
+def test_pipeline_with_nulls_repeats_and_clashing_names(spark, sf_dir, empty):
+    stages = corpus_pipeline.STAGES
+    prose = " ".join(f"every word{i} of this line stands alone and is read once by somebody{i}" for i in range(12))
+    rows = [(1, prose), (1, prose), (2, prose + " x@y.zz"), (None, prose), (3, None), (4, ""), (5, "long " * 60_000), (6, "é\U0001f600 " + prose[::-1])]
+    docs = table(spark, rows).withColumns({c: F.lit(7) for c in ("kept", "kept_id", "class_id", "label", "key", "dropped", "spans", "doc_hash", "n_words", "piece", "node")})
+    docs = docs.unionByName(docs.where("doc_id = 6").withColumns({c: F.lit(None).cast(t) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))}))
+    for name, stage in stages[:-1]:
+        own = stage(spark, docs, sf_dir)
+        assert own.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "minhash_near_dedup":
+            assert sorted((r["doc_id"] for r in own.collect()), key=repr) == sorted([1, None, 3, 4, 5, 6], key=repr)
+        if name in ("line_dedup", "pii"):
+            assert own.count() == docs.count()
+    packed = stages[-1][1](spark, docs, sf_dir).collect()
+    assert {r["doc_id"] for r in packed} == {None, 1, 2, 3, 4, 5, 6}
+    for _, stage in stages:
+        assert stage(spark, empty, sf_dir).count() == 0
