@@ -209,9 +209,9 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int = 5, with_added: bool
     """
     pairs = stash(pairs.select("a", "b"), "pairs")
     heavy = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIECE).alias("pieces")).where("pieces > 1")
-    dealt = pairs.join(heavy, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).alias("piece"), "b")
+    dealt = stash(pairs.join(heavy, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1))).alias("piece"), "b"), "dealt")
     wanted = dealt.select("a", "piece", "b", F.col("b").alias("doc_id")).unionByName(dealt.select("a", "piece", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct())
-    if pairs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if dealt.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
     streams = texts.join(wanted, "doc_id").select("a", "piece", "b", "text").repartition(partitions(texts.sparkSession), "a", "piece").sortWithinPartitions("a", "piece", F.col("b").asc_nulls_first(), "text")
 
