@@ -103,3 +103,17 @@ def parse_time(text: Column) -> Column:
 def in_hours(minute_of_day: Column, start: int, end: int) -> Column:
     """Whether a minute lies in a window of the day that may go over midnight."""
     return minute_of_day.between(start, end - 1) if start <= end else (minute_of_day >= start) | (minute_of_day < end)
+
+
+def timestomp_flags(standard: list[str], named: list[str]) -> dict[str, Column]:
+    """Flags of a file record from its ticks of 100 ns, created and modified first (further times may follow, in one order).
+
+    ``timestomped``: the name's creation is later than the standard one.
+    ``usec_zeros``: created and modified are whole seconds. ``copied``: all times
+    are equal. A missing time counts as 0, as the record holds it.
+    """
+    si, fn = ([F.coalesce(F.col(c), F.lit(0)) for c in cs] for cs in (standard, named))
+    copied = F.lit(True)
+    for a, b in zip(si, fn):
+        copied = copied & (a == b)
+    return {"timestomped": fn[0] > si[0], "usec_zeros": (si[0] % 10_000_000 == 0) & (si[1] % 10_000_000 == 0), "copied": copied}

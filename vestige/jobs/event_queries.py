@@ -239,9 +239,9 @@ def blackout_gaps(spark, sf_dir):
     return gaps.select("event_type", "host", micros_of(F.col("before")).alias("from_us"), micros_of(F.col("ts")).alias("to_us"), "hours")
 
 
-@query("record_gaps", "SELECT host, before + 1 AS first_missing, event_id - 1 AS last_missing, event_id - before - 1 AS n FROM (SELECT user_id % 7 AS host, event_id, lag(event_id) OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS before FROM events) WHERE event_id - before > 30")
+@query("record_gaps", "SELECT host, before + 1 AS first_missing, event_id - 1 AS last_missing, event_id - before - 1 AS n FROM (SELECT user_id % 7 AS host, event_id, lag(event_id) OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS before FROM events) WHERE event_id - before > 1")
 def record_gaps(spark, sf_dir):
-    return win.record_gaps(table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("host"), "event_id"), "host", "event_id").where("n >= 30")
+    return win.record_gaps(table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("host"), "event_id"), "host", "event_id")
 
 
 @query("cross_timeline", "SELECT * FROM (SELECT 'events' AS leg, event_id AS id, epoch_us(ts) AS at_us FROM events WHERE event_type = 'error' UNION ALL SELECT 'signups', event_id, epoch_us(ts) FROM events WHERE event_type = 'signup') WHERE at_us BETWEEN epoch_us(TIMESTAMP '2024-01-10') AND epoch_us(TIMESTAMP '2024-01-11')")
@@ -292,34 +292,52 @@ def around(spark, sf_dir):
     return find.around([events(spark, sf_dir), orders(spark, sf_dir)], "3", low, high)
 
 
-@query("around_anchors", "SELECT a.event_id AS anchor_id, b.event_id FROM events a JOIN events b ON a.user_id % 7 = b.user_id % 7 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 1800000000 WHERE a.event_type = 'purchase' AND a.user_id < 20")
+@query("around_anchors", "SELECT a.event_id AS anchor_id, b.event_id FROM events a JOIN events b ON a.user_id % 7 = b.user_id % 7 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 60000000 WHERE a.event_type = 'purchase'")
 def around_anchors(spark, sf_dir):
     r = events(spark, sf_dir)
-    anchors = r.df.where("event_type = 'purchase' AND user_id < 20").select(F.col("event_id").alias("anchor_id"), "host", F.col("ts").alias("at"))
-    return find.around_anchors(r, anchors, 1800).select("anchor_id", "event_id")
+    anchors = r.df.where("event_type = 'purchase'").select(F.col("event_id").alias("anchor_id"), "host", F.col("ts").alias("at"))
+    return find.around_anchors(r, anchors, 60).select("anchor_id", "event_id")
 
 
-@query("merged_rows", """SELECT relation, row_id, at_us, summary FROM (SELECT * FROM (SELECT 'events' AS relation, event_id::VARCHAR AS row_id, epoch_us(ts) AS at_us, event_type || ' · ' || user_id || ' · ' || props AS summary FROM events WHERE event_type = 'error'
+@query("merged_rows", """SELECT relation, row_id, at_us, summary, row_number() OVER (ORDER BY at_us NULLS LAST, relation, row_id) - 1 AS position FROM (SELECT * FROM (SELECT 'events' AS relation, event_id::VARCHAR AS row_id, epoch_us(ts) AS at_us, event_type || ' · ' || user_id || ' · ' || props AS summary FROM events WHERE event_type = 'error'
 UNION ALL SELECT 'orders', o_orderkey::VARCHAR, epoch_us(o_orderdate), o_orderstatus || ' · ' || o_orderpriority FROM orders WHERE o_orderstatus = 'P') ORDER BY at_us NULLS LAST, relation, row_id LIMIT 500)""")
 def merged_rows(spark, sf_dir):
     out = find.merged_rows([events(spark, sf_dir), orders(spark, sf_dir)], {"events": F.col("event_type") == "error", "orders": F.col("o_orderstatus") == "P"}, 500)
-    return out.select("relation", "row_id", micros_of(F.col("seen_at")).alias("at_us"), "summary")
+    return out.select("relation", "row_id", micros_of(F.col("seen_at")).alias("at_us"), "summary", "position")
 
 
-@query("page", "SELECT event_id, event_type, user_id FROM events WHERE event_type = 'error' ORDER BY value NULLS LAST, event_id LIMIT 100 OFFSET 200")
-def page(spark, sf_dir):
+PAGE_SQL = """SELECT event_id, event_type[:2000] AS event_type, user_id, position, failed, position + 1 < (SELECT count(*) FROM events WHERE event_type = 'error') AND {last} AS has_more
+FROM (SELECT *, CASE WHEN user_id % 5 = 0 THEN 'value' ELSE '' END AS failed, row_number() OVER (ORDER BY CASE WHEN user_id % 5 <> 0 THEN value END {way} NULLS LAST, event_id) - 1 AS position FROM events WHERE event_type = 'error') WHERE position >= {offset} AND position < {offset} + 100"""
+
+
+def paged(spark, sf_dir, order, offset):
+    """Events whose value has text but failed to convert for some users, so that nulls are sorted and flagged."""
     r = events(spark, sf_dir)
-    return win.page(r, pred.compile_filter(leaf("event_type", "eq", "error"), r), ["value"], 100, 200).select("event_id", "event_type", "user_id")
+    df = r.df.withColumn("value__text", F.col("value").cast("string")).withColumn("value", F.when(F.col("user_id") % 5 != 0, F.col("value")))
+    r = Relation("events", df, "host", "ts", "event_id", ("event_type", "props"), r.typed, {"value": "value__text"})
+    out = win.page(r, pred.compile_filter(leaf("event_type", "eq", "error"), r), order, 100, offset)
+    return out.select("event_id", "event_type", "user_id", "position", F.array_join("failed", ",").alias("failed"), "has_more")
 
 
-@query("row_offset", "SELECT count(*) AS place FROM events WHERE value < (SELECT value FROM events WHERE event_id = 4321) OR value = (SELECT value FROM events WHERE event_id = 4321) AND event_id < 4321")
+@query("page", PAGE_SQL.format(way="", offset=200, last="(SELECT count(*) FROM events WHERE event_type = 'error') > 300"))
+def page(spark, sf_dir):
+    return paged(spark, sf_dir, ["value"], 200)
+
+
+@query("page_descending", PAGE_SQL.format(way="DESC", offset=0, last="(SELECT count(*) FROM events WHERE event_type = 'error') > 100"))
+def page_descending(spark, sf_dir):
+    return paged(spark, sf_dir, ["-value"], 0)
+
+
+@query("row_offset", "SELECT count(*) AS place FROM (SELECT event_id, CASE WHEN user_id % 5 <> 0 THEN value END AS v FROM events) WHERE v < (SELECT value FROM events WHERE event_id = 4321) OR v = (SELECT value FROM events WHERE event_id = 4321) AND event_id < 4321 OR (SELECT user_id % 5 = 0 FROM events WHERE event_id = 4321) AND (v IS NOT NULL OR event_id < 4321)")
 def row_offset(spark, sf_dir):
-    return win.row_offset(events(spark, sf_dir), "value", 4321)
+    r = events(spark, sf_dir)
+    return win.row_offset(r.with_df(r.df.withColumn("value", F.when(F.col("user_id") % 5 != 0, F.col("value")))), "value", 4321)
 
 
-@query("find_matches", "SELECT * FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS position, event_type = 'error' AS hit FROM events) WHERE hit")
+@query("find_matches", "SELECT * FROM (SELECT event_id, props, row_number() OVER (ORDER BY ts, event_id) AS position, event_type = 'error' AS hit, CASE WHEN event_type = 'error' THEN row_number() OVER (PARTITION BY event_type = 'error' ORDER BY ts, event_id) END AS ordinal FROM events)")
 def find_matches(spark, sf_dir):
-    return win.numbered(table(spark, sf_dir, "events"), ["ts", "event_id"], F.col("event_type") == "error").where("hit").select("event_id", "position", "hit")
+    return win.numbered(table(spark, sf_dir, "events"), ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "props", "position", "hit", "ordinal")
 
 
 @query("row_occurrence", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS occurrence FROM orders")

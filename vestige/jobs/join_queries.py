@@ -205,7 +205,7 @@ def skip_covered_copies(spark, sf_dir):
 
 @query("rebind_annotations", """WITH old AS (SELECT o_orderkey AS row_id, md5(o_orderstatus || o_orderpriority || o_custkey) AS row_hash, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority, o_custkey ORDER BY o_orderkey) AS occurrence, o_custkey % 7 AS host FROM orders WHERE o_orderkey % 2 = 0),
 new AS (SELECT o_orderkey AS row_id, md5(o_orderstatus || o_orderpriority || o_custkey) AS row_hash, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority, o_custkey ORDER BY o_orderkey) AS occurrence, o_custkey % 7 AS host FROM orders WHERE o_orderkey % 2 = 1)
-SELECT o.row_id, n.row_id AS new_id, CASE WHEN n.row_id IS NULL THEN 'left' ELSE 'moved' END AS outcome FROM old o LEFT JOIN new n ON o.row_hash = n.row_hash AND o.occurrence = n.occurrence AND o.host = n.host WHERE o.row_id % 20 = 0""")
+SELECT o.row_id, n.row_id AS new_id, CASE WHEN n.row_id IS NULL THEN 'left' ELSE 'moved' END AS outcome FROM old o LEFT JOIN new n ON o.row_hash = n.row_hash AND o.occurrence = n.occurrence AND o.host = n.host WHERE o.row_id IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def rebind_annotations(spark, sf_dir):
     from vestige.operators.windows import occurrences
 
@@ -216,7 +216,8 @@ def rebind_annotations(spark, sf_dir):
         return rows.select(F.col("o_orderkey").alias("row_id"), F.md5(F.concat("o_orderstatus", "o_orderpriority", F.col("o_custkey").cast("string"))).alias("row_hash"), "occurrence", (F.col("o_custkey") % 7).alias("host"))
 
     old = run(0)
-    marks = old.where("row_id % 20 = 0").select("row_id", F.lit("suspicious").alias("mark"))
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0")
+    marks = urgent.select(F.col("o_orderkey").alias("row_id"), F.lit("suspicious").alias("mark"))
     return records.rebind(marks, old, run(1)).select("row_id", "new_id", "outcome")
 
 
@@ -230,10 +231,18 @@ def row_marks(spark, sf_dir):
     return records.derived_marks(stored, evidence, entries)
 
 
-@query("f_mark", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("f_mark", """WITH m AS (SELECT doc_id, arg_min(CASE WHEN toxic = 1 THEN 'malicious' ELSE 'suspicious' END, quality) AS mark FROM labels WHERE toxic = 1 OR quality = 0 GROUP BY 1)
+SELECT doc_id FROM documents LEFT JOIN m USING (doc_id) WHERE (coalesce(mark, 'none') <> 'malicious' AND lang = 'en') OR coalesce(mark, 'none') IN ('suspicious', 'agent_malicious')""")
 def f_mark(spark, sf_dir):
-    marked = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id").join(marked, "doc_id", "left_anti")
+    from vestige.operators.predicates import apply_filter
+    from vestige.relation import Relation
+
+    lab = table(spark, sf_dir, "labels").where("toxic = 1 OR quality = 0")
+    marks = lab.groupBy(F.col("doc_id").alias("row_id")).agg(F.min_by(F.when(F.col("toxic") == 1, "malicious").otherwise("suspicious"), "quality").alias("mark"))
+    docs = Relation("documents", table(spark, sf_dir, "documents").select("doc_id", "lang"), row_id="doc_id", data=("lang",))
+    leaf = lambda c, op, v: {"col": c, "op": op, "value": v}
+    wanted = {"or": [{"and": [leaf("_mark", "ne", "malicious"), leaf("lang", "eq", "EN")]}, leaf("_mark", "in", ["suspicious", "agent_malicious"])]}
+    return apply_filter(records.with_marks(docs, marks), wanted).select("doc_id")
 
 
 @query("mark_counts", "SELECT mark, relation, count(*) AS n FROM (SELECT CASE WHEN toxic = 1 THEN 'malicious' ELSE 'none' END AS mark, lang AS relation FROM labels JOIN documents USING (doc_id)) GROUP BY ROLLUP (mark, relation) HAVING mark IS NOT NULL")
@@ -284,7 +293,7 @@ def annotated_ids(spark, sf_dir):
 @query("host_zones", "SELECT DISTINCT c_nationkey AS host, n_name AS zone FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
 def host_zones(spark, sf_dir):
     zones = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("host"), F.col("n_name").alias("zone"))
-    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("host")).distinct().join(F.broadcast(zones.limit(1000)), "host", "left")
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("host")).distinct().join(lookups.sized(zones), "host", "left")
 
 
 @query("client_days", "SELECT o_orderkey, o_custkey % 4 + 1 AS nth, (DATE '1995-01-01' + (o_custkey % 4)::INTEGER)::VARCHAR AS day FROM orders")

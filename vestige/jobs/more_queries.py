@@ -29,10 +29,10 @@ def shellbag_paths(spark, sf_dir):
     return paths.select("p_partkey", tx.join_path(F.lit("Desktop"), F.col("path")).alias("path"))
 
 
-@query("cloud_folder_paths", PATHS_SQL.replace("SELECT p_partkey, path FROM t", "SELECT DISTINCT l_orderkey, path || '\\' || l_linenumber AS path FROM lineitem JOIN t ON l_partkey = p_partkey WHERE l_linenumber < 3"))
+@query("cloud_folder_paths", PATHS_SQL.replace("SELECT p_partkey, path FROM t", "SELECT DISTINCT l_orderkey, path || '\\' || l_linenumber AS path FROM lineitem JOIN t ON l_partkey = p_partkey"))
 def cloud_folder_paths(spark, sf_dir):
     folders = hierarchy.full_paths(tree(spark, sf_dir), ["volume"], "p_partkey", "parent", "p_partkey", F.col("p_partkey") < 2).select("p_partkey", F.col("path").alias("folder"))
-    files = table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    files = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
     return files.join(folders, "p_partkey").select("l_orderkey", tx.join_path(F.col("folder"), F.col("l_linenumber").cast("string")).alias("path")).distinct()
 
 
@@ -103,9 +103,9 @@ def marked_worklist(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("network_order", USAGE_SQL + " SELECT host, exe, sent FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY sent DESC, exe) AS nth FROM (SELECT host, exe, sum(sent)::BIGINT AS sent FROM u GROUP BY 1, 2)) WHERE nth <= 3")
+@query("network_order", USAGE_SQL + " SELECT host, exe, sent, row_number() OVER (PARTITION BY host ORDER BY sent DESC, exe) AS rank FROM (SELECT host, exe, sum(sent)::BIGINT AS sent FROM u GROUP BY 1, 2)")
 def network_order(spark, sf_dir):
-    return network.top_programs(usage(spark, sf_dir), 3).select("host", "exe", "sent")
+    return network.top_programs(usage(spark, sf_dir)).select("host", "exe", "sent", "rank")
 
 
 @query("mru_positions", "SELECT p_partkey, p_size % 5 AS slot, 0 AS position FROM part UNION ALL SELECT p_partkey, 7, 1 FROM part")

@@ -32,9 +32,9 @@ def prtime_to_ts(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", tm.prtime_micros(F.col("p_size") % 5).alias("us"))
 
 
-@query("unix_to_ts", "SELECT p_partkey, CASE WHEN p_partkey * 1000000000 <= 253402300799 THEN p_partkey * 1000000000000000 END AS us FROM part WHERE p_partkey < 5000")
+@query("unix_to_ts", "SELECT p_partkey, CASE WHEN p_partkey::HUGEINT * 10000000 <= 253402300799 THEN p_partkey * 10000000000000 END AS us FROM part")
 def unix_to_ts(spark, sf_dir):
-    return part(spark, sf_dir).where("p_partkey < 5000").select("p_partkey", tm.unix_micros(F.when(F.col("p_partkey") < 254, F.col("p_partkey") * 1_000_000_000).otherwise(999_999_999_999)).alias("us"))
+    return part(spark, sf_dir).select("p_partkey", tm.unix_micros(F.col("p_partkey") * 10_000_000).alias("us"))
 
 
 @query("unix_ms_to_ts", "SELECT p_partkey, nullif(p_partkey, 0) * 1000 AS us FROM part")
@@ -325,11 +325,19 @@ def file_listing(spark, sf_dir):
     return part(spark, sf_dir).where("p_size % 3 <> 0").select("p_partkey", tx.join_path(F.col("p_brand"), F.col("p_name")).alias("path"))
 
 
-@query("timestomp_flags", "SELECT l_orderkey, l_linenumber, l_shipdate < o_orderdate AS si_before_fn, second(l_shipdate) = 0 AS whole_second FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+# File times in ticks of 100 ns: created and modified of the standard information from the order's and the line's dates.
+TICKS_SQL = """SELECT l_orderkey, l_linenumber, epoch_us(o_orderdate) * 10 + l_linenumber % 2 AS si_created, epoch_us(l_shipdate) * 10 + l_suppkey % 3 AS si_modified,
+epoch_us(o_orderdate) * 10 + (l_linenumber % 2) * (l_partkey % 2) AS fn_created, epoch_us(l_shipdate) * 10 + l_suppkey % 3 AS fn_modified FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+@query("timestomp_flags", f"SELECT l_orderkey, l_linenumber, fn_created > si_created AS timestomped, si_created % 10000000 = 0 AND si_modified % 10000000 = 0 AS usec_zeros, si_created = fn_created AND si_modified = fn_modified AS copied FROM ({TICKS_SQL})")
 def timestomp_flags(spark, sf_dir):
-    joined = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-    whole = F.pmod(tm.micros_of(F.col("l_shipdate")), F.lit(60_000_000)) == 0
-    return joined.select("l_orderkey", "l_linenumber", (F.col("l_shipdate") < F.col("o_orderdate")).alias("si_before_fn"), whole.alias("whole_second"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey", "l_partkey")
+    joined = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    created, modified = tm.micros_of(F.col("o_orderdate")) * 10, tm.micros_of(F.col("l_shipdate")) * 10 + F.col("l_suppkey") % 3
+    ticks = joined.select("l_orderkey", "l_linenumber", (created + F.col("l_linenumber") % 2).alias("si_created"), modified.alias("si_modified"), (created + F.col("l_linenumber") % 2 * (F.col("l_partkey") % 2)).alias("fn_created"), modified.alias("fn_modified"))
+    flags = tm.timestomp_flags(["si_created", "si_modified"], ["fn_created", "fn_modified"])
+    return ticks.select("l_orderkey", "l_linenumber", *[c.alias(name) for name, c in flags.items()])
 
 
 @query("suppress_equal_times", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE epoch_us(o_orderdate) + 1 END AS fn_us FROM orders")

@@ -68,23 +68,6 @@ def width_for(first_micros: int, last_micros: int, most: int) -> int:
     return WIDTHS[-1]
 
 
-def histogram(relation: Relation, most: int = 100, marked: Column | None = None) -> DataFrame:
-    """(bucket index from the first, start second, rows, marked rows); empty buckets have no row. Two passes."""
-    seconds = F.unix_seconds(F.col(relation.time).cast("timestamp"))
-    ends = relation.df.agg(F.min(seconds).alias("a"), F.max(seconds).alias("b")).first()
-    if ends["a"] is None:
-        width, first = 1, 0
-    else:
-        width = width_for(ends["a"] * 1_000_000, ends["b"] * 1_000_000, most)
-        first = ends["a"] // width
-    bucket = F.floor(seconds / width).cast("long")
-    return (
-        relation.df.where(F.col(relation.time).isNotNull())
-        .groupBy((bucket - first).alias("bucket"), (bucket * width).alias("start_second"))
-        .agg(F.count("*").alias("n"), F.count_if(marked if marked is not None else F.lit(False)).alias("marked"))
-    )
-
-
 def count_view(relation: Relation, condition: Column) -> DataFrame:
     """Rows that the condition picks, all rows, and typed cells among the picked that failed to convert."""
     failed = sum((F.count_if(condition & F.col(c).isNull() & (F.coalesce(relation.text_of(c), F.lit("")) != "")) for c in sorted(relation.typed)), F.lit(0))

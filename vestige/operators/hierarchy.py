@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from vestige.operators.storage import checkpointed
 
 def full_paths(entries: DataFrame, volume: list[str], entry: str, parent: str, name: str, root: Column, follows: Column | None = None, separator: str = "\\") -> DataFrame:
     """``entries`` with ``path`` and ``state``: root, missing (a parent isn't there), invalid (cycle or bad edge).
@@ -19,15 +19,9 @@ def full_paths(entries: DataFrame, volume: list[str], entry: str, parent: str, n
     followed (a sequence number may say that the parent was reused). States
     come first, so that names are joined only where a path ends.
     """
-    spark = entries.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vestige-"))
     good = follows if follows is not None else F.lit(True)
     state = F.when(root, "root").when(~F.coalesce(good, F.lit(False)), "invalid").when(F.col(parent).isNull(), "missing").otherwise("open")
-    edges = entries.select(*volume, F.col(entry).alias("e"), F.col(parent).alias("up"), F.col(name).cast("string").alias("path"), state.alias("state")).checkpoint()
+    edges = checkpointed(entries.select(*volume, F.col(entry).alias("e"), F.col(parent).alias("up"), F.col(name).cast("string").alias("path"), state.alias("state")))
     most = edges.groupBy(*volume).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     rounds = most.bit_length() + 1  # after so many doublings an open entry can only be in or under a cycle
     ends = _doubled(edges.withColumn("path", F.lit("")), volume, "", rounds)
@@ -49,5 +43,5 @@ def _doubled(now: DataFrame, volume: list[str], separator: str, rounds: int) ->
             F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", F.lit(separator), "path")).alias("path"),
             F.coalesce("above_state", F.lit("missing")).alias("state"),
         )
-        now = now.where("state <> 'open'").unionByName(stepped.select(*now.columns)).checkpoint()
+        now = checkpointed(now.where("state <> 'open'").unionByName(stepped.select(*now.columns)))
     return now

@@ -15,8 +15,12 @@ def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 
 
 def enrich(rows: DataFrame, lookup: DataFrame, keys: list[str], values: list[str], missing: str = "") -> DataFrame:
-    """``rows`` with the lookup's values; the missing text where there is none."""
-    out = rows.join(sized(lookup.select(*keys, *values)), keys, "left")
+    """``rows`` with the lookup's values; the missing text where there is none.
+
+    A key that the lookup holds several times gives the least of its value tuples, so no row is multiplied.
+    """
+    one = lookup.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_values")).select(*keys, *[F.col(f"_values.{v}").alias(v) for v in values])
+    out = rows.join(sized(one), keys, "left")
     return out.withColumns({v: F.coalesce(F.col(v).cast("string"), F.lit(missing)) for v in values})
 
 
@@ -61,8 +65,3 @@ def joined_chain(rows: DataFrame, key: str, order: str, value: str, separator: s
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
     return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["v"]), separator).alias("chain"))
 
-
-def match_interval(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
-    """(point, range) pairs with low <= at <= high: an equi-join on buckets of ``width``, then the exact test."""
-    spread = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return points.withColumn("_bucket", F.floor(F.col(at) / width)).join(spread, "_bucket").where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")

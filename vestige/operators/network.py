@@ -49,7 +49,8 @@ def host_offset(values: DataFrame) -> DataFrame:
     return pivot.select("host", (-F.coalesce(F.col("ActiveTimeBias"), F.col("Bias") + F.coalesce(F.col("StandardBias"), F.lit(0)))).alias("minutes"))
 
 
-def top_programs(hours: DataFrame, n: int) -> DataFrame:
-    """The ``n`` programs of each host that sent most."""
+def top_programs(hours: DataFrame, n: int | None = None) -> DataFrame:
+    """The programs of each host, by what they sent; with ``n`` the first of them."""
     sums = hours.groupBy("host", "exe").agg(F.sum("sent").alias("sent"))
-    return sums.withColumn("rank", F.row_number().over(W.partitionBy("host").orderBy(F.desc("sent"), "exe"))).where(F.col("rank") <= n)
+    ranked = sums.withColumn("rank", F.row_number().over(W.partitionBy("host").orderBy(F.desc("sent"), "exe")))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)

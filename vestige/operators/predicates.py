@@ -14,9 +14,10 @@ from vestige.relation import Relation
 
 # Limits of a document.
 MAX_DEPTH, MAX_LEAVES, MAX_REGEX, MAX_IN = 8, 200, 1000, 10_000
-TEXT_OPS = {"eq", "ne", "contains", "not_contains", "starts_with", "ends_with", "regex", "in", "not_in"}
+#: Marks of a row; ``none`` is the absence of any.
+MARKS = ("suspicious", "malicious", "agent_malicious", "none")
+MARK_COLUMN = "_mark"
 RANGE_OPS = {"gt", "gte", "lt", "lte", "between"}
-STATE_OPS = {"is_empty", "not_empty", "conversion_failed"}
 
 
 class FilterError(ValueError):
@@ -50,6 +51,8 @@ def _node(doc: dict, relation: Relation, depth: int, leaves: list[int]) -> Colum
 
 def _leaf(doc: dict, relation: Relation) -> Column:
     column, op, value = doc["col"], doc["op"], doc.get("value")
+    if column == MARK_COLUMN:
+        return _mark(op, value, relation)
     if column not in relation.df.columns:
         raise FilterError(f"no column {column}")
     folded = not doc.get("case_sensitive", False)
@@ -87,6 +90,17 @@ def _leaf(doc: dict, relation: Relation) -> Column:
     return ~test if op in ("ne", "not_contains", "not_in", "not_empty") else test
 
 
+def _mark(op: str, value: object, relation: Relation) -> Column:
+    """A test of the row's mark, the column that ``records.with_marks`` adds."""
+    wanted = [value] if op in ("eq", "ne") else list(value) if op in ("in", "not_in") else None
+    if wanted is None or any(v not in MARKS for v in wanted):
+        raise FilterError(f"{MARK_COLUMN} is one of {', '.join(MARKS)}")
+    if MARK_COLUMN not in relation.df.columns:
+        raise FilterError("the rows have no marks")
+    test = F.coalesce(MARK_COLUMN, F.lit("none")).isin(wanted) if wanted else F.lit(False)
+    return ~test if op in ("ne", "not_in") else test
+
+
 def _range(op: str, value: object, column: str, relation: Relation, shown: Column, folded: bool) -> Column:
     bounds = list(value) if op == "between" else [value]
     numeric = [isinstance(b, (int, float)) and not isinstance(b, bool) for b in bounds]
@@ -104,13 +118,15 @@ def _range(op: str, value: object, column: str, relation: Relation, shown: Colum
 
 
 def safe_regex(pattern: str, folded: bool) -> str:
-    """A pattern that a linear-time engine would take too: no look-around, no back-reference."""
+    """A pattern without look-around, back-references, and repeats of what ends in a repeat."""
     import re
 
     if not isinstance(pattern, str) or len(pattern) > MAX_REGEX:
         raise FilterError("pattern too long")
     if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<|\(\?>|[+*?}]\+", pattern):
         raise FilterError("look-around, back-references and possessive repeats aren't allowed")
+    if re.search(r"[+*}]\??\)+(?:[+*]|\{\d+,)", pattern):
+        raise FilterError("a repeat of what ends in a repeat isn't allowed: matching it may take exponential time")
     return ("(?iu)" if folded else "") + pattern
 
 
@@ -182,5 +198,5 @@ def registry_pattern(glob: str) -> str:
     """A key-path glob as an anchored pattern: ``*`` stays inside its segment, a prefix of segments matches."""
     import re
 
-    segments = [".*".join([]) or "".join(r"[^\\]*" if p == "*" else re.escape(p) for p in re.split(r"(\*)", s)) for s in glob.split("\\")]
+    segments = ["".join(r"[^\\]*" if p == "*" else re.escape(p) for p in re.split(r"(\*)", s)) for s in glob.split("\\")]
     return r"(?iu)^" + r"\\".join(segments) + r"(\\.*)?$"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vestige.operators.lookups import sized
+from vestige.relation import Relation
 
 
 def latest_runs(sources: DataFrame) -> DataFrame:
@@ -54,6 +55,12 @@ def derived_marks(stored: DataFrame, evidence: DataFrame, entries: DataFrame) ->
     return derived.select("row_id", "mark", F.col("by").cast("long").alias("by")).unionByName(rest)
 
 
+def with_marks(relation: Relation, marks: DataFrame) -> Relation:
+    """The relation with each row's mark in ``_mark`` (``marks``: row_id, mark; one mark a row), for filter documents."""
+    named = marks.select(F.col("row_id").alias(relation.row_id), F.col("mark").alias("_mark"))
+    return relation.with_df(relation.df.join(sized(named), relation.row_id, "left"))
+
+
 def evidence_state(attached: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Attached rows (row_id, row_hash, source_id) against the rows now: unchanged, changed, superseded, source removed."""
     now = rows.select("row_id", F.col("row_hash").alias("hash_now"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vestige.operators.storage import checkpointed
 from vestige.relation import Relation
 
 
@@ -86,11 +88,15 @@ def summary_line(columns: list[str], most: int = 300) -> Column:
 
 
 def merged_rows(relations: list[Relation], keep: dict[str, Column], limit: int) -> DataFrame:
-    """The first rows over all relations by time (none last), relation and id; summaries are made for these rows alone."""
+    """The first rows over all relations by time (none last), relation and id, numbered from 0 in ``position``.
+
+    The ids are ranked once, and kept; summaries are made for these rows alone.
+    """
     narrow = union([r.df.where(keep[r.name]).select(F.lit(r.name).alias("relation"), F.col(r.row_id).cast("string").alias("row_id"), F.col(r.time).alias("seen_at")) for r in relations])
-    top = narrow.orderBy(F.col("seen_at").asc_nulls_last(), "relation", "row_id").limit(limit)
+    keys = [F.col("seen_at").asc_nulls_last(), F.col("relation").asc(), F.col("row_id").asc()]
+    top = checkpointed(narrow.orderBy(*keys).limit(limit).withColumn("position", F.row_number().over(W.orderBy(*keys)).cast("long") - 1))  # at most ``limit`` rows
     parts = []
     for r in relations:
         wide = r.df.select(F.col(r.row_id).cast("string").alias("row_id"), summary_line(list(r.data)).alias("summary"))
-        parts.append(top.where(F.col("relation") == r.name).join(wide, "row_id"))
-    return union(parts)
+        parts.append(wide.join(F.broadcast(top.where(F.col("relation") == r.name)), "row_id"))
+    return union(parts).orderBy("position")

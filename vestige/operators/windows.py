@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vestige.functions.times import micros_of
 from vestige.operators.aggregates import width_for
+from vestige.operators.storage import checkpointed
 from vestige.relation import Relation
 
 
@@ -59,33 +60,64 @@ def histogram(relation: Relation, most: int, marked: Column) -> DataFrame:
     return timed.groupBy((bucket - first).alias("bucket"), (bucket * width).alias("start_second")).agg(F.count("*").alias("n"), F.count_if("marked").alias("marked"))
 
 
+#: Code points of a cell that a page shows.
+CELL = 2000
+
+
+def sort_keys(relation: Relation, order: list[str]) -> list[Column]:
+    """Total order: each column (``-`` before it: descending) by its typed value, or by its text in lower case; nulls last; then the row id."""
+    keys = []
+    for c in order:
+        name = c.lstrip("-")
+        value = F.col(name) if name in relation.typed else F.lower(relation.text_of(name))
+        keys.append(value.desc_nulls_last() if c.startswith("-") else value.asc_nulls_last())
+    return [*keys, F.col(relation.row_id).asc()]
+
+
 def page(relation: Relation, condition: Column, order: list[str], limit: int, offset: int) -> DataFrame:
-    """One page in total order: the ids are ranked first, then only their rows are read wide."""
-    keys = [F.col(c).asc_nulls_last() if c in relation.typed else F.lower(relation.text_of(c)).asc_nulls_last() for c in order]
-    ids = relation.df.where(condition).orderBy(*keys, relation.row_id).offset(offset).limit(limit).select(relation.row_id)
-    return relation.df.join(F.broadcast(ids), relation.row_id)  # at most ``limit`` ids
+    """One page in total order: ids are ranked first, then only their rows are read wide.
+
+    ``position`` from 0 over all picked rows; text cells are cut at ``CELL`` code
+    points; ``failed`` names the typed cells that have text but no value;
+    ``has_more``: whether rows come after the page. A page beyond the end is empty.
+    """
+    keys = sort_keys(relation, order)
+    ids = relation.df.where(condition).orderBy(*keys).offset(offset).limit(limit + 1).select(relation.row_id)
+    rows = relation.df.join(F.broadcast(ids), relation.row_id)  # at most ``limit`` + 1 ids
+    numbered_rows = rows.withColumn("position", F.row_number().over(W.orderBy(*keys)).cast("long") - 1 + offset).withColumn("has_more", F.count("*").over(W.partitionBy()) > limit)
+    failed = [F.when(F.col(c).isNull() & (F.coalesce(relation.text_of(c), F.lit("")) != ""), F.lit(c)) for c in sorted(relation.typed)]
+    shown = numbered_rows.where(F.col("position") < offset + limit).withColumn("failed", F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>"))
+    return shown.withColumns({c: F.substring(relation.text_of(c), 1, CELL) for c in relation.data if c not in relation.typed}).orderBy("position")
 
 
 def row_offset(relation: Relation, order: str, row_id: int) -> DataFrame:
-    """How many rows sort before one row: a count, not a sort."""
+    """How many rows sort before one row, nulls last as on a page: a count, not a sort."""
     own = relation.df.where(F.col(relation.row_id) == row_id).select(F.col(order).alias("own"), F.col(relation.row_id).alias("own_id"))
-    before = (F.col(order) < F.col("own")) | ((F.col(order) == F.col("own")) & (F.col(relation.row_id) < F.col("own_id")))
+    value, id_of = F.col(order), F.col(relation.row_id)
+    earlier = F.coalesce(value < F.col("own"), value.isNotNull() & F.col("own").isNull())
+    before = earlier | (value.eqNullSafe(F.col("own")) & (id_of < F.col("own_id")))
     return relation.df.select(order, relation.row_id).join(F.broadcast(own), F.lit(True)).agg(F.count_if(before).alias("place"))
 
 
 def numbered(df: DataFrame, order: list[str], hit: Column) -> DataFrame:
-    """Every row's position in total order, and the running number of hits.
+    """Every row's position in total order, and of hits their running number (``ordinal``, null for other rows).
 
-    Rows are range-partitioned; each partition counts its own rows, and the
+    Rows are range-partitioned and sorted once, and that copy is kept in the shared
+    folder, so its partitions stay what they are. Each counts its own rows; the
     counts of the partitions before (one row each) are added.
     """
-    placed = df.withColumn("hit", hit).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    sizes = placed.groupBy("part").agg(F.count("*").alias("rows"), F.count_if("hit").alias("hits"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = (1 << 33) - 1  # the lower part of an increasing id counts the rows of a partition
+    placed = df.withColumn("hit", hit).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    placed = checkpointed(placed.withColumn("nth", F.monotonically_increasing_id()))
+    part = F.shiftright("nth", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.count_if("hit").alias("hits"))
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"), F.coalesce(F.sum("hits").over(earlier), F.lit(0)).alias("hit_base"))
-    inside = W.partitionBy("part").orderBy(*order)
-    local = placed.withColumn("nth", F.row_number().over(inside)).withColumn("nth_hit", F.sum(F.col("hit").cast("long")).over(inside))
-    return local.join(F.broadcast(bases), "part").withColumn("position", F.col("nth") + F.col("base")).withColumn("ordinal", F.col("nth_hit") + F.col("hit_base")).drop("part", "nth", "nth_hit", "base", "hit_base")
+    hits = placed.where("hit").withColumn("nth_hit", F.monotonically_increasing_id().bitwiseAND(F.lit(low)))
+    rest = placed.where("hit IS NULL OR NOT hit").withColumn("nth_hit", F.lit(None).cast("long"))
+    rows = hits.unionByName(rest).withColumn("part", part).join(F.broadcast(bases), "part")
+    return rows.withColumn("position", F.col("nth").bitwiseAND(F.lit(low)) + F.col("base") + 1).withColumn("ordinal", F.col("nth_hit") + F.col("hit_base") + 1).drop("part", "nth", "nth_hit", "base", "hit_base")
 
 
 def occurrences(df: DataFrame, content: list[str], order: str) -> DataFrame:
