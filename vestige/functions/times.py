@@ -117,3 +117,20 @@ def timestomp_flags(standard: list[str], named: list[str]) -> dict[str, Column]:
     for a, b in zip(si, fn):
         copied = copied & (a == b)
     return {"timestomped": fn[0] > si[0], "usec_zeros": (si[0] % 10_000_000 == 0) & (si[1] % 10_000_000 == 0), "copied": copied}
+
+
+def in_zone_text(at: Column, zone: str) -> Column:
+    """A UTC time as ``<local> <offset>`` of a zone."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), at)
+    minutes = F.timestamp_diff("MINUTE", at, local)
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60).cast("int"), (F.abs(minutes) % 60).cast("int"))
+    return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), offset)
+
+
+def wall_to_utc(wall: Column, zone: str) -> Column:
+    """A wall-clock time of a zone as UTC; null for times that a clock change skips or repeats."""
+    there = lambda c: F.convert_timezone(F.lit("UTC"), F.lit(zone), c)
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+    hour = F.expr("INTERVAL 1 HOUR")
+    repeated = (there(utc + hour) == wall) | (there(utc - hour) == wall)
+    return F.when((there(utc) == wall) & ~repeated, utc)

@@ -71,18 +71,6 @@ def app_packages(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(wide, "c_custkey", "left").select("c_custkey", F.col("F").alias("display"), F.col("O").alias("folder"))
 
 
-@query("event_map_join", """SELECT event_id, CASE event_type WHEN 'error' THEN 'Failure' WHEN 'signup' THEN 'New account' ELSE '' END AS description,
-CASE event_type WHEN 'error' THEN 'code ' || user_id || ' at ' || props WHEN 'signup' THEN 'user ' || user_id ELSE '' END AS payload FROM events""")
-def event_map_join(spark, sf_dir):
-    # A rule is a row: what it matches, a description, a template whose %names% are filled from the event.
-    rules = spark.createDataFrame([("error", "Failure", "code %user_id% at %props%"), ("signup", "New account", "user %user_id%")], "event_type string, description string, template string")
-    joined = lookups.enrich(table(spark, sf_dir, "events"), rules, ["event_type"], ["description", "template"])
-    filled = F.col("template")
-    for name in ("user_id", "props"):
-        filled = F.replace(filled, F.lit(f"%{name}%"), F.col(name).cast("string"))
-    return joined.select("event_id", "description", filled.alias("payload"))
-
-
 @query("entry_list", """SELECT o_orderkey AS entry_id, count(l_orderkey) AS evidence, coalesce(string_agg(DISTINCT (l_suppkey % 7)::VARCHAR, ', ' ORDER BY (l_suppkey % 7)::VARCHAR), '') AS hosts
 FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' GROUP BY 1""")
 def entry_list(spark, sf_dir):

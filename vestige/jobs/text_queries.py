@@ -10,6 +10,7 @@ from vestige.jobs.registry import query, table
 from vestige.operators import predicates as pred
 from vestige.operators import records
 from vestige.operators.search import summary_line, union
+from vestige.operators.storage import fresh_path
 from vestige.sources import tables as src
 
 
@@ -51,10 +52,7 @@ def other_epochs(spark, sf_dir):
 @query("render_in_zone", "SELECT event_id, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') || ' +01:00' AS shown FROM events WHERE ts < TIMESTAMP '2024-03-01'")
 def render_in_zone(spark, sf_dir):
     df = table(spark, sf_dir, "events").where(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-03-01 00:00:00")))
-    local = F.convert_timezone(F.lit("UTC"), F.lit("Europe/Berlin"), F.col("ts"))
-    minutes = F.timestamp_diff("MINUTE", F.col("ts"), local)
-    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60).cast("int"), (F.abs(minutes) % 60).cast("int"))
-    return df.select("event_id", F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), offset).alias("shown"))
+    return df.select("event_id", tm.in_zone_text(F.col("ts"), "Europe/Berlin").alias("shown"))
 
 
 @query("utc_offset_shift", "SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d') AS day, hour(ts - INTERVAL 5 HOUR) AS hour FROM events")
@@ -274,9 +272,12 @@ def append_by_name(spark, sf_dir):
     return src.append_by_name([table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))])
 
 
-@query("export_per_channel", "SELECT o_orderpriority, trim(regexp_replace(o_orderpriority, '[^A-Za-z0-9-]', '_', 'g'), '_') AS file, count(*) AS n FROM orders GROUP BY 1, 2")
+@query("export_per_channel", "SELECT trim(regexp_replace(o_orderpriority, '[^A-Za-z0-9-]', '_', 'g'), '_') AS file, o_orderkey, o_orderpriority FROM orders")
 def export_per_channel(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", src.channel_file(F.col("o_orderpriority")).alias("file")).agg(F.count("*").alias("n"))
+    path = fresh_path(spark, "channels")
+    src.export_per_channel(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", path)
+    back = spark.read.schema("o_orderkey string, o_orderpriority string, channel_file string").csv(path, header=True)
+    return back.select(F.col("channel_file").alias("file"), F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority")
 
 
 @query("merged_vs_slices", "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0 OR (o_orderkey % 4 = 1 AND o_custkey % 2 = 0)")
@@ -359,7 +360,9 @@ def query_sql(spark, sf_dir):
     return spark.sql("SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY 1 ORDER BY 1", orders=table(spark, sf_dir, "orders")).limit(1000)
 
 
-@query("dataset_inventory", "SELECT n_regionkey AS tool, n_nationkey AS id, length(n_name) AS files FROM nation")
+@query("dataset_inventory", "SELECT source AS tool, lang AS id, count(*) AS files FROM documents GROUP BY 1, 2")
 def dataset_inventory(spark, sf_dir):
-    datasets = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("view"), F.split("n_name", "").alias("files"), F.create_map(F.lit("t"), F.lit("bigint")).alias("types"))).alias("datasets"))
-    return src.inventory(datasets.withColumnRenamed("n_regionkey", "tool")).select("tool", "id", F.col("files").cast("long").alias("files"))
+    per = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").cast("int").alias("n"))
+    files = F.transform(F.sequence(F.lit(1), "n"), lambda i: i.cast("string"))
+    datasets = per.groupBy(F.col("source").alias("tool")).agg(F.collect_list(F.struct(F.col("lang").alias("id"), F.col("lang").alias("view"), files.alias("files"), F.create_map(F.lit("t"), F.lit("bigint")).alias("types"))).alias("datasets"))
+    return src.inventory(datasets).select("tool", "id", F.col("files").cast("long").alias("files"))
