@@ -7,6 +7,7 @@ from vestige.functions import text as tx
 from vestige.functions import times as tm
 from vestige.operators import aggregates as agg
 from vestige.operators import hierarchy, lookups, network, records, windows
+from vestige.operators import search as find
 from vestige.operators.predicates import FilterError, apply_filter, compile_filter, parse_search, pick_hosts, registry_pattern, safe_regex, search
 from vestige.relation import Relation
 from vestige.sources import tables as src
@@ -155,3 +156,87 @@ def test_registry_glob():
 
     pattern = re.compile(registry_pattern(r"ROOT\Soft*\*\Run").replace("(?iu)", "(?i)"))
     assert pattern.match(r"root\software\MS\run") and pattern.match(r"ROOT\Softx\a\Run\sub") and not pattern.match(r"ROOT\Softx\a\b\Run")
+
+
+def numbers(spark, rows):
+    df = spark.createDataFrame(rows, "id long, host string, value long, wide string")
+    return Relation("t", df, "host", None, "id", ("wide",), frozenset({"value"}), {})
+
+
+def test_pages_in_order(spark):
+    rows = [(i, "h", None if i % 7 == 0 else (i * 37) % 50, "x" * 3000) for i in range(200)]
+    r = numbers(spark, rows)
+    for order, key in ((["value"], lambda x: (x[2] is None, x[2] or 0, x[0])), (["-value"], lambda x: (x[2] is None, -(x[2] or 0), x[0]))):
+        want = [x[0] for x in sorted(rows, key=key)]
+        for offset in (0, 60, 180, 500):
+            got = windows.page(r, F.lit(True), order, 50, offset).collect()
+            assert [x["id"] for x in got] == want[offset : offset + 50]
+            assert [x["position"] for x in got] == list(range(offset, offset + len(got)))
+            assert all(x["has_more"] == (offset + 50 < 200) and len(x["wide"]) == 2000 for x in got)
+    assert [windows.row_offset(r, "value", i).first()["place"] for i in (0, 1, 7, 8)] == [sorted(rows, key=lambda x: (x[2] is None, x[2] or 0, x[0])).index(rows[i]) for i in (0, 1, 7, 8)]
+
+
+def test_numbers_lose_no_wide_row(spark):
+    df = spark.range(30_000).select((F.col("id") * 7919 % 30_011).alias("k"), F.repeat(F.col("id").cast("string"), 60).alias("wide"))
+    got = {r["k"]: (r["position"], r["ordinal"], len(r["wide"])) for r in windows.numbered(df, ["k"], F.col("k") % 3 == 0).collect()}
+    assert len(got) == 30_000 and [got[k][0] for k in sorted(got)] == list(range(1, 30_001))
+    assert [got[k][1] for k in sorted(got) if k % 3 == 0] == list(range(1, sum(k % 3 == 0 for k in got) + 1))
+    assert all(got[k][1] is None for k in got if k % 3)
+
+
+def test_merged_rows_in_order(spark):
+    df = spark.createDataFrame([(i, "h", f"2024-01-{i % 9 + 1:02d} 00:00:00" if i % 5 else None, "text") for i in range(40)], "id long, host string, at string, text string").withColumn("at", F.to_timestamp_ntz("at"))
+    two = [Relation(n, df, "host", "at", "id", ("text",)) for n in "ab"]
+    got = find.merged_rows(two, {"a": F.lit(True), "b": F.col("id") > 20}, 50).collect()
+    keys = [(r["seen_at"] is None, str(r["seen_at"]), r["relation"], r["row_id"]) for r in got]
+    assert keys == sorted(keys) and [r["position"] for r in got] == list(range(50))
+
+
+def test_gaps_across_partitions(spark):
+    rows = [("hot", i) for i in range(0, 900) if i % 100 not in (5, 6)] + [("hot", 10), ("b", 1), ("b", 9), (None, 3), (None, 5), ("c", None)]
+    got = sorted(((r["s"], r["first_missing"], r["last_missing"]) for r in windows.record_gaps(spark.createDataFrame(rows, "s string, n long"), "s", "n").collect()), key=repr)
+    assert got == sorted([("hot", 100 * i + 5, 100 * i + 6) for i in range(9)] + [("b", 2, 8), (None, 4, 4)], key=repr)
+
+
+def test_lookup_with_a_repeated_key(spark):
+    rows, lookup = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(1, "z"), (1, "b"), (None, "n")], "k long, v string")
+    assert sorted(((r["k"], r["v"]) for r in lookups.enrich(rows, lookup, ["k"], ["v"], "-").collect()), key=repr) == sorted([(1, "b"), (2, "-"), (None, "-")], key=repr)
+
+
+def test_marks_inside_a_filter(spark, relation):
+    marked = records.with_marks(relation, spark.createDataFrame([(1, "malicious"), (4, "suspicious")], "row_id long, mark string"))
+    mark = lambda op, v: {"col": "_mark", "op": op, "value": v}
+    assert ids(apply_filter(marked, mark("eq", "none"))) == [2, 3]
+    assert ids(apply_filter(marked, {"not": {"or": [mark("in", ["malicious"]), {"col": "user", "op": "is_empty"}]}})) == [2]
+    for bad in (mark("eq", "other"), mark("contains", "malicious")):
+        with pytest.raises(FilterError):
+            compile_filter(bad, marked)
+    with pytest.raises(FilterError):
+        compile_filter(mark("eq", "none"), relation)
+    for pattern in ("^(a+)+$", "(x*)*", "(a|b+){2,}"):
+        with pytest.raises(FilterError):
+            safe_regex(pattern, True)
+    assert safe_regex("(a+)b+", False) == "(a+)b+"
+
+
+def test_packed_cells():
+    from vestige.functions.split import parts_of
+
+    assert parts_of(' {"a": "1", "a": 1.50, "b": {"x": [1, 2]} } ') == [("a", '"1"'), ("a", "1.50"), ("b", '{"x": [1, 2]}')]
+    for text in ("{}", '{"a": }', '{"a": NaN}', '{"a": 1} x', "[1]", "one", "", "  ", "¦", "a ¦ "):
+        assert parts_of(text) == [(None, text)]
+    assert parts_of("User: A: b ¦ c ¦  ¦ : d") == [("User", "A: b"), (None, "c"), (None, ": d")]
+    assert parts_of("a\r\n\n b\tc") == [(None, "a"), (None, " b"), (None, "c")]
+    many = parts_of("\t".join(map(str, range(1500))))
+    assert len(many) == 1000 and many[998] == (None, "998") and many[999] == (None, "\t".join(map(str, range(999, 1500))))
+    many = parts_of("{" + ",".join(f'"k{i}":{i}' for i in range(1500)) + "}")
+    assert len(many) == 1000 and many[999][1].startswith('{"k999":999,"k1000":1000')
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from vestige.operators.storage import ensure_folder
+
+    with pytest.raises(ValueError):
+        ensure_folder(N(conf=N(get=lambda *_: None), sparkContext=N(master="spark://host:7077", getCheckpointDir=lambda: None)))

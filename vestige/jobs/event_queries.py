@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vestige.functions.times import day_boundaries, hour_boundaries, micros_of
+from vestige.functions.times import day_boundaries, micros_of
 from vestige.jobs.registry import query, table
 from vestige.operators import aggregates as agg
 from vestige.operators import predicates as pred
@@ -233,10 +232,9 @@ def json_fields(spark, sf_dir):
 
 @query("blackout_gaps", "SELECT * FROM (SELECT event_type, host, epoch_us(lag(ts) OVER w) AS from_us, epoch_us(ts) AS to_us, date_diff('hour', lag(ts) OVER w, ts) AS hours FROM (SELECT *, user_id % 7 AS host FROM events) WINDOW w AS (PARTITION BY event_type, host ORDER BY ts, event_id)) WHERE hours >= 6")
 def blackout_gaps(spark, sf_dir):
-    df = table(spark, sf_dir, "events").withColumn("host", F.col("user_id") % 7)
-    w = W.partitionBy("event_type", "host").orderBy("ts", "event_id")
-    gaps = df.withColumn("before", F.lag("ts").over(w)).withColumn("hours", hour_boundaries(F.col("before"), F.col("ts"))).where("hours >= 6")
-    return gaps.select("event_type", "host", micros_of(F.col("before")).alias("from_us"), micros_of(F.col("ts")).alias("to_us"), "hours")
+    r = events(spark, sf_dir)
+    gaps = win.blackout_gaps(r.with_df(r.df.withColumn("host", F.col("user_id") % 7)), ["event_type", "host"], 6)
+    return gaps.select("event_type", "host", micros_of(F.col("before")).alias("from_us"), micros_of(F.col("after")).alias("to_us"), "hours")
 
 
 @query("record_gaps", "SELECT host, before + 1 AS first_missing, event_id - 1 AS last_missing, event_id - before - 1 AS n FROM (SELECT user_id % 7 AS host, event_id, lag(event_id) OVER (PARTITION BY user_id % 7 ORDER BY event_id) AS before FROM events) WHERE event_id - before > 1")
@@ -347,5 +345,4 @@ def row_occurrence(spark, sf_dir):
 
 @query("shimcache_duplicates", "SELECT event_id, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) > 1 AS duplicate FROM events")
 def shimcache_duplicates(spark, sf_dir):
-    w = W.partitionBy("user_id", "props").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", (F.row_number().over(w) > 1).alias("duplicate"))
+    return win.repeats(table(spark, sf_dir, "events"), ["user_id", "props"], "event_id").select("event_id", "duplicate")

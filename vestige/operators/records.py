@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vestige.operators.lookups import sized
@@ -12,9 +11,10 @@ from vestige.relation import Relation
 
 def latest_runs(sources: DataFrame) -> DataFrame:
     """``sources`` (source_id, relation, host, loaded_at, removed) with ``active``: the latest that isn't removed."""
-    w = W.partitionBy("relation", "host").orderBy(F.desc("loaded_at"), F.desc("source_id"))
-    live = sources.where("NOT removed").withColumn("nth", F.row_number().over(w))
-    return sources.join(live.select("source_id", "relation", "host", "nth"), ["source_id", "relation", "host"], "left").withColumn("active", F.coalesce(F.col("nth") == 1, F.lit(False))).drop("nth")
+    newest = sources.where("NOT removed").groupBy("relation", "host").agg(F.max(F.struct("loaded_at", "source_id")).alias("newest"))
+    of_run = newest.select("relation", "host", F.col("newest.loaded_at").alias("loaded_at"), F.col("newest.source_id").alias("source_id"), F.lit(True).alias("is_newest"))
+    out = sources.join(of_run, ["relation", "host", "loaded_at", "source_id"], "left").withColumn("active", F.coalesce(F.col("is_newest") & ~F.col("removed"), F.lit(False)))
+    return out.select(*sources.columns, "active")
 
 
 def supersede(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vestige.functions.times import micros_of
+from vestige.functions.times import hour_boundaries, micros_of
 from vestige.operators.aggregates import width_for
+from vestige.operators.lookups import sized
 from vestige.operators.storage import checkpointed
 from vestige.relation import Relation
 
@@ -42,14 +43,44 @@ def wall_clock_range(time: str, start: str, end: str, zone: str) -> Column:
     return (F.col(time) >= ntz(local_to_utc(start, zone))) & (F.col(time) < ntz(local_to_utc(end, zone)) + F.expr("INTERVAL 1 SECOND"))
 
 
+def lagged(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the value of the row before in its group, null for the first; no group lies in one task.
+
+    Rows are range-partitioned by group and order and kept in the shared folder;
+    the row before is looked up inside a partition, and for a partition's first row
+    of a group among the last rows of the partitions before (one row for each
+    partition and group).
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(df.repartitionByRange(partitions, *by, *order).withColumn("_part", F.spark_partition_id()))
+    inside = W.partitionBy("_part", *by).orderBy(*order)
+    last = placed.groupBy("_part", *by).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    edges = last.withColumn("_edge", F.lag("_last").over(W.partitionBy(*by).orderBy("_part"))).drop("_last")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in ("_part", *by)]
+    rows = placed.withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(inside)).alias("r").join(sized(edges).alias("e"), same, "left")
+    return rows.select(*[F.col(f"r.{c}") for c in df.columns], F.coalesce("r._before", "e._edge")["v"].alias(name))
+
+
 def record_gaps(df: DataFrame, source: str, number: str) -> DataFrame:
-    """Missing record numbers of each source."""
-    w = W.partitionBy(source).orderBy(number)
-    before = F.lag(number).over(w)
-    gaps = df.select(source, number, before.alias("before")).where(F.col(number) - F.col("before") > 1)
+    """Missing record numbers of each source; repeated numbers and null numbers are no gap."""
+    rows = lagged(df.select(source, number).where(F.col(number).isNotNull()), [source], [number], number, "before")
+    gaps = rows.where(F.col(number) - F.col("before") > 1)
     return gaps.select(source, (F.col("before") + 1).alias("first_missing"), (F.col(number) - 1).alias("last_missing"), (F.col(number) - F.col("before") - 1).alias("n"))
 
 
+def blackout_gaps(relation: Relation, by: list[str], hours: int = 6) -> DataFrame:
+    """(by..., before, after, hours): silences of at least so many hour boundaries within a group; rows without time don't count."""
+    rows = lagged(relation.df.where(F.col(relation.time).isNotNull()).select(*by, F.col(relation.time).alias("after")), by, ["after"], "after", "before")
+    return rows.withColumn("hours", hour_boundaries(F.col("before"), F.col("after"))).where(F.col("hours") >= hours).select(*by, "before", "after", "hours")
+
+
+def repeats(df: DataFrame, content: list[str], order: str, name: str = "duplicate") -> DataFrame:
+    """``df`` with whether a row repeats an earlier one's content: the least ``order`` (unique) of each content, found by partial aggregation."""
+    first = df.groupBy(*[F.col(c).alias(f"_{c}") for c in content]).agg(F.min(order).alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in content]
+    return df.join(first, same).select(*df.columns, (F.col(order) != F.col("_first")).alias(name))
+
+
 def histogram(relation: Relation, most: int, marked: Column) -> DataFrame:
     """As ``aggregates.histogram``, for times without zone."""
     timed = relation.df.where(F.col(relation.time).isNotNull()).select(F.floor(micros_of(F.col(relation.time)) / 1_000_000).cast("long").alias("sec"), marked.alias("marked"))
