@@ -93,6 +93,14 @@ def test_lines_by_hand(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_texts_of_many_dropped_lines(spark):
+    lines = [f"shared line of the corpus, number {i}" for i in range(3000)]
+    mixed = "\n".join(x for i, line in enumerate(lines) for x in (line, f"own {i}", "", line.upper()))
+    rows = [(1, mixed), (2, "\n".join(lines[:65])), (3, "\n".join(lines[1:])), (None, "\n".join(reversed(lines))), (None, mixed), (None, mixed), (4, "\n".join(lines[:70] + ["short"])), (4, lines[0])]
+    got = line_dedup.dedup_lines(table(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got), key=repr) == brute_lines(rows)
+
+
 def test_lines_by_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")

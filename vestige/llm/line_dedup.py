@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vestige.llm.shared import fresh_path, own_columns, partitions, stash, whole_text
+from vestige.llm.shared import fresh_path, let, own_columns, partitions, running, stash, whole_text
 
 #: Fixed values.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -30,6 +30,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
 #: A key in more than one of so many (document, key) rows is joined by broadcast; there can't be more such keys than this.
 HEAVY_KEYS = 8192
+#: Dropped keys of one text up to which each line is looked up in their list; of more, lines and keys are sorted together.
+FEW_KEYS = 64
 
 
 def line_key(line: Column) -> Column:
@@ -47,11 +49,20 @@ def key_hash(line: Column, least: int) -> Column:
     return F.when(F.char_length(key) >= least, F.md5(key.cast("binary")))
 
 
+def known_id() -> Column:
+    return F.coalesce("doc_id", F.lit(NO_ID))
+
+
+def text_part() -> Column:
+    """Apart for nearly all texts. Which keys go depends on the id alone, so texts that share it by chance may share their keys."""
+    return F.xxhash64("text")
+
+
 def document_keys(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, key): the distinct long keys of every row."""
+    """(doc_id, part, key): the distinct long keys of every row. ``part`` keeps rows without id, or of one id, from being one group."""
     lines = F.filter(lines_of(F.col("text")), lambda x: F.char_length(x) >= least)
     hashes = F.array_distinct(F.filter(F.transform(lines, lambda x: key_hash(x, least)), lambda x: x.isNotNull()))
-    return docs.select("doc_id", F.explode(hashes).alias("key")).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.unhex("key").alias("key"))
+    return docs.select(known_id().alias("doc_id"), text_part().alias("part"), F.explode(hashes).alias("key")).withColumn("key", F.unhex("key"))
 
 
 class LineRuns:
@@ -109,21 +120,47 @@ class LineRuns:
         return self.merged(runs).where(F.col("n_docs") >= least_docs)
 
 
-def drop_lines(text: Column, dropped: Column, least: int) -> Column:
-    """The text without the lines whose key is among ``dropped``."""
-    return F.array_join(F.filter(lines_of(text), lambda x: ~F.coalesce(F.array_contains(dropped, key_hash(x, least)), F.lit(False))), "\n")
+def kept_lines(text: Column, dropped: Column, least: int) -> Column:
+    """The lines of the text whose key isn't among ``dropped``; all of them where ``dropped`` is null."""
+
+    def few(lines: Column) -> Column:
+        return F.filter(lines, lambda x: ~F.coalesce(F.array_contains(dropped, key_hash(x, least)), F.lit(False)))
+
+    # Sorted by key, a dropped key (-1) stands before the lines that have it; each line looks at the last one before it.
+    def sorted_keys(lines: Column) -> Column:
+        marks = F.transform(dropped, lambda k: F.struct(k.alias("key"), F.lit(-1).alias("at")))
+        keys = F.transform(lines, lambda x, i: F.struct(key_hash(x, least).alias("key"), i.alias("at")))
+        return F.sort_array(F.concat(marks, F.filter(keys, lambda s: s["key"].isNotNull())))
+
+    def without(lines: Column, ordered: Column, marks: Column) -> Column:
+        seen = F.transform(ordered, lambda s, i: F.struct(s["at"].alias("at"), (F.get(ordered, F.get(marks, i) - 1)["key"] == s["key"]).alias("gone")))
+        gone = F.transform(F.filter(seen, lambda s: (s["at"] >= 0) & F.coalesce(s["gone"], F.lit(False))), lambda s: s["at"])
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+
+    def many(lines: Column) -> Column:
+        places = lambda ordered: running(F.transform(ordered, lambda s, i: F.when(s["at"] < 0, i + 1).otherwise(0)), F.greatest)
+        return let(sorted_keys(lines), lambda ordered: let(places(ordered), lambda marks: without(lines, ordered, marks)))
+
+    return let(lines_of(text), lambda lines: F.when(dropped.isNull(), lines).when(F.size(dropped) <= FEW_KEYS, few(lines)).otherwise(many(lines)))
 
 
 def dropped_keys(keys: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(doc_id, dropped): the keys each document loses, as it isn't the largest that holds them."""
+    """(doc_id, part, dropped): the keys each text loses, as its id isn't the largest that holds them."""
     frequent = stash(frequent, "line-frequent")
     rows = frequent.agg(F.sum("n_docs")).first()[0] or 0
     heavy = frequent.where(F.col("n_docs") * HEAVY_KEYS >= rows).select("key", "last")
     light = frequent.where(F.col("n_docs") * HEAVY_KEYS < rows).select("key", "last")
     often = keys.join(F.broadcast(heavy), "key")
     seldom = keys.join(F.broadcast(heavy.select("key")), "key", "left_anti").join(light, "key")
-    lost = often.unionByName(seldom).where("doc_id < last").select("doc_id", F.lower(F.hex("key")).alias("key"))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("dropped"))
+    lost = often.unionByName(seldom).where("doc_id < last").select("doc_id", "part", F.lower(F.hex("key")).alias("key"))
+    return lost.groupBy("doc_id", "part").agg(F.collect_set("key").alias("dropped"))
+
+
+def with_dropped(own: DataFrame, lost: DataFrame) -> DataFrame:
+    """``own`` with the list ``dropped`` of its text, null where it loses none."""
+    lost = lost.select(F.col("doc_id").alias("key_id"), F.col("part").alias("key_part"), "dropped")
+    keyed = own.withColumns({"key_id": known_id(), "key_part": text_part()})
+    return keyed.join(lost, ["key_id", "key_part"], "left").drop("key_id", "key_part")
 
 
 def dedup_lines(docs: DataFrame, least: int = 20, least_docs: int = 3, batches: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -143,15 +180,14 @@ def dedup_lines(docs: DataFrame, least: int = 20, least_docs: int = 3, batches:
             part = part.where(F.col("doc_id") <= high)
         runs.add(part)
     lost = dropped_keys(keys, runs.frequent(least_docs))
-    joined = own.withColumn("key_id", F.coalesce("doc_id", F.lit(NO_ID))).join(lost.withColumnRenamed("doc_id", "key_id"), "key_id", "left")
+    kept = with_dropped(own, lost).withColumn("kept", F.when(F.col("dropped").isNotNull(), kept_lines(F.col("text"), F.col("dropped"), least)))
     n_lines = F.size(lines_of(F.col("text"))).cast("long")
-    kept = joined.select("doc_id", "text", *carry, n_lines.alias("n_lines"), "dropped", F.when(F.col("dropped").isNull(), F.lit(None)).otherwise(F.filter(lines_of(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("dropped"), key_hash(x, least)), F.lit(False)))).alias("kept"))
     return kept.select(
         "doc_id",
         *carry,
         F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
-        "n_lines",
-        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        n_lines.alias("n_lines"),
+        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("kept")).cast("long").alias("n_dropped"),
     )
 
 
@@ -163,8 +199,7 @@ def dedup_batch(runs: LineRuns, docs: DataFrame, least: int = 20) -> DataFrame:
     if known is None:
         out = own
     else:
-        held = keys.join(known.select("key").distinct(), "key", "left_semi").groupBy("doc_id").agg(F.collect_set(F.lower(F.hex("key"))).alias("dropped"))
-        joined = own.withColumn("key_id", F.coalesce("doc_id", F.lit(NO_ID))).join(held.withColumnRenamed("doc_id", "key_id"), "key_id", "left")
-        out = stash(joined.select("doc_id", F.when(F.col("dropped").isNull(), F.col("text")).otherwise(drop_lines(F.col("text"), F.col("dropped"), least)).alias("text")), "line-kept")
+        held = keys.join(known.select("key").distinct(), "key", "left_semi").groupBy("doc_id", "part").agg(F.collect_set(F.lower(F.hex("key"))).alias("dropped"))
+        out = stash(with_dropped(own, held).select("doc_id", F.array_join(kept_lines(F.col("text"), F.col("dropped"), least), "\n").alias("text")), "line-kept")
     runs.add(keys)
     return out

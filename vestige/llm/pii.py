@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vestige.llm.shared import own_columns, stash, whole_text
+from vestige.llm.shared import let, own_columns, plus, running, stash, whole_text
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 # The contract's patterns, in a form of linear time.
@@ -43,8 +43,6 @@ TAGS = {kind: f"<{kind.upper()}>" for kind in KINDS}
 LETTERS = r"[^\p{L}]+"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 MATCHES = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-#: Elements that are scanned in one piece.
-BLOCK = 128
 SIEVE = 1 << 16
 #: Terms up to which the exact terms are broadcast.
 MOST_BROADCAST = 50_000
@@ -71,36 +69,6 @@ def passes(kind: str, match: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def running(values: Column, combine) -> Column:
-    """For each of an array of ints what ``combine`` (a sum or maximum, from 0) makes of those before it.
-
-    In blocks, so that no array longer than a block, or than the number of blocks, is copied for each element.
-    """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def scan(block: Column) -> Column:
-        return F.aggregate(block, start, lambda acc, x: F.struct(combine(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
-
-    def join(blocks: Column) -> Column:
-        before = scan(F.transform(blocks, lambda b: b["at"]))["out"]
-        return let(before, lambda base: F.flatten(F.transform(blocks, lambda b, i: F.transform(b["out"], lambda x: combine(x, F.get(base, i)).cast("int")))))
-
-    def cut(xs: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
-        return F.transform(numbers, lambda k: scan(F.slice(xs, k * BLOCK + 1, BLOCK)))
-
-    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(let(cut(xs), join)))
-
-
-def plus(a: Column, b: Column) -> Column:
-    return a + b
-
-
 def placed_matches(text: Column, pattern: Column) -> Column:
     """Array of (start, end, value, before, after) of all matches; before and after are the gaps beside a match, in its line."""
 
