@@ -1,17 +1,20 @@
 """Tokenizing, packing, shards, languages, fingerprints and toxicity against brute force."""
 
+import collections
 import hashlib
 import random
 import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vestige.llm import bpe, fingerprints, language_id, packing, token_files, toxicity
+from vestige.llm import bpe, fingerprints, language_id, oracle, packing, token_files, toxicity
 from vestige.llm.bpe_cache import PieceEncoder
 from vestige.llm.queries import tokenizer_file
-from vestige.llm.shared import fresh_path
+from vestige.llm.shared import documents, fresh_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TEXT_2 string"
 ODD = ["", None, " ", "\n\n", "a", "one two", "<|endoftext|>", "x <|startoftext|> y", "ΑΣ é́ ß ½ 日本　x", "'s it's  two\t\ttabs\r\n", "\U0001f600 ok", "word " * 3000]
@@ -163,12 +166,48 @@ def test_fingerprints(spark, sf_dir, docs, empty):
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
-def test_fingerprint_bands(spark):
+def test_fingerprint_bands(spark, empty):
     words = [f"w{i}" for i in range(200)]
     near = words[:100] + ["x"] + words[101:]
-    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, None), (5, " ".join(words))], "doc_id long, text string")
-    pairs = {(r["a"], r["b"]) for r in fingerprints.similar_pairs(table).collect()}
-    assert pairs == {(1, 2)}
+    twice = words + words
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(reversed(words))), (4, None), (5, " ".join(words)), (6, "  "), (7, "two words"), (8, "two\twords"), (None, " ".join(near)), (2, " ".join(near)), (9, " ".join(twice))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit(1)).withColumn("TEXTS", F.lit("x"))
+    got = collections.Counter((r["doc_id"], r["class_id"]) for r in fingerprints.similar_classes(table).collect())
+    assert got == {(1, 1): 1, (2, 1): 2, (3, 3): 1, (4, 4): 1, (5, 1): 1, (6, 6): 1, (7, 7): 1, (8, 7): 1, (None, 1): 1, (9, 1): 1}
+    assert fingerprints.similar_classes(empty).count() == 0
+
+
+def test_similar_classes_against_all_pairs(spark):
+    random.seed(4)
+    base = [[f"g{g}w{i}" for i in range(60)] for g in range(3)]
+    rows = []
+    for k in range(240):  # more of one group than a list holds, with likeness on both sides of the threshold
+        words = list(base[0 if k < 160 else k % 3])
+        for _ in range(k % 5):
+            words[random.randrange(60)] = f"x{random.randrange(40)}"
+        rows.append((k, " ".join(words)))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(56)} for k, t in rows}
+    least = {k: k for k in sets}
+
+    def root(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: root(k) for k in sets}
+
+
+def test_similar_classes_by_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = fingerprints.similar_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_shingles").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(oracle.SIMILAR).fetchall())
 
 
 def test_restoring():

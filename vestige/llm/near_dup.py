@@ -52,7 +52,6 @@ from vestige.llm.shingles import distinct_shingles, groups, spread
 
 REGISTERS = 192
 BAND = 6
-BANDS = REGISTERS // BAND
 #: A list of nodes that share a shingle is joined with itself up to this length; a longer one gets a centre of its own.
 LIST = 64
 #: Partners of one node that are verified in one piece, and members of a centre that are joined in one.
@@ -97,13 +96,14 @@ def signatures(owner: np.ndarray, shingles: np.ndarray, weights: np.ndarray, tex
     return holder
 
 
-def band_keys(holder: np.ndarray) -> np.ndarray:
-    """A key for each band and text: 59 bits of a hash of the band's registers, and the band's number."""
+def band_keys(holder: np.ndarray, band: int = BAND) -> np.ndarray:
+    """A key for each band (32 at most) and text: 59 bits of a hash of the band's registers, and the band's number."""
+    bands = holder.shape[1] // band
     with np.errstate(over="ignore"):
         salt = spread(np.arange(1, holder.shape[1] + 1, dtype=np.uint64))
         terms = spread(holder ^ salt)
-        one = spread(terms.reshape(len(holder), BANDS, BAND).sum(axis=2, dtype=np.uint64))
-        return (one & ~np.uint64(31) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        one = spread(terms.reshape(len(holder), bands, band).sum(axis=2, dtype=np.uint64))
+        return (one & ~np.uint64(31) | np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 PROFILES = "doc_id long, p1 long, p2 long, n_shingles long, bands binary"
@@ -142,13 +142,13 @@ def profiles(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """(key, node): a row for each band of each profile and, where it differs, for its plain band of the same number."""
+    """(key, node): a row for each distinct band of each profile."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [np.frombuffer(k, "<i8") for k in batch.column(1).to_pylist()]
             if held:
-                keys = [k[np.r_[np.ones(BANDS, bool), k[BANDS:] != k[:BANDS][: len(k) - BANDS]]] for k in held]
+                keys = [np.unique(k) for k in held]
                 owners = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owners)], names=["key", "node"])
 
@@ -373,8 +373,15 @@ def same_ids(known: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """doc_id, class_id (the class's least id), profile_id, n_shingles of every row of ``docs``."""
-    alike = F.greatest("jaccard", "probability_jaccard") >= threshold
-    known = stash(profiles(docs, size), "profiles")
+    return linked(docs, profiles(docs, size), F.greatest("jaccard", "probability_jaccard") >= threshold, threshold, size)
+
+
+def linked(docs: DataFrame, profiled: DataFrame, alike: Column, threshold: float, size: int) -> DataFrame:
+    """The classes of ``docs``, whose rows have the profiles and bands ``profiled``, by links for which ``alike`` holds.
+
+    ``alike`` may ask for more than that one likeness reaches ``threshold``, not for less.
+    """
+    known = stash(profiled, "profiles")
     nodes = stash(known.where("n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")).where("node IS NOT NULL"), "nodes")
     rows = banded(nodes)
     buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

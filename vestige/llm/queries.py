@@ -47,6 +47,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bands of the fingerprints of operator 6, joined and verified."""
+    return fingerprints.similar_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_shingles")
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(documents(spark, sf_dir))
 
@@ -65,8 +70,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op4_pii, op5_toxicity, op6_fingerprints, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op4_pii, op5_toxicity, op6_fingerprints, similar_classes, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": oracle.OP8}
+    return {"op8_line_dedup": oracle.OP8, "similar_classes": oracle.SIMILAR}
