@@ -69,9 +69,65 @@ def normalised_scalar(value: Column) -> Column:
 
 
 def account_name(value: Column) -> tuple[Column, Column]:
-    """Domain and name, parted at the last backslash; ``-`` and blanks are none."""
-    clean = F.when(~F.trim(value).isin("", "-"), F.trim(value))
-    return F.nullif(F.regexp_extract(clean, r"^(.*)\\[^\\]*$", 1), F.lit("")), F.regexp_extract(clean, r"([^\\]*)$", 1)
+    """Domain and name, parted at the last backslash. A blank or ``-`` for the name is no account, for the domain no domain."""
+    clean = F.trim(value)
+    name, domain = F.regexp_extract(clean, r"([^\\]*)$", 1), F.regexp_extract(clean, r"(?s)^(.*)\\[^\\]*$", 1)
+    real = ~F.trim(name).isin("", "-")
+    return F.when(real & ~F.trim(domain).isin("", "-"), domain), F.when(real, name)
+
+
+def logon_target(text: Column) -> tuple[Column, Column]:
+    """Domain and name of ``Target: domain\\name``; null where the text is none."""
+    return account_name(F.when(F.startswith(text, F.lit("Target: ")), F.substr(text, F.lit(9))))
+
+
+def logon_type(text: Column) -> Column:
+    """The number after ``LogonType ``, which must be all the rest; null for anything else, and beyond 32 bits."""
+    number = F.regexp_extract(text, r"^LogonType ([0-9]+)\z", 1).try_cast("decimal(38,0)")
+    return F.when(number < 1 << 32, number.cast("long"))
+
+
+def ascii_lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+# The audit bits of an event's keywords.
+AUDIT_BITS = [(1 << 53, "Audit success"), (1 << 52, "Audit failure")]
+
+
+def audit_keywords(text: Column) -> Column:
+    """The names of the audit bits in a hex mask; a mask without them, or what is no mask, as it is."""
+    shown = F.trim(text)
+    mask = F.conv(F.nullif(F.regexp_extract(shown, r"^(?:0[xX])*0*([0-9A-Fa-f]{1,16})\z", 1), F.lit("")), 16, -10).cast("long")
+    names = F.array_join(F.array_compact(F.array(*[F.when(mask.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in AUDIT_BITS])), ", ")
+    return F.when(names != "", names).otherwise(shown)
+
+
+def app_text(text: Column) -> dict[str, Column]:
+    """``!!program!time!user!description`` as program (which may hold ``!``), description and time; any other text is the program, whole."""
+    parts = F.split(F.substr(text, F.lit(3)), "!", -1)
+    n = F.size(parts)
+    packed = F.startswith(text, F.lit("!!")) & (n >= 4)
+    first = F.when(F.get(parts, F.lit(0)) == "", "!").otherwise(F.get(parts, F.lit(0)))
+    more = F.transform(F.slice(parts, F.lit(2), F.greatest(n - 4, F.lit(0))), lambda p: F.concat(F.lit("!"), p))
+    at = F.get(parts, n - 3)
+    plain = F.regexp_replace(at, r"^(\d{4})/(\d\d)/(\d\d):(\d\d:\d\d:\d\d)$", "$1-$2-$3 $4")
+    return {
+        "exe": F.when(packed, F.concat(first, F.array_join(more, ""))).otherwise(text),
+        "description": F.when(packed, F.get(parts, n - 1)).otherwise(""),
+        "at": F.when(packed & (plain != at), plain.try_cast("timestamp_ntz")),
+    }
+
+
+def slots(raw: Column) -> Column:
+    """The little-endian 32-bit numbers of a binary list, up to the first 0xFFFFFFFF; a last piece of under four bytes is left out."""
+    digits = F.hex(raw)
+    n = F.floor(F.length(digits) / 8).cast("int")
+    words = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr(digits, i * 8 + 1, F.lit(8)))
+    whole = F.filter(words, lambda w: F.length(w) == 8)
+    end = F.array_position(whole, "FFFFFFFF").cast("int")
+    kept = F.when(end > 0, F.slice(whole, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(whole)
+    return F.transform(kept, lambda w: F.conv(F.concat(*[F.substring(w, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("long"))
 
 
 def sid_class(sid: Column) -> Column:

@@ -134,3 +134,8 @@ def wall_to_utc(wall: Column, zone: str) -> Column:
     hour = F.expr("INTERVAL 1 HOUR")
     repeated = (there(utc + hour) == wall) | (there(utc - hour) == wall)
     return F.when((there(utc) == wall) & ~repeated, utc)
+
+
+def differing(named: Column, standard: Column) -> Column:
+    """A file name's time, null where it is the same as the standard one."""
+    return F.when(~named.eqNullSafe(standard), named)

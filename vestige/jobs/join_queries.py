@@ -74,15 +74,6 @@ def download_chains(spark, sf_dir):
     return lookups.joined_chain(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("url")), "l_orderkey", "l_linenumber", "url")
 
 
-@query("keyword_searches", "SELECT l_orderkey, l_linenumber, o_orderstatus, c_name, CASE WHEN o_orderkey IS NULL THEN 'no url' WHEN c_custkey IS NULL THEN 'no visit' ELSE '' END AS note FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 0) ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey")
-def keyword_searches(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select("o_orderkey", "o_custkey", "o_orderstatus")
-    c = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select("c_custkey", "c_name")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
-    note = F.when(F.col("o_orderkey").isNull(), "no url").when(F.col("c_custkey").isNull(), "no visit").otherwise("")
-    return rows.select("l_orderkey", "l_linenumber", "o_orderstatus", "c_name", note.alias("note"))
-
-
 @query("mac_vendor", "SELECT c_custkey, coalesce(n_name, '(Unknown vendor)') AS vendor FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
 def mac_vendor(spark, sf_dir):
     vendors = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("vendor"))
@@ -95,12 +86,6 @@ def appid_describe(spark, sf_dir):
     return lookups.enrich(table(spark, sf_dir, "part").select("p_partkey", "p_size"), known, ["p_size"], ["description"]).select("p_partkey", "description")
 
 
-@query("icon_pages", "SELECT DISTINCT p_partkey, s_name FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey")
-def icon_pages(spark, sf_dir):
-    bridge = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    return table(spark, sf_dir, "part").join(bridge, F.col("p_partkey") == F.col("l_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("p_partkey", "s_name").distinct()
-
-
 @query("parent_name", "SELECT c.p_partkey, p.p_name AS parent_name FROM part c LEFT JOIN part p ON c.p_partkey // 2 = p.p_partkey")
 def parent_name(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -108,18 +93,6 @@ def parent_name(spark, sf_dir):
     return part.withColumn("parent", F.floor(F.col("p_partkey") / 2)).join(parents, "parent", "left").select("p_partkey", "parent_name")
 
 
-@query("notifications_join", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey")
-def notifications_join(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_regionkey = 1").select("n_nationkey", "n_name")
-    joined = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return joined.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_name", "n_name")
-
-
-@query("group_concat_accounts", "SELECT c_nationkey, c_mktsegment, string_agg(DISTINCT (c_custkey % 9)::VARCHAR, ', ' ORDER BY (c_custkey % 9)::VARCHAR) AS accounts FROM customer GROUP BY 1, 2")
-def group_concat_accounts(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.array_join(F.array_sort(F.collect_set((F.col("c_custkey") % 9).cast("string"))), ", ").alias("accounts"))
-
-
 PATHS_SQL = """WITH RECURSIVE t(p_partkey, path) AS (SELECT p_partkey, p_partkey::VARCHAR FROM part WHERE p_partkey = 1 OR p_partkey = 0
 UNION ALL SELECT c.p_partkey, t.path || '\\' || c.p_partkey FROM part c JOIN t ON c.p_partkey // 2 = t.p_partkey WHERE c.p_partkey > 1)
 SELECT p_partkey, path FROM t"""
@@ -294,11 +267,3 @@ def annotated_ids(spark, sf_dir):
 def host_zones(spark, sf_dir):
     zones = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("host"), F.col("n_name").alias("zone"))
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("host")).distinct().join(lookups.sized(zones), "host", "left")
-
-
-@query("client_days", "SELECT o_orderkey, o_custkey % 4 + 1 AS nth, (DATE '1995-01-01' + (o_custkey % 4)::INTEGER)::VARCHAR AS day FROM orders")
-def client_days(spark, sf_dir):
-    wide = table(spark, sf_dir, "orders").select("o_orderkey", *[F.when(F.col("o_custkey") % 4 == i - 1, F.lit(1)).alias(f"Day{i}") for i in range(1, 5)])
-    long = wide.unpivot("o_orderkey", [f"Day{i}" for i in range(1, 5)], "name", "accesses").where("accesses IS NOT NULL")
-    nth = F.substr("name", F.lit(4)).cast("long")
-    return long.select("o_orderkey", nth.alias("nth"), F.date_add(F.lit("1995-01-01").cast("date"), (nth - 1).cast("int")).cast("string").alias("day"))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vestige.functions import text as tx
-from vestige.functions.times import micros_of
 from vestige.jobs.join_queries import PATHS_SQL, USAGE_SQL, usage
 from vestige.jobs.registry import query, table
-from vestige.operators import hierarchy, lookups, network
+from vestige.operators import hierarchy, network
 
 
 def tree(spark, sf_dir):
@@ -36,56 +35,6 @@ def cloud_folder_paths(spark, sf_dir):
     return files.join(folders, "p_partkey").select("l_orderkey", tx.join_path(F.col("folder"), F.col("l_linenumber").cast("string")).alias("path")).distinct()
 
 
-@query("bookmarks_places", "SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey > 3) ON c_nationkey = n_nationkey")
-def bookmarks_places(spark, sf_dir):
-    places = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
-    words = table(spark, sf_dir, "nation").where("n_nationkey > 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(places, "o_custkey", "left").join(words, "c_nationkey", "left").select("o_orderkey", "c_name", "n_name")
-
-
-@query("firefox_searches", "SELECT event_id, c_name, n_name FROM events LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON user_id = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE event_type = 'click'")
-def firefox_searches(spark, sf_dir):
-    meta = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), "c_name", "c_nationkey")
-    places = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", "user_id").join(meta, "user_id", "left").join(places, "c_nationkey", "left").select("event_id", "c_name", "n_name")
-
-
-@query("typed_urls", "SELECT o_orderkey, CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE epoch_us(ts) END AS typed_us FROM orders LEFT JOIN events ON o_orderkey = event_id")
-def typed_urls(spark, sf_dir):
-    values = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    times = table(spark, sf_dir, "events").select(F.col("event_id").alias("o_orderkey"), micros_of(F.col("ts")).alias("at_us"))
-    unset = F.when(F.col("o_custkey") % 6 == 0, F.lit(-11_644_473_600_000_000)).otherwise(F.col("at_us"))  # year 1601: never set
-    return values.join(times, "o_orderkey", "left").select("o_orderkey", F.nullif(unset, F.lit(-11_644_473_600_000_000)).alias("typed_us"))
-
-
-@query("office_reading", "SELECT l_orderkey, l_linenumber, epoch_us(o_orderdate) AS closed_us FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey")
-def office_reading(spark, sf_dir):
-    locations = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), micros_of(F.col("o_orderdate")).alias("closed_us"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(locations, "l_orderkey", "left")
-
-
-@query("app_packages", "SELECT c_custkey, max(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS display, max(CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END) AS folder FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
-def app_packages(spark, sf_dir):
-    values = table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'O')")
-    wide = values.groupBy(F.col("o_custkey").alias("c_custkey")).pivot("o_orderstatus", ["F", "O"]).agg(F.max("o_orderpriority"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(wide, "c_custkey", "left").select("c_custkey", F.col("F").alias("display"), F.col("O").alias("folder"))
-
-
-@query("entry_list", """SELECT o_orderkey AS entry_id, count(l_orderkey) AS evidence, coalesce(string_agg(DISTINCT (l_suppkey % 7)::VARCHAR, ', ' ORDER BY (l_suppkey % 7)::VARCHAR), '') AS hosts
-FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P' GROUP BY 1""")
-def entry_list(spark, sf_dir):
-    of_entry = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("entry_id")).agg(F.count("*").alias("evidence"), F.array_join(F.array_sort(F.collect_set((F.col("l_suppkey") % 7).cast("string"))), ", ").alias("hosts"))
-    entries = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("entry_id"))
-    return entries.join(of_entry, "entry_id", "left").select("entry_id", F.coalesce("evidence", F.lit(0)).alias("evidence"), F.coalesce("hosts", F.lit("")).alias("hosts"))
-
-
-@query("marks_list", "SELECT l.doc_id, d.doc_id IS NULL AS inactive FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON l.doc_id = d.doc_id WHERE toxic = 1")
-def marks_list(spark, sf_dir):
-    active = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(True).alias("active"))
-    marks = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return marks.join(active, "doc_id", "left").select("doc_id", F.col("active").isNull().alias("inactive")).orderBy("doc_id")
-
-
 @query("marked_worklist", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def marked_worklist(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
@@ -94,29 +43,3 @@ def marked_worklist(spark, sf_dir):
 @query("network_order", USAGE_SQL + " SELECT host, exe, sent, row_number() OVER (PARTITION BY host ORDER BY sent DESC, exe) AS rank FROM (SELECT host, exe, sum(sent)::BIGINT AS sent FROM u GROUP BY 1, 2)")
 def network_order(spark, sf_dir):
     return network.top_programs(usage(spark, sf_dir)).select("host", "exe", "sent", "rank")
-
-
-@query("mru_positions", "SELECT p_partkey, p_size % 5 AS slot, 0 AS position FROM part UNION ALL SELECT p_partkey, 7, 1 FROM part")
-def mru_positions(spark, sf_dir):
-    # Little-endian 32-bit slots up to the terminator; what stands after it is left over.
-    raw = F.concat(F.lpad(F.hex((F.col("p_size") % 5).cast("long")), 2, "0"), F.lit("000000"), F.lit("07000000"), F.lit("FFFFFFFF"), F.lit("09000000"))
-    words = F.transform(F.sequence(F.lit(0), F.floor(F.length(raw) / 8).cast("int") - 1), lambda i: F.substr(raw, i * 8 + 1, F.lit(8)))
-    end = F.array_position(words, "FFFFFFFF").cast("int")
-    kept = F.when(end > 0, F.slice(words, 1, end - 1)).otherwise(words)
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(kept).alias("position", "word"))
-    turned = F.concat(*[F.substring("word", k, 2) for k in (7, 5, 3, 1)])
-    return rows.select("p_partkey", F.conv(turned, 16, 10).cast("long").alias("slot"), F.col("position").cast("long").alias("position"))
-
-
-@query("keywords_text", "SELECT p_partkey, CASE WHEN p_size & 32 <> 0 THEN 'Audit Success' WHEN p_size & 16 <> 0 THEN 'Audit Failure' ELSE printf('0x%x', p_size::BIGINT << 48) END AS keywords FROM part")
-def keywords_text(spark, sf_dir):
-    mask = F.shiftleft(F.col("p_size").cast("long"), 48)
-    shown = F.when(mask.bitwiseAND(F.lit(1 << 53)) != 0, "Audit Success").when(mask.bitwiseAND(F.lit(1 << 52)) != 0, "Audit Failure").otherwise(F.concat(F.lit("0x"), F.lower(F.hex(mask))))
-    return table(spark, sf_dir, "part").select("p_partkey", shown.alias("keywords"))
-
-
-@query("app_info", "SELECT p_partkey, p_name AS exe, p_brand AS description FROM part")
-def app_info(spark, sf_dir):
-    packed = F.concat(F.lit("!!"), "p_name", F.lit("!2024/01/01:00:00:00!0![:"), "p_brand", F.lit("]"))
-    parts = F.split(F.substr(packed, F.lit(3)), "!")
-    return table(spark, sf_dir, "part").select("p_partkey", F.get(parts, F.lit(0)).alias("exe"), F.regexp_extract(F.get(parts, F.lit(3)), r"\[:?([^\]]*)\]", 1).alias("description"))

@@ -9,7 +9,7 @@ from vestige.functions import times as tm
 from vestige.jobs.registry import query, table
 from vestige.operators import predicates as pred
 from vestige.operators import records
-from vestige.operators.search import summary_line, union
+from vestige.operators.search import summary_line
 from vestige.operators.storage import fresh_path
 from vestige.sources import tables as src
 
@@ -125,29 +125,12 @@ def file_path_join(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", tx.join_path(F.col("p_brand"), F.col("p_name")).alias("path"), F.regexp_extract("p_brand", "[^.]*$", 0).alias("rest"))
 
 
-@query("packed_fields", "SELECT p_partkey, p_brand AS brand, p_type AS type FROM part")
-def packed_fields(spark, sf_dir):
-    packed = F.concat(F.lit("Name: "), "p_name", F.lit(" ¦ Brand: "), "p_brand", F.lit(" ¦ Type: "), "p_type")
-    return part(spark, sf_dir).select("p_partkey", tx.packed_field(packed, "Brand").alias("brand"), tx.packed_field(packed, "Type").alias("type"))
-
-
 @query("normalize_scalar", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '0x' || upper(printf('%x', p_partkey)) ELSE p_name END AS value FROM part")
 def normalize_scalar(spark, sf_dir):
     value = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex("p_partkey")))).otherwise(F.col("p_name"))
     return part(spark, sf_dir).select("p_partkey", tx.normalised_scalar(value).alias("value"))
 
 
-@query("account_split", "SELECT c_custkey, c_mktsegment AS domain, c_name AS name FROM customer")
-def account_split(spark, sf_dir):
-    domain, name = tx.account_name(F.concat("c_mktsegment", F.lit("\\"), "c_name"))
-    return table(spark, sf_dir, "customer").select("c_custkey", domain.alias("domain"), name.alias("name"))
-
-
-@query("ioc_guess", "SELECT page_id, 'url' AS of_url, 'md5' AS of_hash FROM pages")
-def ioc_guess(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.indicator_kind(F.col("url")).alias("of_url"), tx.indicator_kind(F.md5("url")).alias("of_hash"))
-
-
 @query("ioc_validate", "SELECT page_id, md5(url) AS value FROM pages")
 def ioc_validate(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.canonical_indicator(F.concat(F.lit(" "), F.upper(F.md5("url")))).alias("value"))
@@ -191,56 +174,17 @@ def summary(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", summary_line(["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]).alias("summary"))
 
 
-@query("folder_expand", "SELECT p_partkey, coalesce(n_name, '') AS folder FROM part LEFT JOIN nation ON n_nationkey = p_size")
-def folder_expand(spark, sf_dir):
-    from vestige.operators.lookups import enrich
-
-    path = F.concat(F.lit("{"), F.col("p_size").cast("string"), F.lit("}\\x.exe"))
-    rows = part(spark, sf_dir).select("p_partkey", F.regexp_extract(path, r"^\{([^}]*)\}", 1).alias("guid"))
-    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("guid"), F.col("n_name").alias("folder"))
-    return enrich(rows, known, ["guid"], ["folder"]).select("p_partkey", "folder")
-
-
 @query("registry_glob", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_brand), '^brand#1.*$')")
 def registry_glob(spark, sf_dir):
     path = F.concat(F.lit("ROOT\\"), "p_brand", F.lit("\\"), "p_type")
     return part(spark, sf_dir).where(path.rlike(pred.registry_pattern("root\\brand#1*"))).select("p_partkey")
 
 
-@query("registry_search", "SELECT p_partkey, 'key' AS hit_type FROM part WHERE contains(lower(p_name), 'red') UNION ALL SELECT p_partkey, 'value' FROM part WHERE contains(lower(p_type), 'red') UNION ALL SELECT p_partkey, 'data' FROM part WHERE contains(lower(p_brand), 'red')")
-def registry_search(spark, sf_dir):
-    hits = F.filter(F.array(*[F.struct(F.lit(kind).alias("hit_type"), F.lower(c).alias("v")) for kind, c in (("key", "p_name"), ("value", "p_type"), ("data", "p_brand"))]), lambda x: F.contains(x["v"], F.lit("red")))
-    return part(spark, sf_dir).select("p_partkey", F.explode(hits).alias("h")).select("p_partkey", "h.hit_type")
-
-
-@query("prefetch_keywords", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring')")
-def prefetch_keywords(spark, sf_dir):
-    return part(spark, sf_dir).where(F.exists(F.array("p_name", "p_type"), lambda x: F.contains(F.lower(x), F.lit("ring")))).select("p_partkey")
-
-
-@query("fields_config", "SELECT c_nationkey AS host, arg_min(c_name, c_custkey) AS fact FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 1")
-def fields_config(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").where(F.col("c_mktsegment").endswith("MACHINERY"))
-    return rows.groupBy(F.col("c_nationkey").alias("host")).agg(F.min_by("c_name", "c_custkey").alias("fact"))
-
-
-@query("profile_list", "SELECT DISTINCT c_nationkey, regexp_extract(c_name, '#0*(\\d)', 1) AS profile FROM customer WHERE starts_with(c_name, 'Customer#')")
-def profile_list(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where(F.startswith("c_name", F.lit("Customer#"))).select("c_nationkey", F.regexp_extract("c_name", r"#0*(\d)", 1).alias("profile")).distinct()
-
-
 @query("case_decode", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'finished' ELSE o_orderstatus END AS status FROM orders")
 def case_decode(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", tx.code_name(F.col("o_orderstatus"), {"P": "pending", "F": "finished"}).alias("status"))
 
 
-@query("logon_summary", "SELECT c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN 10 ELSE 3 END AS logon_type, count(*) AS n FROM customer GROUP BY 1, 2")
-def logon_summary(spark, sf_dir):
-    text = F.concat(F.lit("Target: D"), F.col("c_nationkey").cast("string"), F.lit("\\u LogonType "), F.when(F.col("c_custkey") % 2 == 0, "10").otherwise("3"))
-    parsed = table(spark, sf_dir, "customer").select(F.regexp_extract(text, r"Target: D(\d+)\\", 1).cast("long").alias("c_nationkey"), F.regexp_extract(text, r"LogonType (\d+)", 1).cast("long").alias("logon_type"))
-    return parsed.groupBy("c_nationkey", "logon_type").agg(F.count("*").alias("n"))
-
-
 @query("typed_view", "SELECT c_custkey, c_name AS name__text, NULL::BIGINT AS name_number, c_custkey::VARCHAR AS key__text, c_custkey AS key_number FROM customer")
 def typed_view(spark, sf_dir):
     text = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("key"))
@@ -286,41 +230,6 @@ def merged_vs_slices(spark, sf_dir):
     return o.where("included_in_view").select("o_orderkey")
 
 
-@query("browser_timeline", "SELECT o_orderkey AS id, 'ordered' AS type, epoch_us(o_orderdate) AS at_us FROM orders UNION ALL SELECT l_orderkey, 'shipped', epoch_us(l_shipdate) FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'billed', epoch_us(l_shipdate + INTERVAL 1 DAY) FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'")
-def browser_timeline(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.array(F.struct(F.lit("ordered").alias("type"), F.col("o_orderdate").alias("at")))).alias("x"))
-    times = F.array(F.struct(F.lit("shipped").alias("type"), F.col("l_shipdate").alias("at")), F.struct(F.lit("billed").alias("type"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")).alias("at")))
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.explode(times).alias("x"))
-    return union([o, line]).where("x.at IS NOT NULL").select("id", "x.type", tm.micros_of(F.col("x.at")).alias("at_us"))
-
-
-@query("prefetch_timeline", "SELECT p_partkey, p_partkey * 100 + i AS run_time FROM part, (SELECT unnest([0, 1, 2]) AS i) WHERE i < p_size % 4")
-def prefetch_timeline(spark, sf_dir):
-    runs = F.filter(F.array(*[F.col("p_partkey") * 100 + i for i in range(3)]), lambda x, i: i < F.col("p_size") % 4)
-    return part(spark, sf_dir).select("p_partkey", F.explode(runs).alias("run_time"))
-
-
-@query("binary_everywhere", "SELECT * FROM (SELECT 'orders' AS src, o_orderkey AS id, epoch_us(o_orderdate) AS at_us FROM orders WHERE o_custkey = 77 UNION ALL SELECT 'events', event_id, epoch_us(ts) FROM events WHERE user_id = 77 UNION ALL SELECT 'customers', c_custkey, NULL FROM customer WHERE c_custkey = 77)")
-def binary_everywhere(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").where("o_custkey = 77").select(F.lit("orders").alias("src"), F.col("o_orderkey").alias("id"), tm.micros_of(F.col("o_orderdate")).alias("at_us"))
-    b = table(spark, sf_dir, "events").where("user_id = 77").select(F.lit("events").alias("src"), F.col("event_id").alias("id"), tm.micros_of(F.col("ts")).alias("at_us"))
-    c = table(spark, sf_dir, "customer").where("c_custkey = 77").select(F.lit("customers").alias("src"), F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("at_us"))
-    return union([a, b, c]).orderBy(F.col("at_us").asc_nulls_last())
-
-
-@query("deletion_evidence", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-06-30'")
-def deletion_evidence(spark, sf_dir):
-    window = F.col("l_shipdate").between(F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00")), F.to_timestamp_ntz(F.lit("1995-06-30 00:00:00")))
-    return table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & window).select("l_orderkey", "l_linenumber")
-
-
-@query("ads_rows", "SELECT p_partkey, p_name AS name, FALSE AS is_stream FROM part UNION ALL SELECT p_partkey, p_name || ':Zone.Identifier', TRUE FROM part WHERE p_size % 3 = 0")
-def ads_rows(spark, sf_dir):
-    base = F.array(F.struct(F.col("p_name").alias("name"), F.lit(False).alias("is_stream")))
-    streams = F.transform(F.when(F.col("p_size") % 3 == 0, F.array(F.lit("Zone.Identifier"))).otherwise(F.array().cast("array<string>")), lambda s: F.struct(F.concat("p_name", F.lit(":"), s).alias("name"), F.lit(True).alias("is_stream")))
-    return part(spark, sf_dir).select("p_partkey", F.explode(F.concat(base, streams)).alias("x")).select("p_partkey", "x.name", "x.is_stream")
-
-
 @query("file_listing", "SELECT p_partkey, p_brand || '\\' || p_name AS path FROM part WHERE p_size % 3 <> 0")
 def file_listing(spark, sf_dir):
     return part(spark, sf_dir).where("p_size % 3 <> 0").select("p_partkey", tx.join_path(F.col("p_brand"), F.col("p_name")).alias("path"))
@@ -341,20 +250,6 @@ def timestomp_flags(spark, sf_dir):
     return ticks.select("l_orderkey", "l_linenumber", *[c.alias(name) for name, c in flags.items()])
 
 
-@query("suppress_equal_times", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE epoch_us(o_orderdate) + 1 END AS fn_us FROM orders")
-def suppress_equal_times(spark, sf_dir):
-    si = tm.micros_of(F.col("o_orderdate"))
-    fn = si + F.col("o_orderkey") % 2
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(fn != si, fn).alias("fn_us"))
-
-
-@query("pivot_annotations", "SELECT o_custkey, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS destination, max(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) AS meta, min(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) IS NULL AS orphan FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")
-def pivot_annotations(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderstatus IN ('F', 'P')")
-    out = rows.groupBy("o_custkey").agg(F.min(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("destination"), F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey"))).alias("meta"))
-    return out.withColumn("orphan", F.col("destination").isNull())
-
-
 @query("query_sql", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 LIMIT 1000")
 def query_sql(spark, sf_dir):
     return spark.sql("SELECT o_orderstatus, count(*) AS n FROM {orders} GROUP BY 1 ORDER BY 1", orders=table(spark, sf_dir, "orders")).limit(1000)
