@@ -46,6 +46,8 @@ MATCHES = "array<struct<start:int,end:int,value:string,before:string,after:strin
 SIEVE = 1 << 16
 #: Terms up to which the exact terms are broadcast.
 MOST_BROADCAST = 50_000
+#: Parts that the copies of one text are dealt over.
+SALTS = 32
 
 
 def luhn(match: Column) -> Column:
@@ -126,10 +128,11 @@ def base_spans() -> Column:
     return F.concat(*[F.transform(kind, _spanner(rank)) for rank, kind in enumerate(PATTERNS)])
 
 
-def base_entities(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_hash, counts, spans, and for each span its entity and the rest of its line."""
+def base_entities(docs: DataFrame, all_texts: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, doc_hash, counts, spans, for each span its entity and the rest of its line, the text (of rows without spans only with ``all_texts``), and ``carry``."""
     entities = F.concat(*[F.transform(kind, _entity(kind)) for kind in PATTERNS])
-    return with_matches(docs).select("doc_id", "doc_hash", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], base_spans().alias("spans"), entities.alias("entities"))
+    found = with_matches(docs).select("doc_id", *carry, "doc_hash", *[F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS], base_spans().alias("spans"), entities.alias("entities"), "text")
+    return found if all_texts else found.withColumn("text", F.when(F.size("spans") > 0, F.col("text")))
 
 
 def disclosing_terms(base: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -163,15 +166,25 @@ def disclosing_terms(base: DataFrame, docs: DataFrame) -> DataFrame | None:
     return stash(likely.join(words, "term").where((chance >= LEAST_CHANCE) & (bits >= LEAST_BITS)).select("entity", "term"), "pii-terms")
 
 
-def term_spans(base: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, doc_hash, term_spans of the documents that hold an entity which terms give away."""
-    held = base.where(F.size("entities") > 0).select("doc_id", "doc_hash", F.explode("entities.entity").alias("entity"))
-    wanted = stash(held.join(terms, "entity").groupBy("doc_hash").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms")), "pii-wanted")
-    sieve = F.pmod(F.xxhash64("doc_hash"), F.lit(SIEVE))
-    few = docs.withColumn("sieve", sieve).join(F.broadcast(wanted.select(sieve.alias("sieve")).distinct()), "sieve", "left_semi").drop("sieve")
+def with_term_spans(base: DataFrame, terms: DataFrame) -> DataFrame:
+    """``base`` with the spans of the terms that give its own entities away.
+
+    The terms of a text are found once for all its copies; copies are dealt out
+    over ``SALTS`` parts, so that no text's copies meet in one task.
+    """
+    held = base.where(F.size("entities") > 0)
+    entities = held.select("doc_hash", F.explode("entities.entity").alias("entity")).distinct()
+    wanted = stash(entities.join(terms, "entity").groupBy("doc_hash").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("terms")), "pii-wanted")
+    everywhere = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("terms"), F.lit(r")(?!\p{L})"))
     found = F.transform(placed_matches(F.col("text"), pattern), _spanner(KINDS.index("term")))
-    return few.join(wanted, "doc_hash").select("doc_hash", found.alias("term_spans")).groupBy("doc_hash").agg(F.first("term_spans").alias("term_spans"))
+    named = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(everywhere, ["doc_hash", "salt"], "left")
+    named = named.withColumn("term_spans", F.when(F.col("terms").isNotNull(), found).otherwise(_no_spans())).drop("salt", "terms")
+    return named.unionByName(base.where(F.size("entities") == 0).withColumn("term_spans", _no_spans()))
+
+
+def _no_spans() -> Column:
+    return F.array().cast(SPAN)
 
 
 def text_hash() -> Column:
@@ -179,16 +192,14 @@ def text_hash() -> Column:
     return F.unhex(F.md5("text"))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, doc_hash (of the text), n_email ... n_phone, spans (base), term_spans of every row of ``docs``."""
-    own = own_columns(docs, "doc_id", "text").withColumn("text", whole_text()).withColumn("doc_hash", text_hash())
-    base = stash(base_entities(own), "pii-base")
+def find(docs: DataFrame, carry: tuple[str, ...] = (), all_texts: bool = False) -> DataFrame:
+    """doc_id, n_email ... n_phone, spans (base), term_spans of every row of ``docs``, the columns of ``carry``, and the text of rows with spans, or of all."""
+    own = own_columns(docs, "doc_id", "text", *carry).withColumn("text", whole_text()).withColumn("doc_hash", text_hash())
+    base = stash(base_entities(own, all_texts, carry), "pii-base")
     terms = disclosing_terms(base, own)
-    none = F.array().cast(SPAN)
     if terms is None or terms.isEmpty():
-        return base.drop("entities").withColumn("term_spans", none)
-    more = term_spans(base, own, terms)
-    return base.drop("entities").join(more, "doc_hash", "left").withColumn("term_spans", F.coalesce("term_spans", none))
+        return base.withColumn("term_spans", _no_spans())
+    return with_term_spans(base, terms)
 
 
 def span_table(docs: DataFrame) -> DataFrame:
@@ -225,7 +236,5 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text (spans replaced by tags) of every row of ``docs``, and the columns of ``carry``."""
-    own = own_columns(docs, "doc_id", "text", *carry).withColumn("text", whole_text()).withColumn("doc_hash", text_hash())
-    found = find(docs).where((F.size("spans") > 0) | (F.size("term_spans") > 0))
-    by_text = found.groupBy("doc_hash").agg(F.first(F.concat("spans", "term_spans")).alias("spans"))
-    return own.join(by_text, "doc_hash", "left").select("doc_id", *carry, F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans"))).alias("text"))
+    found = find(docs, carry, all_texts=True)
+    return found.select("doc_id", *carry, redacted(F.col("text"), F.concat("spans", "term_spans")).alias("text"))
