@@ -190,7 +190,7 @@ def stack_logons_unfiltered(spark, sf_dir):
 
 
 SUMMARY_SQL = """SELECT CASE WHEN event_id % 6 IN (0, 5) THEN 'Dom' || user_id % 3 END AS domain, CASE WHEN event_id % 6 IN (0, 1, 2, 5) THEN 'User' || user_id % 11 END AS account, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS outcome,
-CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 10 END AS logon_type, user_id % 7 AS host, count(*) AS n FROM events WHERE event_type IN ('error', 'signup', 'click') GROUP BY ALL"""
+CASE event_id % 5 WHEN 0 THEN 3::BIGINT WHEN 1 THEN 10::BIGINT END AS logon_type, user_id % 7 AS host, count(*) AS n FROM events WHERE event_type IN ('error', 'signup', 'click') GROUP BY ALL"""
 
 
 def summary_of_logons(spark, sf_dir):
