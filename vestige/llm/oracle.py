@@ -37,3 +37,52 @@ reached AS (SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reached r JOIN ways
 SELECT d.doc_id, coalesce(least(min(r.b), d.doc_id), d.doc_id) AS class_id, coalesce(max(s.n), 0) AS n_shingles
 FROM documents d LEFT JOIN reached r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+# Trees of runs of 16 over each source's leaves and over the sources' roots; ``now`` is a leaf after tampering.
+MERKLE = """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, x: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS entries
+  FROM (SELECT unnest(range(256)) AS i)),
+marked AS (
+  SELECT d.*, doc_id IS NOT NULL AND xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)),
+           lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1]))) % 5 = 0 AS changed
+  FROM documents d, crc),
+parts AS (
+  SELECT doc_id, source, changed, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM marked),
+leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS place, count(*) OVER (PARTITION BY source) AS n,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || CASE WHEN changed THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS now
+  FROM parts),
+levels AS (
+  SELECT 0 AS level, tree, place, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT level + 1, tree, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place))
+  FROM levels WHERE n > 1 GROUP BY level, tree, place // 16, (n + 15) // 16),
+subroots AS (SELECT tree, h AS subroot, tree AS place, count(*) OVER () AS n FROM levels WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, place, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM tops WHERE n > 1 GROUP BY level, place // 16, (n + 15) // 16),
+runs AS (
+  SELECT tree, level, place // 16 AS run, list(h ORDER BY place) AS hs FROM levels WHERE n > 1 GROUP BY tree, level, place // 16
+  UNION ALL
+  SELECT -1, level, place // 16, list(h ORDER BY place) FROM tops WHERE n > 1 GROUP BY level, place // 16),
+climb AS (
+  SELECT doc_id, leaf, tree AS own, tree, 0 AS level, place, n, now AS fold, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.own, CASE WHEN c.n = 1 THEN -1 ELSE c.tree END, CASE WHEN c.n = 1 THEN 0 ELSE c.level + 1 END,
+         CASE WHEN c.n = 1 THEN c.own ELSE c.place // 16 END, CASE WHEN c.n = 1 THEN s.n ELSE (c.n + 15) // 16 END,
+         CASE WHEN c.n = 1 THEN c.fold ELSE sha256(array_to_string(hs[:c.place % 16], '') || c.fold || array_to_string(hs[c.place % 16 + 2:], '')) END,
+         CASE WHEN c.n = 1 THEN c.proof ELSE c.proof || array_to_string(hs[:c.place % 16], '') || array_to_string(hs[c.place % 16 + 2:], '') END
+  FROM climb c JOIN subroots s ON s.tree = c.own
+  LEFT JOIN runs r ON c.n > 1 AND r.tree = c.tree AND r.level = c.level AND r.run = c.place // 16
+  WHERE c.n > 1 OR c.tree >= 0)
+SELECT c.doc_id, c.leaf, s.subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.fold AS folded_root, c.fold = t.h AS verified
+FROM climb c JOIN subroots s ON s.tree = c.own, (SELECT h FROM tops WHERE n = 1) t
+WHERE c.tree = -1 AND c.n = 1
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestige.llm import bpe, fingerprints, language_id, line_dedup, near_dup, oracle, packing, pii, quality_rules, token_files, toxicity
+from vestige.llm import bpe, fingerprints, language_id, line_dedup, merkle, near_dup, oracle, packing, pii, quality_rules, token_files, toxicity
 from vestige.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,9 +69,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), END_ID)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_tampered(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op4_pii, op5_toxicity, op6_fingerprints, similar_classes, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op4_pii, op5_toxicity, op6_fingerprints, similar_classes, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": oracle.OP8, "similar_classes": oracle.SIMILAR}
+    return {"op8_line_dedup": oracle.OP8, "similar_classes": oracle.SIMILAR, "op13_merkle_manifest": oracle.MERKLE}
