@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestige.llm import bpe, fingerprints, language_id, line_dedup, merkle, near_dup, oracle, packing, pii, quality_rules, repeats, token_files, toxicity
+from vestige.llm import alignment, bpe, fingerprints, language_id, line_dedup, merkle, near_dup, oracle, packing, pii, quality_rules, repeats, token_files, toxicity
 from vestige.llm.shared import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), END_ID)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = repeats.drop_repeats(documents(spark, sf_dir))
     return short.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -79,7 +83,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op4_pii, op5_toxicity, op6_fingerprints, similar_classes, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files, op12_suffix_dedup, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_best_fit_packing, op4_pii, op5_toxicity, op6_fingerprints, similar_classes, op7_near_dup, op8_line_dedup, op9_language_id, op10_token_files, op11_token_alignment, op12_suffix_dedup, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
