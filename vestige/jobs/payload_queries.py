@@ -15,44 +15,88 @@ from vestige.sources import tables as src
 
 
 def event_xml(spark, sf_dir):
-    """Events as XML: some without data, some with user data, empty and unnamed cells, marks that must be escaped."""
-    who = F.col("user_id").cast("string")
-    head = F.concat(F.lit("<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Channel>"), "event_type", F.lit("</Channel><EventID>"), (F.col("user_id") % 5).cast("string"), F.lit("</EventID><Computer>H"), (F.col("user_id") % 7).cast("string"), F.lit("</Computer></System>"))
-    data = F.concat(F.lit('<Data Name="user">'), who, F.lit('</Data><Data Name="empty"/><Data>'), "props", F.lit('</Data><Data Name="a&amp;b">x &lt; y</Data>'))
-    body = F.when(F.col("user_id") % 11 == 0, "").when(F.col("user_id") % 11 == 1, F.concat(F.lit("<UserData>"), data, F.lit("</UserData>"))).otherwise(F.concat(F.lit("<EventData>"), data, F.lit("</EventData>")))
-    return pay.parsed(table(spark, sf_dir, "events").select("event_id", F.concat(head, body, F.lit("</Event>")).alias("xml")), "xml")
+    """Events as XML: without data, with user data (named, or in elements of its own), with unnamed, repeated and empty data, attributes, marks that must be escaped, ids that are no number."""
+    who, kind = F.col("user_id").cast("string"), F.col("user_id") % 11
+    code = F.when(F.col("user_id") % 50 == 49, "none").otherwise((F.col("user_id") % 5).cast("string"))
+    head = F.concat(
+        F.lit("<?xml version='1.0'?><Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Provider Name=\"P"), F.col("user_id") % 3, F.lit('"/><EventID Qualifiers="7"> '), code,
+        F.lit(" </EventID><Task>"), F.col("user_id") % 4, F.lit('</Task><TimeCreated SystemTime="2024-01-01T00:00:00Z">shown</TimeCreated><Channel>'), "event_type", F.lit("</Channel><Computer>H"), F.col("user_id") % 7, F.lit("</Computer></System>"),
+    )
+    data = F.concat(F.lit('<Data Name="user">'), who, F.lit('</Data><Data Name="empty"/><Data>'), "props", F.lit('</Data><Data Name="a&amp;b">x &lt; y</Data><Data Name="user">second</Data>'))
+    own = F.concat(F.lit('<LogFileCleared xmlns="http://own"><SubjectUserName>bob'), who, F.lit('</SubjectUserName><Sid Kind="a">0xab</Sid><Sid Kind="b">0xcd</Sid></LogFileCleared>'))
+    body = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit("<UserData>"), data, F.lit("</UserData>"))).when(kind == 2, F.concat(F.lit("<UserData>"), own, F.lit("</UserData>")))
+    body = body.otherwise(F.concat(F.lit("<EventData>"), data, F.lit("<Binary>00ff</Binary></EventData>")))
+    return table(spark, sf_dir, "events").select("event_id", F.concat(head, body, F.lit("</Event>")).alias("xml"))
 
 
-@query("event_payload", """SELECT event_id, CASE WHEN user_id % 11 = 0 THEN '' ELSE '{"' || CASE WHEN user_id % 11 = 1 THEN 'UserData' ELSE 'EventData' END || '":{"Data":[{"@Name":"user","#text":"' || user_id || '"},{"@Name":"empty"},{"#text":"' || replace(props, '"', '\\"') || '"},{"@Name":"a&b","#text":"x < y"}]}}' END AS payload,
-CASE WHEN user_id % 11 < 2 THEN '' ELSE 'user: ' || user_id || '|empty: |' || props || '|a&b: x < y' END AS first FROM events""")
+PAYLOAD_SQL = """SELECT event_id, CASE WHEN user_id % 11 = 0 THEN '' WHEN user_id % 11 = 2 THEN '{"UserData":{"Data":[]}}' ELSE '{"' || CASE WHEN user_id % 11 = 1 THEN 'UserData' ELSE 'EventData' END || '":{"Data":[{"@Name":"user","#text":"' || user_id || '"},{"@Name":"empty"},{"#text":"' || replace(props, '"', '\\"') || '"},{"@Name":"a&b","#text":"x < y"},{"@Name":"user","#text":"second"}]}}' END AS payload,
+CASE WHEN user_id % 11 < 3 THEN '' ELSE 'user: ' || user_id || '|empty: |' || props || '|a&b: x < y|user: second' END AS first FROM events"""
+
+
+@query("event_payload", PAYLOAD_SQL)
 def event_payload(spark, sf_dir):
-    return event_xml(spark, sf_dir).select("event_id", pay.payload("xml").alias("payload"), F.array_join(pay.first_data(), "|").alias("first"))
+    return pay.parsed(event_xml(spark, sf_dir), "xml").select("event_id", pay.payload("xml").alias("payload"), F.array_join(pay.first_data(), "|").alias("first"))
 
 
-#: A user's rules: what they match, and how a line of the report is filled.
+#: A user's rules: the events they are for, their place, and how a column is filled. Two fill ``PayloadData1`` of one event.
 RULES = [
-    ("error", "0", "Failure", "PayloadData1", "code %user% at %where% (%none%)", [("user", '/Event/EventData/Data[@Name="user"]'), ("where", "/Event/System/Computer"), ("none", "/Event/EventData/Data[@Name='no']")]),
-    ("error", "0", "Failure", "PayloadData2", "", [("mark", '/Event/EventData/Data[@Name="a&b"]')]),
-    ("signup", "2", "New account", "UserName", "%user%", [("user", '/Event/EventData/Data[@Name="user"]')]),
+    ("error", "0", "Failure", 1, "PayloadData1", "code %user% at %where% (%none%)", [("user", '/Event/EventData/Data[@Name="user"]'), ("where", "/Event/System/Computer"), ("none", "/Event/EventData/Data[@Name='user']")]),
+    ("error", "0", "Failure", 2, "PayloadData2", "", [("mark", '/Event/EventData/Data[@Name="a&b"]'), ("other", "/Event/System/Task")]),
+    ("error", "0", "Failure", 3, "PayloadData1", "%b%%a%", [("b", "/Event/EventData/Binary"), ("a", "/Event/EventData/Data")]),
+    ("error", "0", "Failure", 4, "MapDescription", "Failure %task%", [("task", "/Event/System/Task")]),
+    ("signup", "2", "New account", 1, "UserName", "%user%", [("user", '/Event/UserData/Data[@Name="user"]')]),
+    ("signup", "2", "New account", 2, "RemoteHost", "%x%/%time%", [("x", "/Event/UserData/LogFileCleared/SubjectUserName"), ("time", "/Event/System/TimeCreated")]),
+    ("signup", "2", "New account", 3, "ExecutableInfo", "%second%", [("second", '/Event/UserData/LogFileCleared/Sid[@Kind="b"]')]),
+    ("signup", "2", "New account", 4, "Unknown", "%x%", [("x", "/Other/System/Task")]),
+    ("view", "4", "Seen", 1, "PayloadData3", "", [("deep", "/Event/EventData/Data/Deeper")]),
+    ("click", "0", "Without number", 1, "PayloadData6", "%user%", [("user", '/Event/EventData/Data[@Name="user"]')]),
 ]
 
+# What the rules' paths give for an event, and the event's channel and id.
+VALUES_SQL = """e AS (SELECT event_id, event_type AS channel, CASE WHEN user_id % 50 = 49 THEN 0 ELSE user_id % 5 END AS code, user_id % 4 AS task, user_id % 7 AS host,
+  CASE WHEN user_id % 11 > 2 THEN user_id::VARCHAR ELSE '' END AS data_user, CASE WHEN user_id % 11 > 2 THEN 'x < y' ELSE '' END AS data_mark, CASE WHEN user_id % 11 > 2 THEN '00ff' ELSE '' END AS data_binary,
+  CASE WHEN user_id % 11 = 1 THEN user_id::VARCHAR ELSE '' END AS own_user, CASE WHEN user_id % 11 = 2 THEN 'bob' || user_id ELSE '' END AS cleared, CASE WHEN user_id % 11 = 2 THEN '0xCD' ELSE '' END AS sid, props, user_id % 11 > 2 AS has_data FROM events),
+filled AS (
+  SELECT event_id, 'Failure' AS description, 1 AS nth, 'PayloadData1' AS property, 'code ' || data_user || ' at H' || host || ' ()' AS payload FROM e WHERE channel = 'error' AND code = 0
+  UNION ALL SELECT event_id, 'Failure', 2, 'PayloadData2', data_mark FROM e WHERE channel = 'error' AND code = 0
+  UNION ALL SELECT event_id, 'Failure', 3, 'PayloadData1', data_binary || data_user FROM e WHERE channel = 'error' AND code = 0
+  UNION ALL SELECT event_id, 'Failure', 4, 'MapDescription', 'Failure ' || task FROM e WHERE channel = 'error' AND code = 0
+  UNION ALL SELECT event_id, 'New account', 1, 'UserName', own_user FROM e WHERE channel = 'signup' AND code = 2
+  UNION ALL SELECT event_id, 'New account', 2, 'RemoteHost', cleared || '/shown' FROM e WHERE channel = 'signup' AND code = 2
+  UNION ALL SELECT event_id, 'New account', 3, 'ExecutableInfo', sid FROM e WHERE channel = 'signup' AND code = 2
+  UNION ALL SELECT event_id, 'New account', 4, 'Unknown', '' FROM e WHERE channel = 'signup' AND code = 2
+  UNION ALL SELECT event_id, 'Seen', 1, 'PayloadData3', '' FROM e WHERE channel = 'view' AND code = 4
+  UNION ALL SELECT event_id, 'Without number', 1, 'PayloadData6', data_user FROM e WHERE channel = 'click' AND code = 0)"""
+
+
+def rules_table(spark):
+    return spark.createDataFrame(RULES, pay.RULES)
+
 
-@query("event_maps", """SELECT * FROM (VALUES ('error', '0', 'PayloadData1', 3), ('error', '0', 'PayloadData2', 1), ('signup', '2', 'UserName', 1)) r(channel, event_code, property, n_values)
-JOIN (SELECT event_type AS channel, (user_id % 5)::VARCHAR AS event_code, count(*) AS n FROM events GROUP BY 1, 2) USING (channel, event_code)""")
+@query("event_maps", f"""WITH {VALUES_SQL} SELECT description, property, count(*) AS n, count(*) FILTER (WHERE payload <> '') AS filled, count(DISTINCT payload) AS texts FROM filled GROUP BY 1, 2""")
 def event_maps(spark, sf_dir):
-    """How many events each rule of the table covers."""
-    rules = spark.createDataFrame(RULES, pay.RULES).select("channel", F.col("event_id").alias("event_code"), "property", F.size("values").alias("n_values"))
-    counts = event_xml(spark, sf_dir).groupBy(F.col("event.System.Channel").alias("channel"), F.col("event.System.EventID").alias("event_code")).agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(rules), ["channel", "event_code"])  # one row a rule
+    """Of each rule's column how many events it is for, how many it fills, and with how many texts."""
+    rows = pay.mapped(event_xml(spark, sf_dir), rules_table(spark)).where("property <> ''")
+    return rows.groupBy("description", "property").agg(F.count("*").alias("n"), F.count_if(F.col("payload") != "").alias("filled"), F.count_distinct("payload").alias("texts"))
 
 
-@query("event_map_join", """WITH e AS (SELECT event_id, event_type AS channel, user_id % 5 AS code, CASE WHEN user_id % 11 = 0 THEN '' ELSE user_id::VARCHAR END AS who, user_id % 7 AS host, user_id % 11 = 0 AS bare FROM events)
-SELECT event_id, 'Failure' AS description, 'PayloadData1' AS property, 'code ' || who || ' at H' || host || ' ()' AS payload FROM e WHERE channel = 'error' AND code = 0
-UNION ALL SELECT event_id, 'Failure', 'PayloadData2', CASE WHEN bare THEN '' ELSE 'x < y' END FROM e WHERE channel = 'error' AND code = 0
-UNION ALL SELECT event_id, 'New account', 'UserName', who FROM e WHERE channel = 'signup' AND code = 2
-UNION ALL SELECT event_id, '', '', '' FROM e WHERE NOT (channel = 'error' AND code = 0 OR channel = 'signup' AND code = 2)""")
+@query("event_map_join", f"""WITH {VALUES_SQL} SELECT event_id, description, property, payload FROM filled
+UNION ALL SELECT event_id, '', '', '' FROM e WHERE event_id NOT IN (SELECT event_id FROM filled)""")
 def event_map_join(spark, sf_dir):
-    return pay.mapped(event_xml(spark, sf_dir), spark.createDataFrame(RULES, pay.RULES)).select("event_id", "description", "property", "payload")
+    return pay.mapped(event_xml(spark, sf_dir), rules_table(spark)).select("event_id", "description", "property", "payload")
+
+
+@query("event_map_columns", f"""WITH {VALUES_SQL},
+latest AS (SELECT event_id, property, arg_max(payload, nth) AS payload FROM filled GROUP BY 1, 2), about AS (SELECT event_id, max(description) AS description FROM filled GROUP BY 1),
+wide AS (SELECT event_id, max(payload) FILTER (WHERE property = 'MapDescription') AS said, max(payload) FILTER (WHERE property = 'UserName') AS u, max(payload) FILTER (WHERE property = 'RemoteHost') AS r, max(payload) FILTER (WHERE property = 'ExecutableInfo') AS x,
+  max(payload) FILTER (WHERE property = 'PayloadData1') AS p1, max(payload) FILTER (WHERE property = 'PayloadData2') AS p2, max(payload) FILTER (WHERE property = 'PayloadData3') AS p3, max(payload) FILTER (WHERE property = 'PayloadData6') AS p6 FROM latest GROUP BY 1)
+SELECT e.event_id, coalesce(w.said, a.description, '') AS MapDescription, coalesce(u, '') AS UserName, coalesce(r, '') AS RemoteHost, coalesce(x, '') AS ExecutableInfo,
+  CASE WHEN a.event_id IS NOT NULL THEN coalesce(p1, '') WHEN has_data THEN 'user: ' || data_user ELSE '' END AS PayloadData1, CASE WHEN a.event_id IS NOT NULL THEN coalesce(p2, '') WHEN has_data THEN 'empty: ' ELSE '' END AS PayloadData2,
+  CASE WHEN a.event_id IS NOT NULL THEN coalesce(p3, '') WHEN has_data THEN props ELSE '' END AS PayloadData3, CASE WHEN a.event_id IS NULL AND has_data THEN 'a&b: x < y' ELSE '' END AS PayloadData4,
+  CASE WHEN a.event_id IS NULL AND has_data THEN 'user: second' ELSE '' END AS PayloadData5, coalesce(p6, '') AS PayloadData6
+FROM e LEFT JOIN about a USING (event_id) LEFT JOIN wide w USING (event_id)""")
+def event_map_columns(spark, sf_dir):
+    return pay.mapped_columns(event_xml(spark, sf_dir), rules_table(spark)).drop("xml")
 
 
 @query("split_value", """WITH p AS (SELECT event_id, CASE user_id % 5 WHEN 0 THEN [struct_pack(key := 'k', value := regexp_extract(props, '(\\d+)', 1)), struct_pack(key := 'k', value := '"' || event_type || '"')]
