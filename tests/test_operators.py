@@ -8,7 +8,7 @@ from vestige.functions import times as tm
 from vestige.operators import aggregates as agg
 from vestige.operators import hierarchy, lookups, network, records, windows
 from vestige.operators import search as find
-from vestige.operators.predicates import FilterError, apply_filter, compile_filter, parse_search, pick_hosts, registry_pattern, safe_regex, search
+from vestige.operators.predicates import FilterError, Term, apply_filter, compile_filter, parse_search, pick_hosts, registry_pattern, safe_regex, search
 from vestige.relation import Relation
 from vestige.sources import tables as src
 
@@ -68,7 +68,7 @@ def test_bad_documents(relation):
 
 
 def test_search(relation):
-    assert parse_search('one +"two words" -user:x') == [("", None, "one"), ("+", None, "two words"), ("-", "user", "x")]
+    assert parse_search('one +"two words" -user:x', ["User"]) == [Term("", None, "one"), Term("+", None, "two words"), Term("-", "User", "x")]
     assert ids(relation.df.where(search("admin 4625", relation))) == [1, 2]
     assert ids(relation.df.where(search("+ws01 -admin", relation))) == [2]
 

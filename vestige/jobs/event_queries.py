@@ -64,21 +64,51 @@ for _name, (_doc, _where) in FILTERS.items():
     _register(_name, _doc, _where)
 
 
-@query("search_box", "SELECT event_id FROM events WHERE (contains(lower(event_type), 'err') OR contains(props, '\"k\": 7')) AND contains(user_id::VARCHAR, '4') AND NOT contains(lower(event_type), 'purchase')")
-def search_box(spark, sf_dir):
-    r = events(spark, sf_dir)
-    return r.df.where(search_condition(r)).select("event_id")
+def anywhere(text: str, cells: tuple[str, ...] = ("event_type", "user_id::VARCHAR", "props", HOST)) -> str:
+    return "(" + " OR ".join(f"contains(lower(coalesce({c}, '')), '{text}')" for c in cells) + ")"
+
+
+#: What is typed into the box, and the same as a condition.
+SEARCHES = {
+    "search_box": ('Event_Type:ERR +user_id:4 -purchase props:"{""k"": 7"', "(contains(lower(event_type), 'err') OR contains(props, '{k: 7')) AND contains(user_id::VARCHAR, '4') AND NOT " + anywhere("purchase")),
+    "search_box_terms": ('sign event_type:rror +props:": 1"', f"({anywhere('sign')} OR contains(lower(event_type), 'rror')) AND contains(lower(props), ': 1')"),
+    "search_box_columns": ("HOST:3 ts:2024-01-1 -EVENT_TYPE:view -value:9.", f"(contains({HOST}, '3') OR contains(strftime(ts, '%Y-%m-%d %H:%M:%S'), '2024-01-1')) AND NOT contains(event_type, 'view') AND NOT contains(value::VARCHAR, '9.')"),
+    "search_box_blank": ('  "" +"" ', "TRUE"),
+}
+
+
+def _register_search(name: str, text: str, where: str) -> None:
+    def run(spark, sf_dir):
+        r = events(spark, sf_dir)
+        return r.df.where(pred.search(text, r)).select("event_id")
 
+    query(name, f"SELECT event_id FROM events WHERE {where}")(run)
 
-def search_condition(r: Relation):
-    """Terms with a quote mark can't be typed in the box: they come as parts."""
-    return (pred.search("event_type:ERR", r) | F.contains("props", F.lit('"k": 7'))) & pred.search("+user_id:4 -purchase", r)
+
+for _name, (_text, _where) in SEARCHES.items():
+    _register_search(_name, _text, _where)
+
+
+NOTE_SQL = "CASE user_id % 4 WHEN 0 THEN 'See http://x/' || user_id WHEN 1 THEN 'note:see ' || event_type WHEN 2 THEN 'event_type:' || event_type || ' +1' END"
+
+
+@query("search_box_text", f"""WITH e AS (SELECT event_id, coalesce(lower({NOTE_SQL}), '') AS note, event_type FROM events)
+SELECT event_id FROM e WHERE (contains(note, 'http://x') OR contains(note, 'see v') OR contains(note, 'event_type:error') OR contains(note, '+1')) AND NOT contains(note, '/4') AND NOT contains(note, 'type:view')""")
+def search_box_text(spark, sf_dir):
+    """Terms with colons and signs: ``Note`` is a column, whatever its case, ``http`` and a name in quotes are none."""
+    r = events(spark, sf_dir)
+    kind = F.col("user_id") % 4
+    note = F.when(kind == 0, F.concat(F.lit("See http://x/"), "user_id")).when(kind == 1, F.concat(F.lit("note:see "), "event_type")).when(kind == 2, F.concat(F.lit("event_type:"), "event_type", F.lit(" +1")))
+    with_note = Relation("events", r.df.withColumn("Note", note), None, "ts", "event_id", ("Note",), r.typed)
+    return with_note.df.where(pred.search('http://x note:"see v" "event_type":error "+1" -Note:/4 -type:view', with_note)).select("event_id")
 
 
-@query("search_box_terms", f"SELECT event_id FROM events WHERE (contains(lower(event_type), 'sign') OR contains(user_id::VARCHAR, 'sign') OR contains(lower(props), 'sign') OR contains({HOST}, 'sign') OR contains(lower(event_type), 'rror')) AND contains(lower(props), ': 1')")
-def search_box_terms(spark, sf_dir):
+@query("search_box_regex", f"""SELECT event_id, regexp_matches(event_type, '(?i)^(ERR|si).*') OR regexp_matches(user_id::VARCHAR, '(?i)^(ERR|si).*') OR regexp_matches(props, '(?i)^(ERR|si).*') OR regexp_matches({HOST}, '(?i)^(ERR|si).*') AS folded,
+regexp_matches(event_type, '^1[0-9]$|^View$') OR regexp_matches(user_id::VARCHAR, '^1[0-9]$|^View$') OR regexp_matches(props, '^1[0-9]$|^View$') OR regexp_matches({HOST}, '^1[0-9]$|^View$') AS exact FROM events""")
+def search_box_regex(spark, sf_dir):
+    """The whole text as a pattern on each cell by itself."""
     r = events(spark, sf_dir)
-    return r.df.where(pred.search('sign event_type:rror +props:": 1"', r)).select("event_id")
+    return r.df.select("event_id", pred.search("^(ERR|si).*", r, regex=True).alias("folded"), pred.search("^1[0-9]$|^View$", r, regex=True, case_sensitive=True).alias("exact"))
 
 
 @query("event_filter", "SELECT event_id FROM events WHERE contains(lower(event_type), 'i') AND user_id IN (1, 2, 3, 4, 5) AND user_id NOT IN (3) AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'")

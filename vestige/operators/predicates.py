@@ -7,6 +7,9 @@ can't be decided is false, so ``not`` is an exact complement.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,19 +120,56 @@ def _range(op: str, value: object, column: str, relation: Relation, shown: Colum
     return {"gt": left > limits[0], "gte": left >= limits[0], "lt": left < limits[0], "lte": left <= limits[0]}[op]
 
 
-def safe_regex(pattern: str, folded: bool) -> str:
-    """A pattern without look-around, back-references, and repeats of what ends in a repeat."""
-    import re
+def safe_regex(pattern: str, folded: bool, most: int = MAX_REGEX) -> str:
+    """A pattern whose matching takes no exponential time.
 
-    if not isinstance(pattern, str) or len(pattern) > MAX_REGEX:
+    Refused: look-around, back-references, possessive repeats, repeats of what
+    ends in a repeat, and unbounded repeats of alternatives of which two may start
+    alike or one may be empty.
+    """
+    if not isinstance(pattern, str) or len(pattern) > most:
         raise FilterError("pattern too long")
     if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<|\(\?>|[+*?}]\+", pattern):
         raise FilterError("look-around, back-references and possessive repeats aren't allowed")
     if re.search(r"[+*}]\??\)+(?:[+*]|\{\d+,)", pattern):
         raise FilterError("a repeat of what ends in a repeat isn't allowed: matching it may take exponential time")
+    if _ambiguous(pattern):
+        raise FilterError("an unbounded repeat of alternatives that may start alike isn't allowed: matching it may take exponential time")
     return ("(?iu)" if folded else "") + pattern
 
 
+def _ambiguous(pattern: str) -> bool:
+    """Whether an unbounded repeat holds alternatives that one character can choose between in two ways."""
+    repeated = r"\)(?:[+*]|\{\d+,\})"
+    for closing in re.finditer(repeated, pattern):
+        depth, at, parts, end = 1, closing.start() - 1, [], closing.start()
+        while at >= 0 and depth:
+            if pattern[at] in "()|" and _bare(pattern, at):
+                depth += {")": 1, "(": -1}.get(pattern[at], 0)
+                if pattern[at] == "|" and depth == 1 or not depth:
+                    parts.append(pattern[at + 1 : end])
+                    end = at
+            at -= 1
+        firsts = [re.sub(r"^(?:\?:|\?P?<\w+>)", "", p) for p in parts]
+        if len(firsts) > 1 and (not all(firsts) or any(_start_alike(x, y) for i, x in enumerate(firsts) for y in firsts[:i])):
+            return True
+    return False
+
+
+def _bare(pattern: str, at: int) -> bool:
+    """Whether the character at a place is neither escaped nor in a class."""
+    slashes = len(pattern[:at]) - len(pattern[:at].rstrip("\\"))
+    before = re.sub(r"\\.", "__", pattern[:at], flags=re.S)
+    return slashes % 2 == 0 and before.rfind("[") <= before.rfind("]")
+
+
+def _start_alike(x: str, y: str) -> bool:
+    """Whether two alternatives may start with one character: literals are compared, anything else may."""
+    literal = re.compile(r"(\w|[ _/:;,@#%&=<>!~\"'-])(?![?*{])|\\([^\w])(?![?*{])")
+    one, other = literal.match(x), literal.match(y)
+    return not (one and other) or (one[1] or one[2]).lower() == (other[1] or other[2]).lower()
+
+
 def apply_filter(relation: Relation, doc: dict) -> DataFrame:
     return relation.df.where(compile_filter(doc, relation))
 
@@ -159,44 +199,88 @@ def colour(rules: list[tuple[int, dict]], relation: Relation) -> Column:
 # The search box -------------------------------------------------------------
 
 
-def parse_search(text: str) -> list[tuple[str, str | None, str]]:
-    """(sign, column or None, term) of each term; quotes keep blanks."""
-    import re
+#: Characters and terms of one search.
+MAX_SEARCH, MAX_TERMS = 2000, 50
+#: White space that parts terms; U+001C to U+001F don't.
+_BETWEEN = r"[^\S\x1c-\x1f]"
+_TERM = re.compile(rf'(?:"[^"]*"?|(?!{_BETWEEN})[^"])+')
+
+
+@dataclass(frozen=True)
+class Term:
+    """``sign``: ``+`` all, ``-`` none, else any; ``column``: the one that may hold the text, or None for every searchable one."""
 
-    terms = []
-    for sign, column, quoted, plain in re.findall(r'([+-]?)(?:(\w+):)?(?:"([^"]*)"|(\S+))', text):
-        term = quoted or plain
+    sign: str
+    column: str | None
+    text: str
+
+
+def parse_search(text: str, columns: list[str]) -> list[Term]:
+    """The terms of a search over a relation with ``columns``.
+
+    White space parts terms, but not inside double quotes, which are left out; a
+    quote without its end reaches to the end. ``+`` and ``-`` are signs if something follows.
+    ``name:rest`` asks one column only if the name has no quote, names a column of the relation, in
+    either case of letters, and the rest has text; any other term is text as a whole. Terms without text are left out.
+    """
+    if len(text) > MAX_SEARCH:
+        raise FilterError(f"a search has at most {MAX_SEARCH} characters")
+    by_name = {c.lower(): c for c in reversed(columns)}
+    out = []
+    for found in _TERM.findall(text):
+        sign = found[0] if found[0] in "+-" and len(found) > 1 else ""
+        body = found[len(sign) :]
+        name, _, rest = body.partition(":")
+        column = by_name.get(name.lower()) if rest.replace('"', "") else None  # a name with a quote is none of them
+        term = (rest if column else body).replace('"', "")
         if term:
-            terms.append((sign, column or None, term))
-    return terms
+            out.append(Term(sign, column, term))
+    if len(out) > MAX_TERMS:
+        raise FilterError(f"a search has at most {MAX_TERMS} terms")
+    return out
+
 
+def search(text: str, relation: Relation, regex: bool = False, case_sensitive: bool = False) -> Column:
+    """Any of the plain terms, all of ``+`` terms, none of ``-`` terms; a term without column may be in any data cell or the host.
 
-def search(text: str, relation: Relation) -> Column:
-    """Any of the plain terms, all of ``+`` terms, none of ``-`` terms; a term without column may be in any data cell."""
+    ``regex``: the whole text is one pattern, tested on each of these cells by itself. A blank search picks every row.
+    """
     columns = [*relation.data, *([relation.host] if relation.host else [])]
 
-    def hit(column: str | None, term: str) -> Column:
-        if column is not None and column not in relation.df.columns:
-            raise FilterError(f"no column {column}")
+    def anywhere(test) -> Column:
         out = F.lit(False)
-        for c in [column] if column else columns:
-            out = out | F.contains(F.lower(F.coalesce(relation.text_of(c), F.lit(""))), F.lit(term.lower()))
+        for c in columns:
+            out = out | test(F.coalesce(relation.text_of(c), F.lit("")))
         return out
 
+    if len(text) > MAX_SEARCH:
+        raise FilterError(f"a search has at most {MAX_SEARCH} characters")
+    if regex:
+        if not text.strip():
+            return F.lit(True)
+        try:
+            re.compile(text)
+        except re.error as e:
+            raise FilterError(f"not a pattern: {e}") from e
+        return anywhere(lambda cell: cell.rlike(safe_regex(text, not case_sensitive, MAX_SEARCH)))
+
+    def hit(term: Term) -> Column:
+        wanted = F.lit(term.text if case_sensitive else term.text.lower())
+        test = lambda cell: F.contains(cell if case_sensitive else F.lower(cell), wanted)
+        return test(F.coalesce(relation.text_of(term.column), F.lit(""))) if term.column else anywhere(test)
+
     every, anything, has_any = F.lit(True), F.lit(False), False
-    for sign, column, term in parse_search(text):
-        if sign == "+":
-            every = every & hit(column, term)
-        elif sign == "-":
-            every = every & ~hit(column, term)
+    for term in parse_search(text, relation.df.columns):
+        if term.sign == "+":
+            every = every & hit(term)
+        elif term.sign == "-":
+            every = every & ~hit(term)
         else:
-            anything, has_any = anything | hit(column, term), True
+            anything, has_any = anything | hit(term), True
     return every & anything if has_any else every
 
 
 def registry_pattern(glob: str) -> str:
     """A key-path glob as an anchored pattern: ``*`` stays inside its segment, a prefix of segments matches."""
-    import re
-
     segments = ["".join(r"[^\\]*" if p == "*" else re.escape(p) for p in re.split(r"(\*)", s)) for s in glob.split("\\")]
     return r"(?iu)^" + r"\\".join(segments) + r"(\\.*)?$"
