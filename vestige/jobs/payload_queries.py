@@ -155,6 +155,33 @@ def scan_raw(spark, sf_dir):
     return src.scan_text(spark, [(one, "H1", "bob"), (two, "H2", "")], "run1").select("k", "name", "_run_id", "_host", "_identity")
 
 
+def host_files(spark, sf_dir):
+    """Events as CSV files by host, those of half of the hosts without ``props``; (path, host, identity) of each file."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("Kind"), "props", (F.col("user_id") % 40).alias("host"))
+    wide, narrow = fresh_path(spark, "hosts"), fresh_path(spark, "hosts")
+    rows.where("host < 20").repartition("host").write.partitionBy("host").csv(wide, header=True, quoteAll=True, escape='"')
+    rows.where("host >= 20").drop("props").repartition("host").write.partitionBy("host").csv(narrow, header=True, quoteAll=True)
+    files = src.list_files(spark, wide, ".csv").unionByName(src.list_files(spark, narrow, ".csv"))
+    host = F.regexp_extract("path", r"host=(\d+)", 1)
+    return files.select("path", F.concat(F.lit("H"), host).alias("host"), F.when(host.cast("int") % 3 > 0, F.concat(F.lit("user:u"), host)).alias("identity"))
+
+
+@query("scan_hosts", """SELECT event_id::VARCHAR AS id, event_type AS "Kind", CASE WHEN user_id % 40 < 20 THEN props END AS props, 'run1' AS run, 'H' || user_id % 40 AS host,
+CASE WHEN user_id % 40 % 3 > 0 THEN 'user:u' || user_id % 40 END AS identity, true AS named FROM events""")
+def scan_hosts(spark, sf_dir):
+    """Files of forty hosts with two headers: two scans."""
+    scanned = src.scan_text(spark, host_files(spark, sf_dir), "run1")
+    named = F.contains("_output_file", F.concat(F.lit("host="), F.regexp_extract("_host", r"\d+", 0), F.lit("/")))
+    return scanned.select("id", "Kind", "props", F.col("_run_id").alias("run"), F.col("_host").alias("host"), F.col("_identity").alias("identity"), named.alias("named"))
+
+
+@query("merge_user_files", """SELECT event_id::VARCHAR AS id, event_type AS "Kind", props, CASE WHEN user_id % 40 % 3 > 0 THEN 'user:u' || user_id % 40 ELSE 'system' END AS "TriageUser" FROM events WHERE user_id % 40 < 20""")
+def merge_user_files(spark, sf_dir):
+    """Each user's own file of one dataset, read as one table with the user."""
+    wide = [(r["identity"] or "", r["path"]) for r in host_files(spark, sf_dir).where(F.substring("host", 2, 9).cast("int") < 20).collect()]
+    return src.merge_user_files(spark, wide)
+
+
 @query("name_allocate", 'SELECT event_id AS "_host_2", user_id AS "_7_zip" FROM events')
 def name_allocate(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias(src.free_names(["_Host", "_host_1"], ["_host"])[0]), F.col("user_id").alias(src.view_name("7 zip!")))
