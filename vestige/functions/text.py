@@ -145,35 +145,6 @@ def sid_class(sid: Column) -> Column:
     )
 
 
-# What each kind of indicator looks like, in the order in which a kind is guessed.
-INDICATORS = [
-    ("sha256", r"^[0-9A-Fa-f]{64}$"),
-    ("sha1", r"^[0-9A-Fa-f]{40}$"),
-    ("md5", r"^[0-9A-Fa-f]{32}$"),
-    ("ip", r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"),
-    ("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+\S*$"),
-    ("email", r"^[^\s@]+@[^\s@]+\.[^\s@]+$"),
-    ("domain", r"^(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}$"),
-]
-
-
-def indicator_kind(value: Column) -> Column:
-    out = None
-    for kind, pattern in INDICATORS:
-        out = F.when(value.rlike(pattern), F.lit(kind)) if out is None else out.when(value.rlike(pattern), F.lit(kind))
-    return out
-
-
-def canonical_indicator(value: Column) -> Column:
-    """Hashes, addresses and domains in lower case; all else trimmed."""
-    kind = indicator_kind(F.trim(value))
-    return F.when(kind.isin("sha256", "sha1", "md5", "domain", "ip"), F.lower(F.trim(value))).otherwise(F.trim(value))
-
-
-def is_sid(value: Column) -> Column:
-    return value.rlike(r"^S-1-\d{1,15}(-\d{1,10}){1,15}$")
-
-
 def is_technique(value: Column) -> Column:
     return value.rlike(r"^T\d{4}(\.\d{3})?$")
 

@@ -339,10 +339,3 @@ def account_split(spark, sf_dir):
     text = case(F.col("c_custkey") % 5, F.concat("c_mktsegment", F.lit("\\"), "c_name"), F.concat(F.lit("A\\"), "c_mktsegment", F.lit("\\"), "c_name"), F.concat(F.lit("-\\"), "c_name"), F.col("c_name"), F.concat("c_mktsegment", F.lit("\\ - ")))
     domain, name = tx.account_name(F.when(F.col("c_custkey") % 6 != 5, text))
     return table(spark, sf_dir, "customer").select("c_custkey", domain.alias("domain"), name.alias("name"))
-
-
-@query("ioc_guess", """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'url' WHEN 1 THEN 'md5' WHEN 2 THEN 'sha1' WHEN 3 THEN 'sha256' WHEN 4 THEN CASE WHEN page_id % 400 <= 255 THEN 'ip' END WHEN 5 THEN 'email' WHEN 6 THEN 'domain' END AS kind FROM pages""")
-def ioc_guess(spark, sf_dir):
-    n = F.col("page_id")
-    text = case(n % 9, F.col("url"), F.upper(F.md5("url")), F.sha1("url"), F.sha2("url", 256), F.concat(F.lit("10.0.0."), (n % 400).cast("string")), F.lit("a.b@c.org"), F.lit("www.x-1.ORG"), F.lit("no kind"), F.lit(None))
-    return table(spark, sf_dir, "pages").select("page_id", tx.indicator_kind(text).alias("kind"))

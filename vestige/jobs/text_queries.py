@@ -8,7 +8,6 @@ from vestige.functions import text as tx
 from vestige.functions import times as tm
 from vestige.jobs.registry import query, table
 from vestige.operators import predicates as pred
-from vestige.operators import records
 from vestige.operators.search import summary_line
 from vestige.operators.storage import fresh_path
 from vestige.sources import tables as src
@@ -131,27 +130,11 @@ def normalize_scalar(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", tx.normalised_scalar(value).alias("value"))
 
 
-@query("ioc_validate", "SELECT page_id, md5(url) AS value FROM pages")
-def ioc_validate(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", tx.canonical_indicator(F.concat(F.lit(" "), F.upper(F.md5("url")))).alias("value"))
-
-
 @query("attack_id_validate", "SELECT p_partkey, p_partkey >= 1000 AND p_partkey <= 9999 AS ok FROM part")
 def attack_id_validate(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", tx.is_technique(F.concat(F.lit("T"), F.col("p_partkey").cast("string"))).alias("ok"))
 
 
-@query("sid_validate", "SELECT p_partkey, p_size % 2 = 0 AS ok FROM part")
-def sid_validate(spark, sf_dir):
-    return part(spark, sf_dir).select("p_partkey", tx.is_sid(F.concat(F.when(F.col("p_size") % 2 == 0, "S-1-5-21-").otherwise("S-1-x-"), F.col("p_partkey").cast("string"))).alias("ok"))
-
-
-@query("candidates", "SELECT DISTINCT 'domain' AS kind, lower(regexp_extract(url, '://([^/:?#]*)', 1)) AS value, 'host' AS \"column\" FROM pages")
-def candidates(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").select(tx.host_of(F.col("url")).alias("host"), F.upper(tx.host_of(F.col("url"))).alias("again"))
-    return records.candidates(df, ["host", "again"], tx.indicator_kind)
-
-
 @query("row_hash", "SELECT o_orderkey, sha256('o_orderstatus=' || o_orderstatus || ';o_orderpriority=' || o_orderpriority) AS digest FROM orders")
 def row_hash(spark, sf_dir):
     pairs = [F.concat(F.lit(f"{c}="), F.col(c)) for c in ("o_orderstatus", "o_orderpriority")]

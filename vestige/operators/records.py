@@ -85,12 +85,3 @@ def best_match(records: DataFrame, column: str, text: str) -> DataFrame:
     name, low = F.lower(column), text.lower()
     rank = F.when(name == low, 0).when(F.startswith(name, F.lit(low)), 1).when(F.contains(name, F.lit(low)), 2)
     return records.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", column)
-
-
-def candidates(df: DataFrame, columns: list[str], kind) -> DataFrame:
-    """(kind, value, column): indicators in the cells of ``columns``, once each ignoring ASCII case, from the first column that has it."""
-    from vestige.operators.search import ascii_fold
-
-    cells = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("column"), F.trim(F.col(c)).alias("value")) for i, c in enumerate(columns)])
-    found = df.select(F.explode(cells).alias("x")).select("x.*").withColumn("kind", kind(F.col("value"))).where("kind IS NOT NULL")
-    return found.groupBy("kind", ascii_fold(F.col("value")).alias("folded")).agg(F.min_by("column", "at").alias("column")).select("kind", F.col("folded").alias("value"), "column")
