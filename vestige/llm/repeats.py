@@ -52,13 +52,13 @@ MOST = 500
 #: Bytes whose windows are found at once, and whose suffixes are sorted at once.
 STRETCH = 1 << 22
 SORTED_BYTES = 1 << 20
-#: Bytes of lists up to which they are broadcast to the texts; longer ones are joined by shuffle.
-MOST_BROADCAST = 48 << 20
 NO_ID = -(2**63)
 #: Bits of a place that hold how many windows a piece has, and how far its gram lies behind the first.
 SMALL = 7
 #: Halvings until a part is one window.
 ROUNDS = 7
+#: Shares of the equal parts of hot pieces that are settled apart before they meet.
+SHARES = 32
 
 
 class Powers:
@@ -197,20 +197,17 @@ def settle(pieces: DataFrame) -> DataFrame:
     equal = W.partitionBy("key", "whole").orderBy("doc_id", "part", "place")
     dealt = pieces.repartition(partitions(pieces.sparkSession), "key").withColumn("nth", F.row_number().over(equal))
     dealt = dealt.withColumn("rivals", F.sum((F.col("nth") == 1).cast("long")).over(W.partitionBy("key")))
-    small = (1 << SMALL) - 1
-    out = dealt.withColumns({"start": F.shiftright("place", 2 * SMALL), "n": F.shiftright("place", SMALL).bitwiseAND(F.lit(small)), "off": F.col("place").bitwiseAND(F.lit(small))})
-    return out.where("nth > 1 OR rivals > 1 OR n = 0").drop("place")
+    return placed(dealt).where("nth > 1 OR rivals > 1 OR n = 0")
 
 
-def gone_rows(settled: DataFrame) -> DataFrame:
-    return settled.where("nth > 1 OR n = 0").select("doc_id", "part", "start", F.when(F.col("n") == 0, F.col("whole")).otherwise(F.col("n")).alias("n"))
+def placed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with their place taken apart."""
+    small = F.lit((1 << SMALL) - 1)
+    return pieces.withColumns({"start": F.shiftright("place", 2 * SMALL), "n": F.shiftright("place", SMALL).bitwiseAND(small), "off": F.col("place").bitwiseAND(small)}).drop("place")
 
 
-def bounded(lists: DataFrame, size: str) -> DataFrame:
-    """``lists`` marked for broadcast if their bytes (SQL ``size`` a row) stay within ``MOST_BROADCAST``."""
-    lists = stash(lists, "lists")
-    total = lists.agg(F.sum(F.expr(size))).first()[0] or 0
-    return F.broadcast(lists) if total <= MOST_BROADCAST else lists
+def gone_rows(settled: DataFrame) -> DataFrame:
+    return settled.where("nth > 1 OR n = 0").select("doc_id", "part", "start", F.when(F.col("n") == 0, F.col("whole")).otherwise(F.col("n")).alias("n"))
 
 
 HELD = "key long, doc_id long, part long, start long, n long, off long, rivals long, content binary"
@@ -219,7 +216,7 @@ HELD = "key long, doc_id long, part long, start long, n long, off long, rivals l
 def with_bytes(contested: DataFrame, docs: DataFrame) -> DataFrame:
     """Contested pieces with their bytes, cut from the texts."""
     lists = contested.groupBy("doc_id", "part").agg(*[F.collect_list(F.col(c).cast(k)).alias(f"{c}s") for c, k in (("key", "long"), ("start", "long"), ("n", "int"), ("off", "int"), ("rivals", "long"))])
-    met = docs.join(bounded(lists, "64 + 32 * size(keys)"), ["doc_id", "part"]).select("doc_id", "part", "text", "keys", "starts", "ns", "offs", "rivalss")
+    met = docs.join(lists, ["doc_id", "part"]).select("doc_id", "part", "text", "keys", "starts", "ns", "offs", "rivalss")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,7 +386,12 @@ def gone_windows(docs: DataFrame) -> DataFrame:
     bits = ROUNDS
     while bits and not hot.isEmpty():
         bits -= 1
-        settled = stash(settle(split(hot, bits)), "repeat-split")
+        # Very many parts may be equal: of each share of them one goes on.
+        share = F.pmod(F.xxhash64("doc_id", "part", "place"), F.lit(SHARES))
+        in_share = W.partitionBy("key", "whole", share).orderBy("doc_id", "part", "place")
+        parts = stash(split(hot, bits).withColumn("nth", F.row_number().over(in_share)), "repeat-parts")
+        out = out.unionByName(gone_rows(placed(parts.where("nth > 1"))))
+        settled = stash(settle(parts.where("nth = 1").drop("nth")), "repeat-split")
         out = out.unionByName(gone_rows(settled))
         rest = settled.where("nth = 1 AND rivals > 1")
         small = small.unionByName(rest.where(F.col("rivals") <= MOST).select(small.columns))
