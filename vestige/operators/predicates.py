@@ -186,8 +186,13 @@ def pick_hosts(known: list[str], wanted: list[str]) -> list[str]:
 
 
 def group_filter(keys: dict[str, str | None]) -> dict:
-    """A filter document that picks exactly one group."""
-    leaf = lambda c, v: {"col": c, "op": "is_empty"} if v in (None, "") else {"col": c, "op": "eq", "value": v, "case_sensitive": True}
+    """A filter document that picks exactly one group; a key of ``_mark`` is a mark, null is none."""
+
+    def leaf(c: str, v: str | None) -> dict:
+        if c == MARK_COLUMN:
+            return {"col": c, "op": "eq", "value": v or "none"}
+        return {"col": c, "op": "is_empty"} if v in (None, "") else {"col": c, "op": "eq", "value": v, "case_sensitive": True}
+
     return {"and": [leaf(c, v) for c, v in keys.items()]}
 
 

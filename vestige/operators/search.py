@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -100,3 +102,75 @@ def merged_rows(relations: list[Relation], keep: dict[str, Column], limit: int)
         wide = r.df.select(F.col(r.row_id).cast("string").alias("row_id"), summary_line(list(r.data)).alias("summary"))
         parts.append(wide.join(F.broadcast(top.where(F.col("relation") == r.name)), "row_id"))
     return union(parts).orderBy("position")
+
+
+# Scopes ----------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Scope:
+    """Hosts (all if none are named) and times from ``start`` to ``end``, both included; open where null."""
+
+    hosts: tuple[str, ...] = ()
+    start: datetime | None = None
+    end: datetime | None = None
+
+    def of(self, relation: Relation) -> Relation | None:
+        """The relation's rows in scope; none if it has no host, or no time, to be asked for. Plain comparisons, so that scans can use them."""
+        if self.hosts and not relation.host or (self.start or self.end) and not relation.time:
+            return None
+        df = relation.df
+        if self.hosts:
+            df = df.where(F.col(relation.host).isin(list(self.hosts)))
+        if self.start:
+            df = df.where(F.col(relation.time) >= F.lit(self.start))
+        if self.end:
+            df = df.where(F.col(relation.time) <= F.lit(self.end))
+        return relation.with_df(df)
+
+
+@dataclass(frozen=True)
+class Found:
+    """``hits``: relation, column, host, n, first_seen, last_seen; ``relations``: relation, searched, n, for every relation asked; ``hosts_not_seen``: host."""
+
+    hits: DataFrame
+    relations: DataFrame
+    hosts_not_seen: DataFrame
+
+
+#: Fixed value: characters of a value that is looked for.
+MAX_VALUE = 1000
+
+
+def find_in_scope(relations: list[Relation], value: str, scope: Scope, exact: bool = False) -> Found:
+    """``find_everywhere`` over the rows in scope, with the relations that were left out or had no hit, and the hosts that were looked at and had none."""
+    if not value or len(value) > MAX_VALUE:
+        raise ValueError(f"a value of 1 to {MAX_VALUE} characters")
+    spark = relations[0].df.sparkSession
+    inside = [(r.name, scope.of(r)) for r in relations]
+    searched = [r for _, r in inside if r is not None]
+    if searched:
+        hits = checkpointed(find_everywhere(searched, value, exact))  # counted, and read three times
+    else:
+        hits = spark.createDataFrame([], "relation string, column string, host string, n long, first_seen timestamp, last_seen timestamp")
+    names = spark.createDataFrame([(name, r is not None) for name, r in inside], "relation string, searched boolean")
+    counted = names.join(hits.groupBy("relation").agg(F.sum("n").alias("n")), "relation", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    with_host = [r for r in searched if r.host]
+    unseen = hosts_not_seen(with_host, hits) if with_host else spark.createDataFrame([], "host string")
+    return Found(hits, counted, unseen)
+
+
+def sightings_by_relation(relations: list[Relation], indicators: DataFrame, scope: Scope = Scope(), most_broadcast: int = 100_000) -> DataFrame:
+    """For each indicator and relation, and for each indicator (relation null): hits, hosts, first and last time, in scope. One unpivot; indicators not seen have one row with no hits."""
+    wanted = indicators.select(ascii_fold(F.col("value")).alias("needle"), "value").distinct()
+    inside = [r for r in (scope.of(r) for r in relations) if r is not None]
+    few = wanted.limit(most_broadcast + 1).count() <= most_broadcast
+    out = {"hits": F.count("*"), "hosts": F.countDistinct("host"), "first_seen": F.min("seen_at"), "last_seen": F.max("seen_at")}
+    aggregates = [c.alias(n) for n, c in out.items()]
+    if not inside:
+        return wanted.select("value", F.lit(None).cast("string").alias("relation"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("hosts"), F.lit(None).cast("timestamp").alias("first_seen"), F.lit(None).cast("timestamp").alias("last_seen"))
+    found = union([cells(r) for r in inside]).select(ascii_fold(F.col("value")).alias("needle"), "relation", "host", "seen_at")
+    met = found.join(F.broadcast(wanted) if few else wanted, "needle")
+    counted = met.groupingSets([["value", "relation"], ["value"]], "value", "relation").agg(*aggregates)
+    totals = wanted.select("value").join(counted.where("relation IS NULL"), "value", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("hits", "hosts")})
+    return counted.where("relation IS NOT NULL").unionByName(totals)
