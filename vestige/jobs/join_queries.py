@@ -62,13 +62,6 @@ def lol_match(spark, sf_dir):
     return found.select("p_partkey", "list", "found", "confidence")
 
 
-@query("lol_candidates", "SELECT 'parts' AS tool, p_partkey AS id, lower(p_name) AS basename FROM part UNION ALL SELECT 'suppliers', s_suppkey, lower(s_name) FROM supplier")
-def lol_candidates(spark, sf_dir):
-    a = table(spark, sf_dir, "part").select(F.lit("parts").alias("tool"), F.col("p_partkey").alias("id"), tx.basename(F.concat(F.lit("C:\\x\\"), "p_name")).alias("basename"))
-    b = table(spark, sf_dir, "supplier").select(F.lit("suppliers").alias("tool"), F.col("s_suppkey").alias("id"), tx.basename(F.col("s_name")).alias("basename"))
-    return a.unionByName(b)
-
-
 @query("download_chains", "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ' -> ' ORDER BY l_linenumber, l_partkey::VARCHAR) AS chain FROM lineitem GROUP BY 1")
 def download_chains(spark, sf_dir):
     return lookups.joined_chain(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("url")), "l_orderkey", "l_linenumber", "url")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from vestige.functions import indicators as ind
 from vestige.jobs.registry import query, table
-from vestige.operators import offers
+from vestige.operators import artifacts as art
+from vestige.operators import offers, recognised
+from vestige.operators.storage import fresh_path
 from vestige.relation import Relation
 
 
@@ -145,3 +147,100 @@ def candidates(spark, sf_dir):
     accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("User"), F.col("c_custkey") % 100).alias("name"), F.when(F.col("c_custkey") % 3 == 0, "Acme").when(F.col("c_custkey") % 3 == 1, "").alias("domain"))
     iocs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("ip").alias("type"), F.concat(F.lit("10.0.0."), F.col("s_suppkey") % 50).alias("value"))
     return offers.candidates(relations, TAKERS, accounts, iocs)
+
+
+# Entries: orders with lines as evidence, linked with customers as hosts, suppliers as accounts and parts as indicators.
+ENTRY_SQL = """links AS (
+  SELECT o_orderkey AS entry_id, 0 AS ord, 'host' AS kind, c_custkey AS id, c_name AS label, o_orderdate AS linked_at FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 5 <> 0
+  UNION ALL SELECT l_orderkey, 1, 'account', s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'ACME' || chr(92) ELSE '' END || s_name, l_shipdate FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1
+  UNION ALL SELECT l_orderkey, 2, 'ioc', p_partkey, 'file_name ' || p_name, l_shipdate FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber < 4),
+evidence AS (SELECT l_orderkey AS entry_id, l_partkey AS row_id FROM lineitem WHERE l_orderkey % 3 <> 0),
+listed AS (SELECT entry_id, string_agg(kind || ':' || id || ':' || label, '|' ORDER BY ord, linked_at, id) AS links FROM links GROUP BY 1),
+hosts AS (SELECT entry_id, string_agg(DISTINCT label, ', ' ORDER BY label) AS hosts FROM links WHERE kind = 'host' GROUP BY 1),
+counted AS (SELECT entry_id, count(*) AS evidence FROM evidence GROUP BY 1),
+entries AS (SELECT o_orderkey AS entry_id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS time, o_orderstatus AS status, o_orderpriority AS tactic, 'Order ' || o_orderkey AS title, o_custkey FROM orders WHERE o_orderkey % 11 > 0),
+shown AS (SELECT entry_id, time, status, tactic, title, o_custkey, coalesce(evidence, 0) AS evidence, coalesce(hosts, '') AS hosts, coalesce(links, '') AS links FROM entries LEFT JOIN listed USING (entry_id) LEFT JOIN hosts USING (entry_id) LEFT JOIN counted USING (entry_id))"""
+
+
+def entry_tables(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    time = F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderdate"))
+    entries = orders.select(F.col("o_orderkey").alias("entry_id"), time.alias("time"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("tactic"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.lit(None).cast("string").alias("description"), (F.col("o_orderkey") % 11 == 0).alias("deleted"))
+    lines = table(spark, sf_dir, "lineitem")
+    evidence = lines.where("l_orderkey % 3 <> 0").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("row_id"))
+    links = {
+        "host": orders.select(F.col("o_orderkey").alias("entry_id"), F.col("o_custkey").alias("record_id"), F.col("o_orderdate").alias("linked_at")),
+        "account": lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("entry_id"), F.col("l_suppkey").alias("record_id"), F.col("l_shipdate").alias("linked_at")),
+        "ioc": lines.where("l_linenumber < 4").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("record_id"), F.col("l_shipdate").alias("linked_at")),
+    }
+    records = {
+        "host": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_custkey") % 5 == 0).alias("deleted")),
+        "account": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "ACME").alias("domain"), F.col("s_name").alias("name"), F.lit(False).alias("deleted")),
+        "ioc": table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("file_name").alias("type"), F.col("p_name").alias("value"), F.lit(None).cast("boolean").alias("deleted")),
+    }
+    return entries, evidence, art.link_rows(links, records)
+
+
+def shown_entries(df):
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws(":", x["kind"], x["id"].cast("string"), x["label"])), "|")
+    return df.select("entry_id", "evidence", "hosts", links.alias("links"))
+
+
+@query("entry_links", f"WITH {ENTRY_SQL} SELECT entry_id, evidence, hosts, links FROM shown")
+def entry_links(spark, sf_dir):
+    """Every live entry with its links of three kinds as one list."""
+    entries, evidence, links = entry_tables(spark, sf_dir)
+    return shown_entries(art.entry_list(art.pick_entries(entries, art.EntryQuery(), evidence, links), evidence, links))
+
+
+@query("entry_page", f"""WITH {ENTRY_SQL},
+a AS (SELECT *, row_number() OVER (ORDER BY time NULLS LAST, entry_id) - 1 AS position, count(*) OVER () AS total FROM shown WHERE status IN ('F', 'P') AND tactic = '1-URGENT' AND contains(lower(title), 'r 1')),
+b AS (SELECT *, row_number() OVER (ORDER BY time NULLS LAST, entry_id) - 1 AS position, count(*) OVER () AS total FROM shown WHERE list_contains(string_split(hosts, ', '), 'Customer#000000007')),
+c AS (SELECT *, row_number() OVER (ORDER BY time NULLS LAST, entry_id) - 1 AS position, count(*) OVER () AS total FROM shown WHERE entry_id IN (SELECT entry_id FROM evidence WHERE row_id = 42))
+SELECT 'a' AS page, entry_id, evidence, hosts, links, position, total > 15 AS truncated FROM a WHERE position BETWEEN 5 AND 14
+UNION ALL SELECT 'b', entry_id, evidence, hosts, links, position, total > 100 FROM b WHERE position < 100 UNION ALL SELECT 'c', entry_id, evidence, hosts, links, position, total > 100 FROM c WHERE position < 100""")
+def entry_page(spark, sf_dir):
+    """Pages of entries by status, tactic and text; by a linked host; by a row of their evidence."""
+    entries, evidence, links = entry_tables(spark, sf_dir)
+    asked = [("a", art.EntryQuery(("F", "P"), tactic="1-URGENT", text="R 1"), 10, 5), ("b", art.EntryQuery(host="cUSTOMER#000000007"), 100, 0), ("c", art.EntryQuery(row=42), 100, 0)]
+    pages = []
+    for name, q, limit, offset in asked:
+        page = art.entry_page(entries, q, evidence, links, limit, offset)
+        placed = page.select("entry_id", "position", "truncated")
+        pages.append(shown_entries(page).join(placed, "entry_id").select(F.lit(name).alias("page"), "entry_id", "evidence", "hosts", "links", "position", "truncated"))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+def known_tables(spark, sf_dir) -> list[tuple[str, str, str]]:
+    """Files with the header of each known kind but one, filled from parts, and one with another header."""
+    parts = table(spark, sf_dir, "part")
+    path = F.concat(F.lit("C:\\Dir, \"x\"\\Ü/"), "p_name", F.lit(".EXE"))
+    filled = {
+        "amcache_file_entries": {"FullPath": path, "SHA1": F.when(F.col("p_size") % 2 == 0, F.upper(F.sha1("p_name"))), "FileKeyLastWriteTimestamp": F.col("p_size")},
+        "amcache_driver_binaries": {"DriverName": F.col("p_brand"), "DriverId": F.sha1("p_brand"), "DriverLastWriteTime": F.col("p_size")},
+        "appcompat_cache": {"Path": path, "LastModifiedTimeUTC": F.col("p_size")},
+        "mft": {"FileName": F.col("p_name"), "Created0x10": F.col("p_size")},
+        "recycle_bin": {"FileName": F.when(F.col("p_size") % 3 > 0, path), "DeletedOn": F.col("p_size")},
+    }
+    files = []
+    for i, (kind, cells) in enumerate(filled.items()):
+        out = fresh_path(spark, kind)
+        rows = parts.where(F.col("p_partkey") % 5 == i)
+        columns = recognised.HEADERS[kind].split(",")
+        rows.select(*[cells.get(c, F.lit("")).cast("string").alias(c) for c in columns]).write.csv(out, header=True, escape='"')
+        files.append((out, f"H{i}", ""))
+    other = fresh_path(spark, "other")
+    parts.select(*[F.col("p_name").alias(c) for c in reversed(recognised.HEADERS["recycle_bin"].split(","))]).write.csv(other, header=True)
+    return [*files, (other, "H9", "")]
+
+
+@query("lol_candidates", """WITH p AS (SELECT *, 'C:' || chr(92) || 'Dir, "x"' || chr(92) || 'Ü/' || p_name || '.EXE' AS path, lower(p_name) || '.exe' AS base FROM part)
+SELECT 'amcache_file_entries' AS kind, path AS evidence_path, base AS basename, CASE WHEN p_size % 2 = 0 THEN sha1(p_name) END AS sha1, p_size::VARCHAR AS evidence_timestamp, 'H0' AS host FROM p WHERE p_partkey % 5 = 0
+UNION ALL SELECT 'amcache_driver_binaries', p_brand, lower(p_brand), sha1(p_brand), p_size::VARCHAR, 'H1' FROM p WHERE p_partkey % 5 = 1
+UNION ALL SELECT 'appcompat_cache', path, base, NULL, p_size::VARCHAR, 'H2' FROM p WHERE p_partkey % 5 = 2
+UNION ALL SELECT 'mft', p_name, lower(p_name), NULL, p_size::VARCHAR, 'H3' FROM p WHERE p_partkey % 5 = 3
+UNION ALL SELECT 'recycle_bin', CASE WHEN p_size % 3 > 0 THEN path ELSE '' END, CASE WHEN p_size % 3 > 0 THEN base ELSE '' END, NULL, p_size::VARCHAR, 'H4' FROM p WHERE p_partkey % 5 = 4""")
+def lol_candidates(spark, sf_dir):
+    """Files known by their header give candidates of one shape; another header gives none."""
+    found = recognised.candidates_of_files(spark, known_tables(spark, sf_dir))
+    return found.rows.drop("source_file")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vestige.functions import text as tx
 from vestige.operators.lookups import enrich, sized
 from vestige.operators.predicates import safe_regex
+from vestige.operators.storage import checkpointed
 
 # What tells that a log was cleared, and accounts that a stack of logons leaves out.
 CLEARING = [("Security", 1102), ("System", 104), ("System", 1100)]
@@ -169,10 +172,92 @@ def marks_list(marks: DataFrame, active: DataFrame, order: str, actor: str | Non
     return own.join(there, "row_id", "left").withColumn("inactive", F.col("_there").isNull()).drop("_there").orderBy(order, "row_id")
 
 
-def entry_list(entries: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``entries`` (entry_id, ...) with the number of their evidence rows (entry_id, host) and their hosts, sorted, as one text."""
-    of_entry = evidence.groupBy("entry_id").agg(F.count("*").alias("evidence"), F.array_join(F.array_sort(F.collect_set("host")), ", ").alias("hosts"))
-    return entries.join(of_entry, "entry_id", "left").withColumns({"evidence": F.coalesce("evidence", F.lit(0)), "hosts": F.coalesce("hosts", F.lit(""))})
+# Kinds of links in their order; characters of a filter; entries of one page.
+LINK_KINDS = ["host", "account", "ioc"]
+MAX_FILTER, MAX_ENTRIES = 1000, 1000
+LINKS = "entry_id long, kind string, id long, label string, linked_at timestamp, deleted boolean"
+
+
+def link_rows(links: dict[str, DataFrame], records: dict[str, DataFrame]) -> DataFrame:
+    """Rows of ``LINKS`` of each kind's links (entry_id, record_id, linked_at) and records (id, deleted, and name; domain and name; or type and value)."""
+    shown = {
+        "host": lambda: F.col("name"),
+        "account": lambda: F.concat(F.coalesce(F.concat("domain", F.lit("\\")), F.lit("")), "name"),
+        "ioc": lambda: F.concat_ws(" ", "type", "value"),
+    }
+    parts = []
+    for kind in LINK_KINDS:
+        if kind in links:
+            named = records[kind].select(F.col("id").cast("long").alias("id"), shown[kind]().alias("label"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+            held = links[kind].select(F.col("entry_id").cast("long").alias("entry_id"), F.col("record_id").cast("long").alias("id"), F.col("linked_at").cast("timestamp").alias("linked_at"))
+            parts.append(held.join(named, "id").select("entry_id", F.lit(kind).alias("kind"), "id", "label", "linked_at", "deleted"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def entry_list(entries: DataFrame, evidence: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``entries`` (entry_id, ...) with the number of their evidence rows, their hosts and, with ``links``, all their links.
+
+    Without ``links``, hosts are those of the evidence (entry_id, host). With rows of ``LINKS``, they are the names of the
+    linked hosts that live, and ``links`` is a list of (kind, id, label): hosts, accounts, indicators, each as linked, then by id.
+    One aggregate each for evidence and links.
+    """
+    text = lambda c: F.array_join(F.array_sort(c), ", ")
+    if links is None:
+        of_entry = evidence.groupBy("entry_id").agg(F.count("*").alias("evidence"), text(F.collect_set("host")).alias("hosts"))
+        return entries.join(of_entry, "entry_id", "left").withColumns({"evidence": F.coalesce("evidence", F.lit(0)), "hosts": F.coalesce("hosts", F.lit(""))})
+    counted = evidence.groupBy("entry_id").agg(F.count("*").alias("evidence"))
+    place = F.array_position(F.array(*[F.lit(k) for k in LINK_KINDS]), F.col("kind"))
+    live = links.where("NOT deleted").withColumn("link", F.struct(place.alias("place"), "linked_at", "id", "kind", "label"))
+    listed = F.transform(F.array_sort(F.collect_list("link")), lambda x: F.struct(x["kind"].alias("kind"), x["id"].alias("id"), x["label"].alias("label")))
+    linked = live.groupBy("entry_id").agg(listed.alias("links"), text(F.collect_set(F.when(F.col("kind") == "host", F.col("label")))).alias("hosts"))
+    none = F.array().cast("array<struct<kind:string,id:bigint,label:string>>")
+    out = entries.join(counted, "entry_id", "left").join(linked, "entry_id", "left")
+    return out.withColumns({"evidence": F.coalesce("evidence", F.lit(0)), "hosts": F.coalesce("hosts", F.lit("")), "links": F.coalesce("links", none)})
+
+
+@dataclass(frozen=True)
+class EntryQuery:
+    """What entries are asked for; all of it must hold. ``text`` is in the title or the description; case aside, as for ``host``."""
+
+    status: tuple[str, ...] = ()
+    host: str | None = None
+    tactic: str | None = None
+    text: str | None = None
+    row: int | None = None
+
+
+def pick_entries(entries: DataFrame, asked: EntryQuery, evidence: DataFrame, links: DataFrame) -> DataFrame:
+    """The live entries (entry_id, deleted, status, tactic, title, description) that ``asked`` selects; host and row as semi joins."""
+    for what, value in (("text", asked.text), ("host", asked.host)):
+        if value is not None and len(value) > MAX_FILTER:
+            raise ValueError(f"a {what} of at most {MAX_FILTER} characters")
+    out = entries.where("NOT deleted")
+    if asked.status:
+        out = out.where(F.col("status").isin(list(asked.status)))
+    if asked.tactic is not None:
+        out = out.where(F.col("tactic") == asked.tactic)
+    if asked.text is not None:
+        has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lower(F.lit(asked.text)))
+        out = out.where(has("title") | has("description"))
+    if asked.host is not None:
+        of_host = links.where((F.col("kind") == "host") & ~F.col("deleted") & (F.lower("label") == F.lower(F.lit(asked.host)))).select("entry_id")
+        out = out.join(of_host, "entry_id", "left_semi")
+    if asked.row is not None:
+        out = out.join(evidence.where(F.col("row_id") == asked.row).select("entry_id"), "entry_id", "left_semi")
+    return out
+
+
+def entry_page(entries: DataFrame, asked: EntryQuery, evidence: DataFrame, links: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of ``pick_entries`` by time (undated last), then id, with ``position`` and ``truncated``; counts and lists are made for its entries alone."""
+    if not 0 < limit <= MAX_ENTRIES or offset < 0:
+        raise ValueError(f"1 to {MAX_ENTRIES} entries, from 0 on")
+    order = [F.col("time").asc_nulls_last(), F.col("entry_id").asc()]
+    some = pick_entries(entries, asked, evidence, links).orderBy(*order).offset(offset).limit(limit + 1)  # at most ``limit`` + 1 rows
+    placed = some.withColumns({"position": F.row_number().over(W.orderBy(*order)).cast("long") - 1 + offset, "truncated": F.count("*").over(W.partitionBy()) > limit})
+    page = checkpointed(placed.where(F.col("position") < offset + limit))
+    ids = F.broadcast(page.select("entry_id"))
+    return entry_list(page, evidence.join(ids, "entry_id", "left_semi"), links.join(ids, "entry_id", "left_semi")).orderBy("position")
+
 
 
 def listed(df: DataFrame, by: list[str], item: Column, name: str) -> DataFrame:

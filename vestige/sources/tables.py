@@ -101,7 +101,7 @@ def headers(spark: SparkSession, paths: list[str]) -> dict[str, Header]:
         return dict(zip(paths, pool.map(first_record, paths)))
 
 
-def scan_text(spark: SparkSession, files: list[tuple[str, str, str]] | DataFrame, run_id: str, multi_line: bool = False) -> DataFrame:
+def scan_text(spark: SparkSession, files: list[tuple[str, str, str]] | DataFrame, run_id: str, multi_line: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """CSV files (path, host, identity) as text with provenance, joined by column name.
 
     Files of one header are one scan, so the plan grows with the headers
@@ -124,7 +124,7 @@ def scan_text(spark: SparkSession, files: list[tuple[str, str, str]] | DataFrame
     out = None
     for header, paths in by_header.items():
         schema = T.StructType([T.StructField(c, T.StringType()) for c in names[header]])
-        df = spark.read.schema(schema).csv(paths, header=True, quote='"', escape='"', multiLine=multi_line)
+        df = spark.read.schema(schema).options(**(options or {})).csv(paths, header=True, quote='"', escape='"', multiLine=multi_line)
         df = df.withColumn(at, scanned_path())
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
