@@ -51,11 +51,11 @@ UNIT = re.compile(r"[ \n]\s*+(?:\S++(?:[^\S \n]\s*+)?+)*+")
 CUT = re.compile(r"(?<=\S)[ \n]")
 STRETCH = 1 << 20
 #: Bytes of texts in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Units, and characters of them, that a worker remembers; beyond, it starts afresh with the next block.
-ROOM, ROOM_CHARS = 200_000, 16 << 20
+ROOM, ROOM_CHARS = 300_000, 16 << 20
 #: Bytes of new units that are aligned at once.
-NEW_BYTES = 1 << 20
+NEW_BYTES = 1 << 17
 
 
 def units_of(text: str) -> list[str]:
@@ -133,6 +133,11 @@ class Aligner:
         if any(re.search("[^▁]▁|\n", p) for p in pieces):
             raise ValueError("a piece holds a space or line end behind another character")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.most = max(max(self.bytes_a), len(pieces)) + 1
+        self.size_a = np.zeros(self.most, np.int64)
+        self.size_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
+        self.size_b = np.array(list(map(len, self.bytes_b)))
+        self.atoms = [f"{i}{mark}" for mark in ",|;\n" for i in range(self.most)]
         self.forget()
 
     def forget(self) -> None:
@@ -157,45 +162,50 @@ class Aligner:
             self._align(fresh[at:])
 
     def _align(self, units: list[str]) -> None:
-        raw = [u.encode() for u in units]
         ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         # A line end is a token of B's own, so what follows it is tokenized as inside a text.
         ids_b = [ids[2:] for ids in self.b.encode(["\n" + u for u in units], num_threads=1)]
-        joined_a = [b"".join(map(self.bytes_a.__getitem__, ids)) for ids in ids_a]
-        joined_b = [b"".join(map(self.bytes_b.__getitem__, ids)) for ids in ids_b]
-        good = np.array([x == y == z for x, y, z in zip(raw, joined_a, joined_b)])
-        for ids in (ids_a, ids_b):
-            for i in np.flatnonzero(~good):
-                ids[i] = []
+        good = self._same_bytes(units, ids_a, ids_b)
+        for i in np.flatnonzero(~good).tolist():
+            ids_a[i], ids_b[i] = [], []
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
-        ends_a = np.cumsum(np.fromiter((len(self.bytes_a[i]) for i in flat_a.tolist()), np.int64, len(flat_a)))
-        ends_b = np.cumsum(np.fromiter((len(self.bytes_b[i]) for i in flat_b.tolist()), np.int64, len(flat_b)))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
         of_a, of_b = terminals(ends_a, ends_b)
         left, right = overlaps(ends_a, ends_b)
         owner_a = np.repeat(np.arange(len(units)), n_a)
         last_a, last_b = np.r_[of_a[1:] != of_a[:-1], True][: len(of_a)], np.r_[of_b[1:] != of_b[:-1], True][: len(of_b)]
-        n_links = np.bincount(owner_a[left], minlength=len(units))
-        self.shown += self._shown(flat_a.tolist(), last_a, flat_b.tolist(), last_b, np.bincount(owner_a[last_a], minlength=len(units)))
-        for column, values in ((self.good, good), (self.n_a, n_a), (self.n_b, n_b), (self.n_groups, np.bincount(owner_a[last_a], minlength=len(units))), (self.n_links, n_links)):
+        n_groups, n_links = (np.bincount(x, minlength=len(units)) for x in (owner_a[last_a], owner_a[left]))
+        self.shown += self._shown(flat_a, last_a, flat_b, last_b, good, n_groups)
+        for column, values in ((self.good, good), (self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups), (self.n_links, n_links)):
             column.add(values)
         self.first.add(self.link_a.n + np.cumsum(n_links) - n_links)
         self.link_a.add(flat_a[left])
         self.link_b.add(flat_b[right])
-        for unit in units:
-            self.known[unit] = len(self.known)
-            self.chars += len(unit)
-
-    @staticmethod
-    def _shown(flat_a: list[int], last_a: np.ndarray, flat_b: list[int], last_b: np.ndarray, groups: np.ndarray) -> list[str]:
-        """Each unit's groups as text: ``a1,a2|b1;a3|b2,b3``."""
-        cut_a, cut_b = (np.flatnonzero(x) + 1 for x in (last_a, last_b))
-        texts = [
-            ",".join(map(str, flat_a[a:b])) + "|" + ",".join(map(str, flat_b[c:d]))
-            for a, b, c, d in zip([0, *cut_a[:-1].tolist()], cut_a.tolist(), [0, *cut_b[:-1].tolist()], cut_b.tolist())
-        ]
-        edges = np.r_[0, np.cumsum(groups)].tolist()
-        return [";".join(texts[a:b]) for a, b in zip(edges, edges[1:])]
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
+        self.chars += sum(map(len, units))
+
+    def _same_bytes(self, units: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> np.ndarray:
+        """Of each unit whether both tokenizers' tokens give its bytes; of all at once, and only if they don't one by one."""
+        joined = ["\0".join(units).encode()]
+        for ids, raw in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
+            joined.append(b"\0".join([b"".join(map(raw.__getitem__, x)) for x in ids]))
+        if joined[0] == joined[1] == joined[2] and joined[0].count(b"\0") == len(units) - 1:
+            return np.ones(len(units), bool)
+        return np.array([u.encode() == b"".join(map(self.bytes_a.__getitem__, x)) == b"".join(map(self.bytes_b.__getitem__, y)) for u, x, y in zip(units, ids_a, ids_b)])
+
+    def _shown(self, flat_a: np.ndarray, last_a: np.ndarray, flat_b: np.ndarray, last_b: np.ndarray, good: np.ndarray, n_groups: np.ndarray) -> list[str]:
+        """Each unit's groups as text: ``a1,a2|b1;a3|b2,b3``. Written for all units in one, and parted again."""
+        group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        ends_unit = np.zeros(int(n_groups.sum()), bool)
+        ends_unit[np.cumsum(n_groups[good]) - 1] = True
+        # What stands behind a token: a comma inside a group, a bar behind A's, then a semicolon or, behind a unit, a line end.
+        behind_a = np.where(last_a, 1, 0)
+        behind_b = np.where(last_b, np.where(ends_unit[group_b], 3, 2), 0)
+        atoms = np.r_[behind_a * self.most + flat_a, behind_b * self.most + flat_b][order]
+        written = iter("".join(map(self.atoms.__getitem__, atoms.tolist())).split("\n"))
+        return [next(written) if fine else "" for fine in good.tolist()]
 
 
 @lru_cache(maxsize=2)
