@@ -1,47 +1,80 @@
 """Full paths over parent pointers, by pointer doubling.
 
-Each round joins every open entry with its ancestor's own path so far, so the
-distance covered doubles: a tree of depth d takes about log2(d) rounds of
-one equi-join on (volume, entry). Each round is checkpointed.
+Each round joins every open entry with its ancestor's own state and path so far, so
+the distance covered doubles: a tree of depth d takes about log2(d) rounds of
+one equi-join on (volume, entry). A round writes the entries that were still
+open to the shared folder, no others. States and paths go together; an entry that is still open
+after ``MOST_NAMES`` names drops its path, so no cycle grows a text, and the
+few that end after all get theirs from a second pass over them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vestige.operators.storage import checkpointed
 
+#: Names of a path up to which it is carried along while the entry is open.
+MOST_NAMES = 256
+#: Open entries from which ancestors that very many of them ask for are looked up apart.
+SPLIT_FROM = 1_000_000
+#: An ancestor asked for by more than one of so many open entries is joined by broadcast; there can't be more such ancestors than this.
+HEAVY = 8192
+
+
 def full_paths(entries: DataFrame, volume: list[str], entry: str, parent: str, name: str, root: Column, follows: Column | None = None, separator: str = "\\") -> DataFrame:
-    """``entries`` with ``path`` and ``state``: root, missing (a parent isn't there), invalid (cycle or bad edge).
+    """``entries`` with ``path`` and ``state``: root, missing (a parent isn't there), invalid (cycle or bad edge; no path).
 
     ``root``: which entries end a path. ``follows``: which edges may be
-    followed (a sequence number may say that the parent was reused). States
-    come first, so that names are joined only where a path ends.
+    followed (a sequence number may say that the parent was reused). A missing name is an empty one.
     """
     good = follows if follows is not None else F.lit(True)
     state = F.when(root, "root").when(~F.coalesce(good, F.lit(False)), "invalid").when(F.col(parent).isNull(), "missing").otherwise("open")
-    edges = checkpointed(entries.select(*volume, F.col(entry).alias("e"), F.col(parent).alias("up"), F.col(name).cast("string").alias("path"), state.alias("state")))
+    named = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    edges = checkpointed(entries.select(*volume, F.col(entry).alias("e"), F.col(parent).alias("up"), named.alias("path"), F.lit(1).alias("names"), state.alias("state")))
     most = edges.groupBy(*volume).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     rounds = most.bit_length() + 1  # after so many doublings an open entry can only be in or under a cycle
-    ends = _doubled(edges.withColumn("path", F.lit("")), volume, "", rounds)
-    ends = ends.select(*volume, "e", F.when(F.col("state") == "open", "invalid").otherwise(F.col("state")).alias("end_state"))
-    ended = ends.where("end_state <> 'invalid'")
-    paths = _doubled(edges.join(ended.select(*volume, "e"), [*volume, "e"]), volume, separator, rounds)
-    return ends.join(paths.select(*volume, "e", "path"), [*volume, "e"], "left").select(*volume, F.col("e").alias(entry), "path", F.col("end_state").alias("state"))
+    once = doubled(edges, volume, separator, rounds, MOST_NAMES)
+    ended = once.withColumn("state", F.when(F.col("state") == "open", "invalid").otherwise(F.col("state")))
+    deep = ended.where("state <> 'invalid' AND names > 0 AND path IS NULL").select(*volume, "e")
+    if not deep.isEmpty():
+        # Whatever lies above an entry that ends doesn't lie under a cycle, so here every path ends.
+        sound = edges.join(ended.where("state <> 'invalid'").select(*volume, "e"), [*volume, "e"], "left_semi")
+        ended = ended.drop("path").join(doubled(sound, volume, separator, rounds, None).select(*volume, "e", "path"), [*volume, "e"], "left")
+    path = F.when(F.col("state") != "invalid", F.col("path"))
+    return ended.select(*volume, F.col("e").alias(entry), path.alias("path"), "state")
 
 
-def _doubled(now: DataFrame, volume: list[str], separator: str, rounds: int) -> DataFrame:
+def doubled(edges: DataFrame, volume: list[str], separator: str, rounds: int, most_names: int | None) -> DataFrame:
+    """``edges`` (e, up, path, names, state) after doubling: ended entries have their ancestor's end as state and their whole path, or none if it was dropped."""
+    columns = edges.columns
+    closed, now = [edges.where("state <> 'open'")], edges.where("state = 'open'")
     for _ in range(rounds):
-        open_now = now.where("state = 'open'")
-        if open_now.isEmpty():
+        count = now.count()
+        if not count:
             break
-        above = now.select(*volume, F.col("e").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("state").alias("above_state"))
+        above = reduce(DataFrame.unionByName, [*closed, now]).select(*volume, F.col("e").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"), F.col("names").alias("above_names"), F.col("state").alias("above_state"))
+        names = F.col("names") + F.coalesce("above_names", F.lit(0))
+        joined = F.when(F.col("above_state").isNull(), F.col("path")).otherwise(F.concat("above", F.lit(separator), "path"))
+        carried = joined if most_names is None else F.when((F.col("above_state") == "open") & (names > most_names), None).otherwise(joined)
         # An ancestor that isn't there ends the path; else its path goes before, and its state is taken over.
-        stepped = open_now.join(above, [*volume, "up"], "left").select(
-            *volume, "e", F.when(F.col("above_state") == "open", F.col("next")).alias("up"),
-            F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", F.lit(separator), "path")).alias("path"),
-            F.coalesce("above_state", F.lit("missing")).alias("state"),
-        )
-        now = checkpointed(now.where("state <> 'open'").unionByName(stepped.select(*now.columns)))
-    return now
+        stepped = looked_up(now, above, volume, count).select(*volume, "e", F.when(F.col("above_state") == "open", F.col("next")).alias("up"), carried.alias("path"), F.least(names, F.lit(1 << 30)).alias("names"), F.coalesce("above_state", F.lit("missing")).alias("state"))
+        kept = checkpointed(stepped.select(*columns))
+        closed.append(kept.where("state <> 'open'"))
+        now = kept.where("state = 'open'")
+    return reduce(DataFrame.unionByName, [*closed, now])
+
+
+def looked_up(rows: DataFrame, above: DataFrame, volume: list[str], count: int) -> DataFrame:
+    """``rows`` with their ancestor's columns, null if it isn't there. Ancestors that very many rows ask for are sent to them."""
+    keys = [*volume, "up"]
+    if count < SPLIT_FROM:
+        return rows.join(above, keys, "left")
+    heavy = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") * HEAVY > count).select(*keys))  # fewer than ``HEAVY`` rows
+    often = rows.join(F.broadcast(heavy), keys, "left_semi")
+    seldom = rows.join(F.broadcast(heavy), keys, "left_anti")
+    sent = above.join(F.broadcast(heavy), keys, "left_semi")
+    return often.join(F.broadcast(sent), keys, "left").unionByName(seldom.join(above, keys, "left"))
