@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vestige.llm import fingerprints, language_id, pii, queries, toxicity
@@ -98,21 +99,16 @@ def test_op6_minima(spark, sf_dir, rows):
         assert (r["near_edited"], r["near_next"]) == (near(own, changed), near(own, minima(after)))
 
 
-def test_op9_code_lengths():
-    draw = random.Random(5)
-    texts = {"x": ["".join(draw.choice("aab c") for _ in range(60)) for _ in range(9)], "y": ["".join(draw.choice("bcdé ") for _ in range(50)) for _ in range(9)]}
-    counts, seen = {}, {}
+def plain_code_lengths(texts):
+    """bits(lang, text) under trees of contexts of up to three bytes, counted and coded byte by byte."""
+    seen = {}
     for lang, own in texts.items():
-        grams = np.concatenate([language_id.windows(language_id.PAD + t.encode()) for t in own])
-        found, n = np.unique(grams, return_counts=True)
-        counts[lang] = (found.astype(np.int64), n)
         tree = seen[lang] = [collections.defaultdict(collections.Counter) for _ in range(4)]
         for t in own:
             data = language_id.PAD + t.encode()
             for i in range(3, len(data)):
                 for k in range(4):
                     tree[k][data[i - k : i]][data[i]] += 1
-    trees = language_id.Trees(counts)
     alphabet = {b for own in texts.values() for t in own for b in language_id.PAD + t.encode()}
     size = len(alphabet) + 1
 
@@ -122,7 +118,7 @@ def test_op9_code_lengths():
         for i in range(3, len(data)):
             context = lambda k: bytes(data[i - k : i]) if -1 not in data[i - k : i] else None
             known = lambda k: context(k) is not None and any(context(k) in seen[x][k] for x in seen)
-            deepest = 3 if context(3) and any(sum(seen[x][3][context(3)].values()) >= language_id.LEAST_SEEN for x in seen) else 2 if known(2) else 1
+            deepest = 3 if known(3) else 2 if known(2) else 1
             left, gone, chance = 1.0, set(), None
             for k in range(deepest, -1, -1):
                 here = {b: n for b, n in (seen[lang][k].get(context(k), {}) if context(k) is not None else {}).items() if b not in gone}
@@ -138,11 +134,56 @@ def test_op9_code_lengths():
             total -= math.log2(chance if chance is not None else left / (size - len(gone)))
         return total
 
+    return bits
+
+
+def test_op9_code_lengths():
+    draw = random.Random(5)
+    texts = {"x": ["".join(draw.choice("aab c") for _ in range(60)) for _ in range(9)], "y": ["".join(draw.choice("bcdé ") for _ in range(50)) for _ in range(9)]}
+    counts = {}
+    for lang, own in texts.items():
+        found, n = np.unique(np.concatenate([language_id.windows(language_id.PAD + t.encode()) for t in own]), return_counts=True)
+        counts[lang] = (found.astype(np.int64), n)
+    trees, bits = language_id.Trees(counts), plain_code_lengths(texts)
     tried = ["abba cab", "bcd é", "zz", "a", "ab" * 30, "\U0001f600 cab", "dddd  "]
     got = trees.of([t.encode() for t in tried])
     assert got == pytest.approx(np.array([[bits(k, t) for k in trees.langs] for t in tried]), rel=1e-4)
 
 
+def test_op9_predictions(spark, sf_dir):
+    """The query's own columns, from the rows that it may learn from, on short texts and the shortest of its documents."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").collect()
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    texts = collections.defaultdict(list)
+    for r in docs:
+        if not held(r["doc_id"]) and r["lang"] is not None and r["text"] is not None:
+            texts[r["lang"]].append(r["text"])
+    bits = plain_code_lengths(texts)
+    got = {r["doc_id"]: r for r in queries.op9_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(docs) and all(got[r["doc_id"]]["held_out"] == held(r["doc_id"]) for r in docs)
+    for r in sorted(docs, key=lambda r: len(r["text"] or ""))[:40]:
+        own = got[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (own["lang_pred"], own["score"]) == ("und", 0)
+            continue
+        lengths = {k: bits(k, r["text"]) for k in sorted(texts)}
+        best = min(lengths, key=lambda k: (lengths[k], k))
+        assert own["lang_pred"] == best
+        assert own["score"] == pytest.approx(1 / sum(2 ** -min(v - lengths[best], 1000) for v in lengths.values()), abs=2e-3)
+
+
+def test_op5_labels_other_than_two(spark):
+    texts = [(i, f"plain words {i} and morning" if i % 2 else f"you are an idiot and fool {i}") for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = [(i, 0, 1 - i % 2) for i in range(40)]
+    odd = [(0, 0, 2), (1, 0, -1), (2, 0, None), (None, 0, 1), (3, 0, 7)]
+    shape = "doc_id long, quality int, toxic int"
+    learn = held = F.lit(True)
+    with_odd = toxicity.score_texts(docs, spark.createDataFrame(labels + odd, shape), learn, held).collect()
+    without = toxicity.score_texts(docs, spark.createDataFrame(labels, shape), learn, held).collect()
+    assert sorted(map(tuple, with_odd)) == sorted(map(tuple, without))
+
+
 def test_op5_lattice():
     counts = collections.Counter()
     for word, n in (("idiot", 50), ("stupid", 30), ("toast", 20), ("list", 20), ("silo", 5)):

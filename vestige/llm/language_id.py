@@ -29,8 +29,6 @@ ORDER = 3
 TRAINING_TEXTS = 2000
 #: Languages up to which their sizes are broadcast.
 MOST_LANGUAGES = 10_000
-#: Contexts of three bytes seen less often than this are left out of a tree.
-LEAST_SEEN = 10
 PAD = b"\n" * ORDER
 
 
@@ -76,7 +74,7 @@ class Trees:
             gram, n = counts[k]
             code = sum(self.symbol[gram >> s & 0xFF] * a**p for s, p in ((24, 3), (16, 2), (8, 1), (0, 0)))
             coded.append((code, n))
-            seen3 |= np.bincount(code // a, n, minlength=a**3) >= LEAST_SEEN
+            seen3[code // a] = True
         deep = np.flatnonzero(seen3)
         # Table rows: all contexts of 2, 1 and 0 symbols that may be needed, then the deep ones.
         pairs = np.unique(np.concatenate([c // a % a**2 for c, _ in coded]))

@@ -10,7 +10,7 @@ scored by a logistic model over those features that tell labels apart.
 
 Labels that are learnt from are a bounded sample. Null and empty texts have the
 model's score for a text without features. Labels without text and null labels
-are left out; repeated labels count each; without labels every score is 0.
+and others than 0 and 1 are left out; repeated labels count each; without labels every score is 0.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,11 +174,11 @@ def count_trigrams(texts: DataFrame) -> dict[str, int]:
     return {r["gram"]: r["n"] for r in rows.collect()}
 
 
-def telling(sample: DataFrame, grams: dict[str, int]) -> list[str]:
+def telling(sample: DataFrame, grams: Broadcast) -> list[str]:
     """The features that tell the labels best, by the log-likelihood ratio of their document counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(grams)
+        reader = Reader(grams.value)
         for batch in batches:
             found: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -215,16 +216,17 @@ def fit(rows: list[tuple[np.ndarray, int]], size: int, rounds: int = 400, penalt
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> tuple[dict[str, int], dict[str, int], np.ndarray, float]:
-    """Trigrams of all texts; features, weights, offset from at most ``TRAINING_TEXTS`` labelled texts where ``learn`` holds."""
-    marked = own_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").where(learn)
+    """Trigrams of all texts; features, weights, offset from at most ``TRAINING_TEXTS`` labelled texts where ``learn`` holds. Labels other than 0 and 1 are left out."""
+    marked = own_columns(labels, "doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(learn)
     chosen = marked.select("doc_id", F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(TRAINING_TEXTS)
     texts = own_columns(docs, "doc_id", "text").where("text is not null")
     sample = stash(texts.join(F.broadcast(chosen), "doc_id").select("text", "label").repartition(12), "toxic-sample")
     grams = count_trigrams(texts)
-    names = {n: i for i, n in enumerate(telling(sample, grams))}
+    sent = docs.sparkSession.sparkContext.broadcast(grams)
+    names = {n: i for i, n in enumerate(telling(sample, sent))}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(grams, names)
+        reader = Reader(sent.value, names)
         for batch in batches:
             found = [sorted(reader.text(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "found"])
