@@ -141,7 +141,7 @@ def test_boundaries_and_texts(spark):
     row = spark.sql("SELECT timestamp_ntz'2024-01-01 00:59:00' AS a, timestamp_ntz'2024-01-01 02:01:00' AS b, 'http://u:p@[::1]:80/x' AS url").select(
         tm.hour_boundaries(F.col("a"), F.col("b")).alias("hours"), tx.host_of(F.col("url")).alias("host"), tm.filetime_text(F.lit(116444736000000001)).alias("ft"), tm.timespan_text(F.lit(-90061500000)).alias("span")
     ).first()
-    assert row["hours"] == 2 and row["host"] == "[::1]" and row["ft"] == "1970-01-01T00:00:00.0000001Z" and row["span"] == "-1.01:01:01.500000"
+    assert row["hours"] == 2 and row["host"] == "[::1]" and row["ft"] == "1970-01-01T00:00:00.0000001Z" and row["span"] == "-1.01:01:01.5000000"
 
 
 def test_superseding_twice_is_once(spark):
@@ -240,3 +240,29 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError):
         ensure_folder(N(conf=N(get=lambda *_: None), sparkContext=N(master="spark://host:7077", getCheckpointDir=lambda: None)))
+
+
+def test_broadcast_is_bounded_in_rows_and_bytes(spark):
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) AS text", "array(id) AS list")
+    hinted = lambda d: "strategy=broadcast" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(lookups.sized(df)) and not hinted(lookups.sized(df, most=99)) and not hinted(lookups.sized(df, most_bytes=50_000))
+    assert hinted(lookups.sized(df.limit(0)))
+
+
+def test_spans_and_zone_texts(spark):
+    from vestige.functions import times as tm
+
+    spans = {0: "00:00:00", 1: "00:00:00.0000001", -36_000_000_001: "-01:00:00.0000001", 864_000_000_000: "1.00:00:00", 9_223_372_036_854_775_807: "10675199.02:48:05.4775807"}
+    df = spark.createDataFrame([(k,) for k in spans], "t long")
+    assert [r[0] for r in df.select(tm.span_text(F.col("t"))).collect()] == list(spans.values())
+    assert [tuple(r) for r in df.limit(1).select(tm.duration_text(F.lit(0), F.lit(5)), tm.duration_text(F.lit(5), F.lit(3))).collect()] == [("", "-00:00:00.0000002")]
+    texts = {
+        "2024-01-31T10:00:00.2040000Z": ("2024-01-31 05:00:00.2040000", "-05:00"),
+        "2024-07-31T10:00:00Z": ("2024-07-31 06:00:00", "-04:00"),
+        "2024-07-31T10:00:00.Z": None, "2024-07-31 10:00:00Z": None, "2024-07-31T10:00:00": None, "2024-13-31T10:00:00Z": None, "2024-07-31T10:00:00.1234567890Z": None,
+        "1850-01-01T12:00:00.5Z": ("1850-01-01 07:03:58.5", "-04:56:02"),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] and tuple(r[0]) for r in df.select(tm.rendered(F.col("t"), "America/New_York")).collect()]
+    assert got == list(texts.values())
+    assert df.limit(1).select(tm.rendered(F.col("t"), "UTC")).first()[0]["offset"] == "Z"

@@ -76,20 +76,30 @@ def day_boundaries(a: Column, b: Column) -> Column:
     return F.datediff(b.cast("date"), a.cast("date")).cast("long")
 
 
-def timespan_text(micros: Column) -> Column:
-    """``[-][d.]hh:mm:ss[.ffffff]``."""
-    total = F.abs(micros)
-    days, rest = F.floor(total / 86_400_000_000).cast("long"), total % 86_400_000_000
-    clock = F.format_string("%02d:%02d:%02d", F.floor(rest / 3_600_000_000).cast("long"), F.floor(rest % 3_600_000_000 / 60_000_000).cast("long"), F.floor(rest % 60_000_000 / 1_000_000).cast("long"))
-    fraction = rest % 1_000_000
+def span_text(ticks: Column) -> Column:
+    """A time span of ticks of 100 ns as ``[-][d.]hh:mm:ss[.fffffff]``."""
+    total = F.abs(ticks)
+    fraction = F.pmod(total, F.lit(10_000_000))
+    seconds = F.round((total - fraction) / 10_000_000).cast("long")  # whole, but for the rounding of large numbers
+    days = F.floor(seconds / 86_400).cast("long")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(seconds % 86_400 / 3600).cast("long"), F.floor(seconds % 3600 / 60).cast("long"), seconds % 60)
     return F.concat(
-        F.when(micros < 0, F.lit("-")).otherwise(F.lit("")),
+        F.when(ticks < 0, F.lit("-")).otherwise(F.lit("")),
         F.when(days > 0, F.concat(days.cast("string"), F.lit("."))).otherwise(F.lit("")),
         clock,
-        F.when(fraction > 0, F.concat(F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))).otherwise(F.lit("")),
+        F.when(fraction > 0, F.concat(F.lit("."), F.lpad(fraction.cast("string"), 7, "0"))).otherwise(F.lit("")),
     )
 
 
+def timespan_text(micros: Column) -> Column:
+    return span_text(micros * 10)
+
+
+def duration_text(start: Column, end: Column) -> Column:
+    """The span between two file times; empty where either was never set."""
+    return F.when((start > 0) & (end > 0), span_text(end - start)).otherwise("")
+
+
 def utc_text(c: Column) -> Column:
     return F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
@@ -127,6 +137,26 @@ def in_zone_text(at: Column, zone: str) -> Column:
     return F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), offset)
 
 
+# Names of UTC, for which the offset is shown as Z.
+UTC_NAMES = ["UTC", "Etc/UTC", "Etc/UCT", "Etc/Universal", "Etc/Zulu", "UCT", "Universal", "Zulu"]
+
+
+def rendered(text: Column, zone: str) -> Column:
+    """UTC text (``2024-01-31T10:00:00.2040000Z``) as a struct (local, offset) of a zone: the fraction stays as it is written.
+
+    Null for any other text, or where the local year has more than four digits.
+    """
+    shape = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})((?:\.\d{1,9})?)Z\z"
+    at = F.concat(F.regexp_extract(text, shape, 1), F.lit(" "), F.regexp_extract(text, shape, 2)).try_cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), at)
+    seconds = F.timestamp_diff("SECOND", at, local)
+    part = lambda of, by: F.floor(F.abs(seconds) % of / by).cast("int")
+    offset = F.format_string("%s%02d:%02d", F.when(seconds < 0, "-").otherwise("+"), part(1 << 30, 3600), part(3600, 60))
+    offset = F.when(part(60, 1) > 0, F.concat(offset, F.format_string(":%02d", part(60, 1)))).otherwise(offset)
+    shown = F.struct(F.concat(F.date_format(local, "yyyy-MM-dd HH:mm:ss"), F.regexp_extract(text, shape, 3)).alias("local"), (F.lit("Z") if zone in UTC_NAMES else offset).alias("offset"))
+    return F.when(F.year(local).between(0, 9999), shown)
+
+
 def wall_to_utc(wall: Column, zone: str) -> Column:
     """A wall-clock time of a zone as UTC; null for times that a clock change skips or repeats."""
     there = lambda c: F.convert_timezone(F.lit("UTC"), F.lit(zone), c)

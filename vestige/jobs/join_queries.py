@@ -13,10 +13,10 @@ from vestige.operators.search import union
 # Roles: visits are orders and what they point to are customers; parts are a tree (parent = key div 2, 0 the root).
 
 
-@query("history_visits", """SELECT o_orderkey, o_custkey AS target, c_name, CASE WHEN c_custkey IS NULL THEN 'dangling' ELSE '' END AS note FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c ON o_custkey = c_custkey
-UNION ALL SELECT NULL, c_custkey, c_name, 'URL only' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+@query("history_visits", """SELECT o_orderkey, o_custkey AS target, c_name, CASE WHEN c_custkey IS NULL THEN 'dangling' ELSE '' END AS note FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 <> 0) c ON o_custkey = c_custkey
+UNION ALL SELECT NULL, c_custkey, c_name, 'URL only' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def history_visits(spark, sf_dir):
-    visits = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    visits = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     urls = table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select("c_custkey", "c_name")
     return lookups.outward(visits, urls, "o_custkey", "c_custkey", "URL only").select("o_orderkey", F.coalesce("o_custkey", "c_custkey").alias("target"), "c_name", "note")
 
@@ -187,11 +187,11 @@ def rebind_annotations(spark, sf_dir):
     return records.rebind(marks, old, run(1)).select("row_id", "new_id", "outcome")
 
 
-@query("row_marks", """WITH ev AS (SELECT l_orderkey AS entry_id, l_partkey AS row_id FROM lineitem WHERE l_linenumber = 1), en AS (SELECT o_orderkey AS entry_id, o_orderstatus = 'F' AS vouched, o_orderpriority = '5-LOW' AS deleted FROM orders),
+@query("row_marks", """WITH ev AS (SELECT l_orderkey AS entry_id, l_partkey AS row_id FROM lineitem), en AS (SELECT o_orderkey AS entry_id, o_orderstatus = 'F' AS vouched, o_orderpriority = '5-LOW' AS deleted FROM orders),
 d AS (SELECT row_id, CASE WHEN bool_or(vouched) THEN 'malicious' ELSE 'agent_malicious' END AS mark, coalesce(min(CASE WHEN vouched THEN e.entry_id END), min(e.entry_id)) AS "by" FROM ev e JOIN en ON e.entry_id = en.entry_id WHERE NOT deleted GROUP BY 1)
 SELECT * FROM d UNION ALL SELECT doc_id, 'suspicious', NULL FROM labels WHERE toxic = 1 AND doc_id NOT IN (SELECT row_id FROM d)""")
 def row_marks(spark, sf_dir):
-    evidence = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("row_id"))
+    evidence = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_partkey").alias("row_id"))
     entries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), (F.col("o_orderstatus") == "F").alias("by_analyst"), F.lit(False).alias("reviewed"), (F.col("o_orderpriority") == "5-LOW").alias("deleted"))
     stored = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("row_id"), F.lit("suspicious").alias("mark"))
     return records.derived_marks(stored, evidence, entries)

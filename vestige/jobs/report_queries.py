@@ -238,9 +238,9 @@ def binary_everywhere(spark, sf_dir):
     return tl.everywhere(legs, "7").select("leg", "id", micros_of(F.col("at")).alias("at_us"))
 
 
-@query("browser_timeline", "SELECT o_orderkey AS id, 'ordered' AS type, epoch_us(o_orderdate) AS at_us FROM orders UNION ALL SELECT l_orderkey, 'shipped', epoch_us(l_shipdate) FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'billed', epoch_us(l_shipdate + INTERVAL 1 DAY) FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'")
+@query("browser_timeline", "SELECT o_orderkey AS id, 'ordered' AS type, epoch_us(o_orderdate) AS at_us FROM orders UNION ALL SELECT l_orderkey, 'shipped', epoch_us(l_shipdate) FROM lineitem UNION ALL SELECT l_orderkey, 'billed', epoch_us(l_shipdate + INTERVAL 1 DAY) FROM lineitem WHERE l_returnflag = 'R'")
 def browser_timeline(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("billed", F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")))
+    lines = table(spark, sf_dir, "lineitem").withColumn("billed", F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")))
     both = tl.times_of(table(spark, sf_dir, "orders"), "o_orderkey", {"ordered": "o_orderdate"}).unionByName(tl.times_of(lines, "l_orderkey", {"shipped": "l_shipdate", "billed": "billed"}))
     return both.select("id", "type", micros_of(F.col("at")).alias("at_us"))
 

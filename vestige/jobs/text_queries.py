@@ -48,10 +48,17 @@ def other_epochs(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", tm.cocoa_micros(k).alias("cocoa"), tm.cocoa_ns_micros(k * 1000).alias("cocoa_ns"), tm.dotnet_micros(k * 10).alias("dotnet"), tm.ole_micros(k).alias("ole"))
 
 
-@query("render_in_zone", "SELECT event_id, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') || ' +01:00' AS shown FROM events WHERE ts < TIMESTAMP '2024-03-01'")
+# Every other time half a year on, so that both of the zone's offsets are met; fractions of no to nine digits.
+ZONED_SQL = """SELECT event_id, CASE WHEN user_id % 7 = 6 THEN NULL ELSE strftime(ts + to_days(CASE WHEN user_id % 2 = 0 THEN 0 ELSE 180 END) + to_hours(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END), '%Y-%m-%d %H:%M:%S') || CASE user_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.5' WHEN 2 THEN '.2040000' ELSE '.000000001' END END AS local,
+CASE WHEN user_id % 7 = 6 THEN NULL WHEN user_id % 2 = 0 THEN '+01:00' ELSE '+02:00' END AS "offset" FROM events"""
+
+
+@query("render_in_zone", ZONED_SQL)
 def render_in_zone(spark, sf_dir):
-    df = table(spark, sf_dir, "events").where(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-03-01 00:00:00")))
-    return df.select("event_id", tm.in_zone_text(F.col("ts"), "Europe/Berlin").alias("shown"))
+    shifted = F.when(F.col("user_id") % 2 == 0, F.col("ts")).otherwise(F.col("ts") + F.expr("INTERVAL 180 DAYS"))
+    fraction = F.element_at(F.array(F.lit(""), F.lit(".5"), F.lit(".2040000"), F.lit(".000000001")), (F.col("user_id") % 4 + 1).cast("int"))
+    text = F.concat(F.date_format(shifted, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.when(F.col("user_id") % 7 == 6, "").otherwise("Z"))
+    return table(spark, sf_dir, "events").select("event_id", tm.rendered(text, "Europe/Berlin").alias("r")).select("event_id", "r.local", "r.offset")
 
 
 @query("utc_offset_shift", "SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d') AS day, hour(ts - INTERVAL 5 HOUR) AS hour FROM events")
@@ -60,9 +67,14 @@ def utc_offset_shift(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(local, "yyyy-MM-dd").alias("day"), F.hour(local).cast("long").alias("hour"))
 
 
-@query("timespan_text", "SELECT p_partkey, CASE WHEN p_partkey >= 86400 THEN (p_partkey // 86400) || '.' ELSE '' END || printf('%02d:%02d:%02d', p_partkey // 3600 % 24, p_partkey // 60 % 60, p_partkey % 60) AS span FROM part")
+@query("timespan_text", """WITH s AS (SELECT p_partkey, p_partkey * 1234567 AS t, p_size % 5 = 0 AS unset, p_size % 2 = 0 AS less FROM part)
+SELECT p_partkey, CASE WHEN unset THEN '' ELSE CASE WHEN less AND t > 0 THEN '-' ELSE '' END || CASE WHEN t >= 864000000000 THEN (t // 864000000000) || '.' ELSE '' END || printf('%02d:%02d:%02d', t // 36000000000 % 24, t // 600000000 % 60, t // 10000000 % 60)
+|| CASE WHEN t % 10000000 > 0 THEN '.' || printf('%07d', t % 10000000) ELSE '' END END AS span FROM s""")
 def timespan_text(spark, sf_dir):
-    return part(spark, sf_dir).select("p_partkey", tm.timespan_text(F.col("p_partkey") * 1_000_000).alias("span"))
+    """Between two file times, forward and back, to the seventh digit; none where one was never set."""
+    start = F.lit(130_000_000_000_000_000)
+    other = start + F.when(F.col("p_size") % 2 == 0, -1).otherwise(1) * F.col("p_partkey") * 1_234_567
+    return part(spark, sf_dir).select("p_partkey", tm.duration_text(start, F.when(F.col("p_size") % 5 == 0, 0).otherwise(other)).alias("span"))
 
 
 @query("business_hours", "SELECT event_id, NOT (hour(ts) >= 22 OR hour(ts) < 6) AS outside FROM events")
@@ -240,7 +252,8 @@ def query_sql(spark, sf_dir):
 
 @query("dataset_inventory", "SELECT source AS tool, lang AS id, count(*) AS files FROM documents GROUP BY 1, 2")
 def dataset_inventory(spark, sf_dir):
-    per = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").cast("int").alias("n"))
-    files = F.transform(F.sequence(F.lit(1), "n"), lambda i: i.cast("string"))
-    datasets = per.groupBy(F.col("source").alias("tool")).agg(F.collect_list(F.struct(F.col("lang").alias("id"), F.col("lang").alias("view"), files.alias("files"), F.create_map(F.lit("t"), F.lit("bigint")).alias("types"))).alias("datasets"))
-    return src.inventory(datasets).select("tool", "id", F.col("files").cast("long").alias("files"))
+    """Tools with their datasets as a run's manifests list them: for each host a manifest, whose datasets hold that host's files."""
+    hosts = table(spark, sf_dir, "documents").select(F.col("source").alias("tool"), F.col("lang").alias("id"), (F.col("doc_id") % 16).alias("host"), F.col("doc_id").cast("string").alias("file"))
+    per = hosts.groupBy("tool", "id", F.col("host"), F.xxhash64("file").bitwiseAND(F.lit(1023)).alias("part")).agg(F.collect_list("file").alias("files"))
+    datasets = per.groupBy("tool", "host", "part").agg(F.collect_list(F.struct("id", F.col("id").alias("view"), "files", F.create_map(F.lit("t"), F.lit("bigint")).alias("types"))).alias("datasets"))
+    return src.inventory(datasets).groupBy("tool", "id").agg(F.sum("files").alias("files"))

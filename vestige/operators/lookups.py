@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a reference list is broadcast; a longer one is joined by shuffle.
+#: Rows and bytes (as text) up to which a reference list is broadcast; a longer one is joined by shuffle.
 MOST_BROADCAST = 200_000
+MOST_BYTES = 64 << 20
 
 
-def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows: counting stops there."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def sized(df: DataFrame, most: int = MOST_BROADCAST, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows and ``most_bytes`` bytes: counting stops behind so many rows."""
+    size = F.octet_length(F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
+    seen = df.limit(most + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= most and (seen["bytes"] or 0) <= most_bytes else df
 
 
 def enrich(rows: DataFrame, lookup: DataFrame, keys: list[str], values: list[str], missing: str = "") -> DataFrame:
