@@ -207,15 +207,29 @@ def document_index(shards: DataFrame) -> DataFrame:
     return placed.mapInArrow(look, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def parts_of(shards: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, part): the range of ids that each key lies in. The ranges' first ids, a number each, are searched in every task."""
+    firsts = sorted((r["first"], r["part"]) for r in shards.where("first_key is not null").groupBy("part").agg(F.min("first_key").alias("first")).collect())
+    bounds, parts = np.array([f for f, _ in firsts], np.int64), np.array([p for _, p in firsts], np.int32)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            at = np.searchsorted(bounds, ids, side="right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at >= 0]), pa.array(parts[at[at >= 0]], pa.int32())], names=["doc_id", "part"])
+
+    return map_batches(keys, search, "doc_id long, part int")
+
+
 def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
     """Keyed access: the ids (binary) of every wanted ``doc_id``; a stranger has no row.
 
-    Keys meet shards through the shards' key ranges (a few numbers a shard);
-    each shard that is wanted is opened once.
+    A key's range is found by search, its shard among those of the range by
+    their own bounds; each shard that is wanted is opened once.
     """
     bounds = shards.where("first_key is not null").select("part", "shard", "first_key", "last_key")
-    wanted = own_columns(keys, "doc_id").where("doc_id is not null").distinct()
-    asked = wanted.join(bounds, F.col("doc_id").between(F.col("first_key"), F.col("last_key"))).groupBy("part", "shard").agg(F.collect_list("doc_id").alias("asked"))
+    wanted = parts_of(shards, own_columns(keys, "doc_id").where("doc_id is not null").distinct())
+    asked = wanted.join(bounds, "part").where(F.col("doc_id").between(F.col("first_key"), F.col("last_key"))).groupBy("part", "shard").agg(F.collect_list("doc_id").alias("asked"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
