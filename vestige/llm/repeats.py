@@ -200,6 +200,14 @@ def settle(pieces: DataFrame) -> DataFrame:
     return placed(dealt).where("nth > 1 OR rivals > 1 OR n = 0")
 
 
+def settle_hot(parts: DataFrame) -> DataFrame:
+    """``settle`` for parts of hot pieces: very many different ones may have one key, so keys are only counted, never gathered."""
+    equal = W.partitionBy("key", "whole").orderBy("doc_id", "part", "place")
+    dealt = stash(parts.withColumn("nth", F.row_number().over(equal)), "repeat-dealt")
+    rivals = dealt.where("nth = 1").groupBy("key").agg(F.count("*").alias("rivals"))
+    return placed(dealt.join(rivals, "key")).where("nth > 1 OR rivals > 1")
+
+
 def placed(pieces: DataFrame) -> DataFrame:
     """``pieces`` with their place taken apart."""
     small = F.lit((1 << SMALL) - 1)
@@ -391,7 +399,7 @@ def gone_windows(docs: DataFrame) -> DataFrame:
         in_share = W.partitionBy("key", "whole", share).orderBy("doc_id", "part", "place")
         parts = stash(split(hot, bits).withColumn("nth", F.row_number().over(in_share)), "repeat-parts")
         out = out.unionByName(gone_rows(placed(parts.where("nth > 1"))))
-        settled = stash(settle(parts.where("nth = 1").drop("nth")), "repeat-split")
+        settled = stash(settle_hot(parts.where("nth = 1").drop("nth")), "repeat-split")
         out = out.unionByName(gone_rows(settled))
         rest = settled.where("nth = 1 AND rivals > 1")
         small = small.unionByName(rest.where(F.col("rivals") <= MOST).select(small.columns))
