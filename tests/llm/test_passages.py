@@ -149,6 +149,15 @@ def test_op12_on_documents(spark, sf_dir):
     assert {r["doc_id"]: tuple(r)[1:] for r in queries.op12_suffix_dedup(spark, sf_dir).collect()} == want
 
 
+def test_op12_sql_on_odd_texts():
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    rows = [(i, t) for i, t in passages() if t is None or "\0" not in t]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {k: (*v[:3], hashlib.sha256(v[3]).hexdigest()) for k, v in shortened(rows).items()}
+    assert {r[0]: r[1:] for r in con.sql(oracle.REPEATS).fetchall()} == want
+
+
 def test_stretches_overlap_by_a_window(monkeypatch):
     text = bytes(random.Random(2).randrange(97, 100) for _ in range(3000))
     whole = repeats.Pieces(np.frombuffer(text, np.uint8), np.array([len(text)]))

@@ -86,3 +86,20 @@ SELECT c.doc_id, c.leaf, s.subroot, t.h AS root, sha256(c.proof) AS proof_sha256
 FROM climb c JOIN subroots s ON s.tree = c.own, (SELECT h FROM tops WHERE n = 1) t
 WHERE c.tree = -1 AND c.n = 1
 """
+
+# All windows of 100 bytes, as hexadecimal text; those seen earlier, in runs; what is left between the runs.
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+windows AS (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 200)) AS k FROM d, unnest(range(n - 99)) AS t(i)),
+placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS later FROM windows),
+gone AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, TRUE) AS new FROM placed WHERE later),
+numbered AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, run),
+between_runs AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+short AS (
+  SELECT d.doc_id, d.n, sum(b - a)::BIGINT AS removed, count(*) AS spans,
+         string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS kept
+  FROM d JOIN between_runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id, d.n)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN short s ON s.doc_id = d.doc_id
+"""

@@ -87,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": oracle.OP8, "similar_classes": oracle.SIMILAR, "op13_merkle_manifest": oracle.MERKLE}
+    return {"op8_line_dedup": oracle.OP8, "similar_classes": oracle.SIMILAR, "op12_suffix_dedup": oracle.REPEATS, "op13_merkle_manifest": oracle.MERKLE}
