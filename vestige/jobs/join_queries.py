@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vestige.functions import text as tx
 from vestige.functions.times import micros_of
 from vestige.jobs.registry import query, table
 from vestige.operators import hierarchy, lookups, network, records
