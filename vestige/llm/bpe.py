@@ -13,7 +13,9 @@ dropped, lower case, cut into words by the file's pattern, bytes written in
 the printable byte alphabet, the last one of a word marked as its end. The
 tokens of special strings are cut out first.
 
-Nulls and empty texts have no tokens and decode to the empty text.
+Nulls and empty texts have no tokens and decode to the empty text. Every row is
+encoded by itself, repeated ones too; an empty table has no rows. Other columns, of any
+name, don't matter. A long text is worked on whole, in time linear in its length.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ every byte in every context is tabled once for all languages; a text's code
 length is the sum of its table entries, and the shortest code names the language.
 
 Null texts and texts without a letter are ``und`` with score 0. Ties go to the
-language that sorts first. Without any training rows all texts are ``und``.
+language that sorts first. Without any training rows all texts are ``und``. Repeated rows count
+each in training, and are told each by itself; an empty table has no rows. Other columns, of any
+name, don't matter. Long texts are coded whole.
 """
 
 from __future__ import annotations

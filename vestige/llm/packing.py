@@ -10,7 +10,8 @@ gone. Spark numbers the pieces of each length in parallel and places each by
 its number.
 
 Nulls: a null text is an empty one: a piece of the end id alone. Repeated rows
-are separate documents; an empty table has no bins.
+are separate documents; an empty table has no bins. Among pieces of one length
+any may take a place. Other columns, of any name, don't matter; a long text is encoded whole and cut by its ids.
 """
 
 from __future__ import annotations

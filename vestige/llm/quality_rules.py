@@ -13,7 +13,8 @@ Words are runs of characters other than space and U+0009 to U+000D. A null or
 empty text has no words; it fails the base rule (fewer than 50 words). Labels
 without a text, null labels and repeated labels of one id: the first two are
 left out, repeats count each. Without labels the list is empty and the base
-rule decides alone.
+rule decides alone. Repeated rows are judged each by itself; an empty table has no rows.
+Other columns, of any name, don't matter. Long texts are counted whole.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ they can lie in any store that Spark reaches.
 
 Nulls: a null text is empty (end id only); rows without id come first, are
 kept, and are found by no key. Repeated ids keep all their rows, in text
-order. An empty table gives no shard.
+order. An empty table gives no shard. A long text is one row of a shard of its own
+size. Other columns, of any name, don't matter.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ scored by a logistic model over those features that tell labels apart.
 Labels that are learnt from are a bounded sample. Null and empty texts have the
 model's score for a text without features. Labels without text and null labels
 and others than 0 and 1 are left out; repeated labels count each; without labels every score is 0.
+Every row is scored by itself, repeated ones too; an empty table has no rows. Features of equal worth are taken by name. Other
+columns, of any name, don't matter. Long texts are read whole.
 """
 
 from __future__ import annotations
