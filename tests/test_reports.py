@@ -53,3 +53,15 @@ def test_timelines_of_nothing_and_of_ties(spark):
     assert tl.times_of(a, "id", {"t": "t"}).count() == 1
     files = spark.createDataFrame([("A.EXE", ["c:\\B.EXE", "c:\\A.EXE"], [1, 2]), ("Z.EXE", [], [3]), ("N.EXE", None, None)], "exe string, files array<string>, runs array<int>")
     assert rows(tl.run_times(files, ["exe"], "exe", "files", "runs").select("path", "run_time")) == [("Z.EXE", 3), ("c:\\A.EXE", 1), ("c:\\A.EXE", 2)]
+
+
+def test_account_logons_add_up_ids_of_several_rows_and_group_nothing_else(spark):
+    summary = spark.createDataFrame([("Dom", "User", "success", 3, "h", 2), (None, "user", "success", 3, "h", 4), ("DOM", "USER", "success", 3, "h", 8), ("x", None, "failed", 3, "h", 16), ("other", "User", "failed", None, "h", 32)], "domain string, account string, outcome string, logon_type long, host string, n long")
+    accounts = spark.createDataFrame([(1, "uSER", None), (2, "user", "dOM"), (3, "user", "dom"), (3, "USER", None), (4, None, "dom"), (None, "user", "other"), (None, "user", "other"), (5, "user", "nowhere")], "account_id long, name string, domain string")
+    out = art.account_logons(summary, accounts)
+    want = [(1, "failed", None, "h", 32), (1, "success", 3, "h", 14), (2, "success", 3, "h", 10), (3, "failed", None, "h", 32), (3, "success", 3, "h", 24), (None, "failed", None, "h", 64)]
+    assert rows(out) == sorted(want, key=repr)
+    assert rows(art.account_logons(summary, accounts.limit(0))) == rows(art.account_logons(summary.limit(0), accounts)) == []
+    # Accounts of one id each pass the join and no aggregate.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("Aggregate") == 1

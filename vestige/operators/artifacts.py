@@ -136,11 +136,20 @@ def logon_summary(df: DataFrame, host: str, code: str, target: str, kind: str) -
 def account_logons(summary: DataFrame, accounts: DataFrame) -> DataFrame:
     """(account_id, outcome, logon_type, host, n): a summary's rows for each of ``accounts`` (account_id, name, domain), names in whatever ASCII case.
 
-    An account without domain is meant by its name in any domain.
+    An account without domain is meant by its name in any domain. The summary is added up for each name, with
+    its domain and in any, before accounts meet it; so only ids of several rows are added up behind the join.
     """
-    wanted = sized(accounts.select("account_id", tx.ascii_lower(F.col("name")).alias("_name"), tx.ascii_lower(F.col("domain")).alias("_domain")))
-    same = (tx.ascii_lower(F.col("account")) == F.col("_name")) & (F.col("_domain").isNull() | (tx.ascii_lower(F.col("domain")) == F.col("_domain")))
-    return summary.join(wanted, same).groupBy("account_id", "outcome", "logon_type", "host").agg(F.sum("n").alias("n"))
+    own = tx.ascii_lower(F.col("domain"))
+    meant = summary.where("account IS NOT NULL").select(tx.ascii_lower(F.col("account")).alias("_name"), F.explode(F.array_distinct(F.array(own, F.lit(None).cast("string")))).alias("_domain"), "outcome", "logon_type", "host", "n")
+    meant = sized(checkpointed(meant.groupBy("_name", "_domain", "outcome", "logon_type", "host").agg(F.sum("n").alias("n"))))
+    # Dealt by id into a fixed number of parts, as a few rows of accounts give very many.
+    parts = int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = accounts.select("account_id", tx.ascii_lower(F.col("name")).alias("_of"), tx.ascii_lower(F.col("domain")).alias("_in")).repartition(parts, "account_id")
+    wanted = wanted.withColumn("_rows", F.count("*").over(W.partitionBy("account_id")))
+    joined = wanted.join(meant, (F.col("_of") == F.col("_name")) & F.col("_in").eqNullSafe(F.col("_domain")))
+    columns = ["account_id", "outcome", "logon_type", "host"]
+    several = joined.where("_rows > 1").groupBy(*columns).agg(F.sum("n").alias("n"))
+    return joined.where("_rows = 1").select(*columns, "n").unionByName(several)
 
 
 def typed_urls(values: DataFrame, times: DataFrame, keys: list[str], at: str) -> DataFrame:
