@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vestige.functions import indicators as ind
-from vestige.operators import offers
+from vestige.operators import offers, records
 from vestige.relation import Relation
 
 
@@ -101,3 +101,14 @@ def test_offers_of_rows(spark):
     alone = offers.candidates([(relation, None)], takers[:1]).collect()
     assert {r["existing_id"] for r in alone} == {None} and len(alone) == 3
     assert offers.candidates([(Relation("none", df, None, None, "id"), None)], takers).collect() == []
+
+
+def test_record_seen_counts_repeats_once_and_expands_nothing(spark):
+    links = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 11), (2, 12), (3, 13), (3, None), (None, 10), (4, 99)], "record_id long, entry_id long")
+    entries = spark.createDataFrame([(10, 5, "b", False), (10, 3, "a", False), (10, 4, "a", False), (11, 7, None, False), (11, 1, "c", True), (12, None, "b", False), (13, 1, "a", True), (None, 1, "z", False)], "entry_id long, at int, host string, deleted boolean")
+    out = records.record_seen(links, entries)
+    want = [(1, 2, 3, 7, "a, b", 2), (2, 2, 7, 7, "b", 1), (None, 1, 3, 5, "a, b", 2)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    assert records.record_seen(links.limit(0), entries).count() == 0
+    # No row is copied for each thing that is counted.
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()

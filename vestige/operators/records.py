@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vestige.operators.lookups import sized
@@ -69,9 +70,21 @@ def evidence_state(attached: DataFrame, rows: DataFrame, sources: DataFrame) ->
 
 
 def record_seen(links: DataFrame, entries: DataFrame) -> DataFrame:
-    """(record_id): live linked entries, first and last time, hosts as a sorted list and their number."""
-    live = links.join(entries.where("NOT deleted"), "entry_id")
-    return live.groupBy("record_id").agg(F.countDistinct("entry_id").alias("entries"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.array_join(F.array_sort(F.collect_set("host")), ", ").alias("hosts"), F.countDistinct("host").alias("n_hosts"))
+    """(record_id): live linked entries, first and last time, hosts as a sorted list and their number.
+
+    Repeated links and entries fall together before they meet, and one host of an entry carries its count, so nothing is counted
+    distinct behind the join; a record's entries are added up by host, then its hosts are listed.
+    """
+    # Into a fixed number of parts, as merged ones would hold much more in memory; ordered rows fall together without a table of them.
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    live = entries.where("NOT deleted AND entry_id IS NOT NULL").select("entry_id", "host", "at").repartition(parts, "entry_id")
+    live = live.groupBy("entry_id", "host").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
+    live = live.withColumn("entries", (F.row_number().over(W.partitionBy("entry_id").orderBy("host")) == 1).cast("long"))
+    linked = links.where("entry_id IS NOT NULL").select("entry_id", "record_id").repartition(parts, "entry_id")
+    linked = linked.withColumn("_before", F.row_number().over(W.partitionBy("entry_id", "record_id").orderBy("record_id"))).where("_before = 1").drop("_before")
+    of_all = [F.sum("entries").alias("entries"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    by_host = linked.join(live, "entry_id").groupBy("record_id", "host").agg(*of_all)
+    return by_host.groupBy("record_id").agg(*of_all, F.array_join(F.array_sort(F.collect_list("host")), ", ").alias("hosts"), F.count("host").alias("n_hosts"))
 
 
 def mark_counts(marks: DataFrame, rows: DataFrame) -> DataFrame:
