@@ -30,9 +30,9 @@ def shellbag_paths(spark, sf_dir):
 
 @query("cloud_folder_paths", PATHS_SQL.replace("SELECT p_partkey, path FROM t", "SELECT DISTINCT l_orderkey, path || '\\' || l_linenumber AS path FROM lineitem JOIN t ON l_partkey = p_partkey"))
 def cloud_folder_paths(spark, sf_dir):
-    folders = hierarchy.full_paths(tree(spark, sf_dir), ["volume"], "p_partkey", "parent", "p_partkey", F.col("p_partkey") < 2).select("p_partkey", F.col("path").alias("folder"))
-    files = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
-    return files.join(folders, "p_partkey").select("l_orderkey", tx.join_path(F.col("folder"), F.col("l_linenumber").cast("string")).alias("path")).distinct()
+    folders = hierarchy.full_paths(tree(spark, sf_dir), ["volume"], "p_partkey", "parent", "p_partkey", F.col("p_partkey") < 2).select("p_partkey", "path")
+    files = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey"), "l_linenumber")
+    return hierarchy.distinct_in_folders(files, folders, "p_partkey", ["l_orderkey"], "l_linenumber")
 
 
 @query("marked_worklist", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
