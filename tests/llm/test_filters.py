@@ -374,3 +374,26 @@ def test_pipeline_with_nulls_repeats_and_clashing_names(spark, sf_dir, empty):
     assert {r["doc_id"] for r in packed} == {None, 1, 2, 3, 4, 5, 6}
     for _, stage in stages:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_lists_that_tell_keep_every_pair_that_may_link(spark):
+    rnd = random.Random(5)
+    core = set(range(100))
+    texts = [set(rnd.sample(sorted(core), rnd.randint(40, 70))) | {1000 + g * 50 + i for g in rnd.sample(range(6), rnd.randint(1, 2)) for i in rnd.sample(range(50), rnd.randint(5, 45))} for _ in range(60)]
+    texts += [t - {rnd.choice(sorted(t))} | {9000 + i} for i, t in enumerate(texts[:25])]
+    rows = [(0, 0, b, len(t), len(t) + b % 3, len(t & core), len(t & core), b, -1, sorted(t - core)) for b, t in enumerate(texts, 1)]
+    members = spark.createDataFrame(rows, "a long, head int, b long, n long, total long, common long, mass long, label long, centre_label long, added array<long>")
+    lists = near_dup.shared_lists(members).cache()
+    told = near_dup.telling(lists, 0.8).collect()
+    held = {}
+    for r in told:
+        held.setdefault(r["b"], set()).add(r["key"])
+    met = 0
+    for x in range(1, len(texts) + 1):
+        for y in range(x + 1, len(texts) + 1):
+            s, t = texts[x - 1], texts[y - 1]
+            if len(s & t) / len(s | t) >= 0.8 and (s & t) - core:
+                met += 1
+                assert held.get(x, set()) & held.get(y, set()), (x, y)
+    assert met >= 20
+    assert 2 * len(told) < lists.count()

@@ -19,7 +19,8 @@ what shares a bucket is compared on whole texts:
 2. Of two nodes x and y of a bucket that are still apart, likeness is bounded by
    what each shares with the centre, unless they share a shingle that the centre
    lacks. So only those pairs are compared for which the bound allows a link, or
-   that share such a shingle. Shingles that most of a bucket share count as the
+   that share such a shingle, one of the rarest of each text, as many as it
+   could have beyond what a link must share (``telling``). Shingles that most of a bucket share count as the
    centre's; a list of very many nodes with another such shingle is a bucket of the
    next round, with a centre of its own.
 
@@ -346,6 +347,19 @@ def shared_lists(members: DataFrame) -> DataFrame:
     return rows.join(lists, "key")
 
 
+def telling(lists: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``lists`` by which members that may be alike surely meet, without those that count as the centre's.
+
+    Of a likeness of ``threshold`` the partner has that share of a text's mass, so all but ``(1 - threshold) * total`` of
+    its ``n`` shingles at least; ``need`` of these the centre lacks. Who shares ``need`` of a member's lists
+    shares one of those left if ``need - 1`` go; in one order for all, the longest go.
+    """
+    more = F.count(F.when(F.col("most"), 1)).over(W.partitionBy("a", "head", "b"))
+    need = F.col("n") - (1 - threshold) * F.col("total") - F.col("common") - F.col("more") - 1e-6
+    longest = W.partitionBy("a", "head", "b", "n", "total", "common").orderBy(F.desc("length"), F.desc("key"))
+    return lists.withColumn("more", more).where("NOT most").withColumn("nth", F.row_number().over(longest)).where(F.col("nth") >= need).drop("more", "nth")
+
+
 def widened(members: DataFrame, lists: DataFrame) -> DataFrame:
     """``members`` whose centre also has the shingles that most of them share."""
     more = lists.where("most").groupBy("a", "head", "b").agg(F.count("*").alias("more"))
@@ -398,10 +412,11 @@ def linked(docs: DataFrame, profiled: DataFrame, alike: Column, threshold: float
         if mixed.isEmpty():
             break
         lists = stash(shared_lists(mixed), "lists")
-        apart = bounded_pairs(widened(mixed, lists), threshold).unionByName(listed_pairs(lists.where((F.col("length") <= LIST) & ~F.col("most")), threshold)).distinct()
+        told = stash(telling(lists, threshold), "telling")
+        apart = bounded_pairs(widened(mixed, lists), threshold).unionByName(listed_pairs(told.where(F.col("length") <= LIST), threshold)).distinct()
         labels = merged(labels, stash(verify_pairs(apart, texts, size).where(alike), "verified"))
         # Long lists that still hold several classes are the next round's buckets.
-        long = labelled(lists.where((F.col("length") > LIST) & ~F.col("most")).select("key", F.col("b").alias("node")), labels, "node", "label")
+        long = labelled(told.where(F.col("length") > LIST).select("key", F.col("b").alias("node")), labels, "node", "label")
         still = long.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
         live = stash(long.join(still, "key").select("key", "node").distinct(), "buckets")
         if live.isEmpty():
