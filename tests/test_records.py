@@ -112,3 +112,13 @@ def test_record_seen_counts_repeats_once_and_expands_nothing(spark):
     assert records.record_seen(links.limit(0), entries).count() == 0
     # No row is copied for each thing that is counted.
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_offers_read_a_cell_once(spark):
+    df = spark.createDataFrame([(1, "A" * 40, "ACME\\x", "WS (10.0.0.1)"), (2, "no", "-", "WS ()"), (3, None, None, None)], "i long, sha string, user string, host string")
+    takers = [offers.Taker("log*", "sha", "sha1"), offers.Taker("log*", "user", "account"), offers.Taker("log*", "host", "address")]
+    got = offers.offers(Relation("log", df, None, None, "i"), takers)
+    assert sorted((r["row_id"], r["nth"], r["value"], r["domain"]) for r in got.collect()) == [(1, 0, "a" * 40, None), (1, 1, "x", "ACME"), (1, 2, "10.0.0.1", None)]
+    for taker, read in ((takers[0], ind.indicator("sha1", F.col("sha"))), (takers[1], ind.account(F.col("user")))):
+        plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (offers.offers(Relation("log", df, None, None, "i"), [taker]), df.select(read.alias("r")))]
+        assert plans[0].count("RLIKE") == plans[1].count("RLIKE") > 0

@@ -43,17 +43,23 @@ def _offer(column: str, kind: str, ioc_type: str | None, value: Column, domain:
     return F.when(value.isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
-def _taken(taker: Taker, relation: Relation) -> Column:
+def _read(taker: Taker, relation: Relation) -> dict[str, Column]:
+    """What a taker reads in a row, each of it computed once before offers are made of it."""
     cell = relation.text_of(taker.column)
     if taker.take in ("account", "logon_target"):
         text = cell if taker.take == "account" else F.when(cell.startswith(TARGET), F.substring(cell, len(TARGET) + 1, 1 << 30))
-        found = ind.account(text)
-        sid = ind.sid(relation.text_of(taker.sid)) if taker.sid and taker.sid in relation.df.columns else None
-        return _offer(taker.column, "account", None, found["name"], found["domain"], sid)
+        sid = {"sid": ind.sid(relation.text_of(taker.sid))} if taker.sid and taker.sid in relation.df.columns else {}
+        return {"account": ind.account(text), **sid}
     if taker.take == "address":
         inside = F.regexp_extract(cell, r"^(?s:.*) \(((?s:.*))\)\z", 1)  # behind the last opening bracket
-        return _offer(taker.column, "ioc", "ip", F.coalesce(ind.indicator("ip", cell), ind.indicator("ip", inside)))
-    return _offer(taker.column, "ioc", taker.take, ind.indicator(taker.take, cell))
+        return {"value": F.coalesce(ind.indicator("ip", cell), F.when(inside != "", ind.indicator("ip", inside)))}
+    return {"value": ind.indicator(taker.take, cell)}
+
+
+def _taken(taker: Taker, read: dict[str, Column]) -> Column:
+    if taker.take in ("account", "logon_target"):
+        return _offer(taker.column, "account", None, read["account"]["name"], read["account"]["domain"], read.get("sid"))
+    return _offer(taker.column, "ioc", "ip" if taker.take == "address" else taker.take, read["value"])
 
 
 def _same(x: Column, y: Column) -> Column:
@@ -64,11 +70,14 @@ def _same(x: Column, y: Column) -> Column:
 def offers(relation: Relation, takers: list[Taker], path_column: str | None = None) -> DataFrame:
     """relation, row_id, nth and the offer, a row each; of equal offers of a row (ASCII case aside) the first column's. No shuffle."""
     fitting = [t for t in takers if t.fits(relation.name) and t.column in relation.df.columns]
-    found = [_taken(t, relation) for t in fitting]
     if path_column:
-        found.append(_offer(path_column, "ioc", "file_path", ind.indicator("file_path", relation.text_of(path_column))))
-    rows = relation.df.select(F.lit(relation.name).alias("relation"), F.col(relation.row_id).cast("long").alias("row_id"), F.array_compact(F.array(*[f.cast(OFFER) for f in found]).cast(f"array<{OFFER}>")).alias("all"))
+        fitting.append(Taker("*", path_column, "file_path"))
+    cells = [_read(t, relation) for t in fitting]
+    read = relation.df.select(F.lit(relation.name).alias("relation"), F.col(relation.row_id).cast("long").alias("row_id"), *[c.alias(f"_{i}_{part}") for i, parts in enumerate(cells) for part, c in parts.items()])
+    found = [_taken(t, {part: F.col(f"_{i}_{part}") for part in cells[i]}) for i, t in enumerate(fitting)]
+    rows = read.select("relation", "row_id", F.array_compact(F.array(*[f.cast(OFFER) for f in found]).cast(f"array<{OFFER}>")).alias("all"))
     first = F.filter("all", lambda x, i: ~F.exists(F.slice("all", F.lit(1), i), lambda y: _same(x, y)))
+    first = F.when(F.size("all") < 2, F.col("all")).otherwise(first)
     return rows.select("relation", "row_id", F.posexplode(first).alias("nth", "o")).select("relation", "row_id", "nth", "o.*")
 
 
