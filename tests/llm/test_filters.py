@@ -218,6 +218,53 @@ def test_no_pair_of_unlike_texts_is_compared_for_nothing(spark, monkeypatch):
     assert got == brute_classes(rows) and sum(asked) < 20 * len(rows)
 
 
+def test_crowded_centres_are_settled_in_one_pass_over_their_texts(spark, monkeypatch):
+    # Long lists below the centre, in several pieces, and texts that no bucket holds: those are not read again.
+    draw, rows, asked = random.Random(9), [], []
+    frame, passage = [f"w{i}" for i in range(160)], [f"p{i}" for i in range(60)]
+    for k in range(180):
+        words = frame + passage if k % 2 else list(frame)
+        for at in draw.sample(range(160), 6 if k % 9 else 2):
+            words[at] = f"x{k // 9 if k % 9 == 1 else k}at{at}"
+        rows.append((k, " ".join(words + words[:5] * 3 if k % 5 == 0 else words)))
+    rows += [(k, " ".join(f"lone{k}w{i}" for i in range(30))) for k in range(180, 280)]
+    true = near_dup.measured
+    monkeypatch.setattr(near_dup, "PIECE", 40)
+    monkeypatch.setattr(near_dup, "measured", lambda pairs, texts, *rest, **named: (asked.append(texts.count()), true(pairs, texts, *rest, **named))[1])
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(table(spark, rows)).collect()}
+    assert got == brute_classes(rows) and len(asked) <= 2 and max(asked) <= 180
+
+
+def test_pairs_counted_in_blocks():
+    draw = random.Random(5)
+    for turn in range(30):
+        sets = [collections.Counter({k: 1 for k in draw.sample(range(40), draw.randint(25, 38))} | ({draw.randrange(40): 9} if turn % 2 else {})) for _ in range(24)]
+        owner, shingles, n = (np.array(x) for x in zip(*((i, k, x[k]) for i, x in enumerate(sets) for k in sorted(x))))
+        slot, label, stranger = (np.array([draw.randrange(m) for _ in sets]) for m in (2 if turn % 3 else 1, 6, 2))
+        stranger = stranger.astype(bool)
+        got = [tuple(p) for p in near_dup.apart_within(owner, shingles.astype(np.uint64), n, slot, label, stranger, 0.8)]
+        links = set()
+        for x in range(24):
+            for y in range(x):
+                both = set(sets[x]) & set(sets[y])
+                share = [{k: v / z.total() for k, v in z.items()} for z in (sets[x], sets[y])]
+                chance = sum(1 / sum(max(share[0].get(j, 0) / share[0][i], share[1].get(j, 0) / share[1][i]) for j in set(sets[x]) | set(sets[y])) for i in both)
+                if max(len(both) / len(set(sets[x]) | set(sets[y])), chance) >= 0.8 and (stranger[x] or stranger[y]) and (slot.max() == slot.min() or slot[x] != slot[y]):
+                    links.add((label[x], label[y]))
+
+        def joined(pairs):
+            of = list(range(6))
+            for _ in of:
+                for a, b in pairs:
+                    of[a] = of[b] = min(of[a], of[b])
+            return of
+
+        assert all(label[x] != label[y] for x, y in got)
+        plain = joined(links)
+        reached = joined([(label[x], label[y]) for x, y in got])
+        assert all(reached[a] == reached[b] for a in range(6) for b in range(6) if plain[a] == plain[b])
+
+
 def test_texts_of_one_id_are_one_class(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
     rows = [(1, two), (2, one), (2, two), (3, one + " end"), (4, two + " end"), (5, "other words that are alone here")]

@@ -16,16 +16,13 @@ what shares a bucket is compared on whole texts:
 
 1. Each bucket has a centre, the node that shares most buckets with most others.
    Every node of the bucket is compared with it. That settles nearly all of a group.
-2. Of two nodes x and y of a bucket that are still apart, likeness is bounded by
-   what each shares with the centre, unless they share a shingle that the centre
-   lacks. So only those pairs are compared for which the bound allows a link, or
-   that share such a shingle, one of the rarest of each text, as many as it
-   could have beyond what a link must share (``telling``). Shingles that most of a bucket share count as the
-   centre's; a list of very many nodes with another such shingle is a bucket of the
-   next round, with a centre of its own.
-
-No pair of a bucket is left out that could be a link, and none is made that the
-bounds rule out, so a group of texts just too unlike costs no square of its size.
+2. Of the nodes of a centre that are of different classes then, all pairs are counted: what each two share comes
+   from products of matrices over their shingles, in blocks of two pieces of ``PIECE`` nodes
+   that are dealt out (``counted_pairs``). Only pairs that are links, or may be by their repeats, leave a
+   block, of the sure ones as many as join their classes. They are verified like the first.
+
+No pair of a bucket is left out that could be a link, and no row is made for one that is none: a group of
+texts just too unlike costs products of its size squared, but its texts are read once for each piece.
 Classes are connected components, found by label propagation in Spark.
 
 Likeness of two texts is the greater of probability Jaccard (counts) and plain
@@ -53,10 +50,12 @@ from vestige.llm.shingles import distinct_shingles, groups, spread
 
 REGISTERS = 192
 BAND = 6
-#: A list of nodes that share a shingle is joined with itself up to this length; a longer one gets a centre of its own.
-LIST = 64
-#: Partners of one node that are verified in one piece, and members of a centre that are joined in one.
+#: Partners of one node that are verified in one piece, and members of a centre that are counted in one.
 PIECE = 500
+#: Shingles of a piece that is counted, and columns of the matrices that are multiplied at once.
+PIECE_SHINGLES, COLUMNS = 500_000, 2048
+#: Nodes of buckets up to which their ids are broadcast to fetch their texts (8 bytes each); more are joined by shuffle.
+MOST_NODES = 1_000_000
 #: Pairs up to which they are broadcast to the texts (24 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 250_000
 #: Bytes of partners' texts that are taken apart at once.
@@ -196,15 +195,13 @@ def probability_jaccard(x: np.ndarray, y: np.ndarray, x_total: float, y_total: f
     return float((1 / sums).sum())
 
 
-MEASURED = "a long, head int, b long, jaccard double, probability_jaccard double, n long, total long, common long, mass long, added array<long>"
+MEASURED = "a long, b long, jaccard double, probability_jaccard double, n long"
 
 
-def measured(pairs: DataFrame, texts: DataFrame, size: int = 5, with_added: bool = True) -> DataFrame:
-    """Each pair of ids compared on whole texts.
+def measured(pairs: DataFrame, texts: DataFrame, size: int = 5) -> DataFrame:
+    """Each pair of ids compared on whole texts; ``n``: distinct shingles of b.
 
-    ``n``, ``total``: shingles of b, without and with repeats; ``common``,
-    ``mass``: those of them that a has; ``added``: those it lacks. An id with
-    several texts has a row for each, ``head`` numbers those of a. An id with many
+    An id with several texts has a row for each. An id with many
     partners is dealt out in pieces; its own text goes to each piece, its
     partners' texts to one.
     """
@@ -235,15 +232,9 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int = 5, with_added: bool
                     held += len(text[end])
                     end += 1
                 others = distinct_shingles([t.encode() for t in text[at:end]], size)
-                for number, one in enumerate(heads):
+                for one in heads:
                     x = Comparison(one, others, end - at)
-                    lacking = ~x.in_common if with_added else np.zeros(len(x.in_common), bool)
-                    offsets = np.searchsorted(x.owner[lacking], np.arange(end - at + 1)).astype(np.int32)
-                    columns = [
-                        pa.array([group[0]] * (end - at), pa.int64()), pa.array([number] * (end - at), pa.int32()), pa.array(b_ids[at:end], pa.int64()),
-                        pa.array(x.plain, pa.float64()), pa.array(x.chance, pa.float64()), pa.array(x.kinds, pa.int64()), pa.array(x.total, pa.int64()),
-                        pa.array(x.common, pa.int64()), pa.array(x.mass, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.theirs[lacking].astype(np.int64))),
-                    ]
+                    columns = [pa.array([group[0]] * (end - at), pa.int64()), pa.array(b_ids[at:end], pa.int64()), pa.array(x.plain, pa.float64()), pa.array(x.chance, pa.float64()), pa.array(x.kinds, pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in MEASURED.split(", ")])
                 at = end
 
@@ -252,7 +243,7 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int = 5, with_added: bool
 
 def verify_pairs(pairs: DataFrame, texts: DataFrame, size: int = 5) -> DataFrame:
     """(a, b, jaccard, probability_jaccard) of each pair of ids, on whole texts."""
-    return measured(pairs, texts, size, with_added=False).select("a", "b", "jaccard", "probability_jaccard")
+    return measured(pairs, texts, size).select("a", "b", "jaccard", "probability_jaccard")
 
 
 # Classes ---------------------------------------------------------------------
@@ -298,47 +289,11 @@ def starred(live: DataFrame, score: DataFrame) -> DataFrame:
     return live.join(best, "key").where("a != node").select("a", F.col("node").alias("b")).distinct()
 
 
-def may_link(threshold: float) -> Column:
-    """Whether x and y may be alike if all they share is in their centre.
-
-    At most ``s`` shingles are shared, the smaller of both ``common``. With M the
-    share of a text that lies in what both have, likeness is 1 / (1/Mx + 1/My - 1)
-    for sets, and at most that for counts. Of counts, M is at most the mass in the
-    centre, and at most ``s`` and all repeats.
-    """
-    reach = 1 + 1 / threshold + 1e-9
-    s = F.least("x.common", "y.common")
-
-    def inverse(t: str) -> Column:
-        most = F.least(F.col(f"{t}.mass"), s + F.col(f"{t}.total") - F.col(f"{t}.n"))
-        return F.col(f"{t}.total") / F.greatest(most, F.lit(1))
-
-    plain = F.col("x.n") + F.col("y.n") <= reach * s
-    repeats = (F.col("x.total") > F.col("x.n")) | (F.col("y.total") > F.col("y.n"))
-    return (s > 0) & (plain | repeats & (inverse("x") + inverse("y") <= reach))
-
-
-def bounded_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """(x, y): members of one centre, of different classes, that ``may_link``. One of them at least isn't of the centre's class."""
-    reach = 1 + 1 / threshold + 1e-9
-    narrow = members.select("a", "head", "b", "n", "total", "common", "mass", "label", "centre_label")
-    about = narrow.groupBy("a", "head").agg(F.min("n").alias("least"), F.bool_or(F.col("total") > F.col("n")).alias("any_repeats"), F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    strangers = narrow.where("label != centre_label").join(about, ["a", "head"])
-    plain = F.col("n") + F.col("least") <= reach * F.col("common")
-    counted = F.col("any_repeats") & (F.col("total") <= (reach - 1) * F.col("mass"))
-    x = strangers.where(plain | counted).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).alias("x")
-    y = narrow.join(about.select("a", "head", "pieces"), ["a", "head"]).withColumn("piece", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int")).alias("y")
-    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.head") == F.col("y.head")) & (F.col("x.piece") == F.col("y.piece"))
-    # Two strangers are met from both sides.
-    once = (F.col("y.label") == F.col("y.centre_label")) | (F.col("x.b") < F.col("y.b"))
-    return x.join(y, same & (F.col("x.label") != F.col("y.label")) & once & may_link(threshold)).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
-
-
 def shared_lists(members: DataFrame) -> DataFrame:
     """A row for each shingle that a member has and its centre lacks, where members of several classes share it.
 
     ``key`` names the list, ``length`` its rows; ``most``: whether more than
-    half of the centre's members are in it.
+    half of the centre's members are in it. The classes are found without it since ``counted_pairs``.
     """
     rows = members.select("a", "head", "b", "n", "total", "common", "label", F.explode("added").alias("z")).withColumn("key", F.xxhash64("a", "head", "z")).drop("z")
     sizes = members.groupBy("a", "head").agg(F.count("*").alias("size"))
@@ -360,22 +315,104 @@ def telling(lists: DataFrame, threshold: float) -> DataFrame:
     return lists.withColumn("more", more).where("NOT most").withColumn("nth", F.row_number().over(longest)).where(F.col("nth") >= need).drop("more", "nth")
 
 
-def widened(members: DataFrame, lists: DataFrame) -> DataFrame:
-    """``members`` whose centre also has the shingles that most of them share."""
-    more = lists.where("most").groupBy("a", "head", "b").agg(F.count("*").alias("more"))
-    out = members.join(more, ["a", "head", "b"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
-    mass = F.when(F.col("more") > 0, F.least("total", F.col("mass") + F.col("more") + F.col("total") - F.col("n"))).otherwise(F.col("mass"))
-    return out.withColumns({"common": F.least("n", F.col("common") + F.col("more")), "mass": mass}).drop("more")
+def in_common(owner: np.ndarray, shingles: np.ndarray, rows: np.ndarray, columns: np.ndarray, texts: int) -> np.ndarray:
+    """How many shingles each text of ``rows`` shares with each of ``columns``; ``shingles`` are distinct within their ``owner``."""
+    order = np.argsort(shingles, kind="stable")
+    ordered, of = shingles[order], owner[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, bool)
+    kind = np.cumsum(new) - 1
+    several = np.bincount(kind)[kind] > 1 if len(kind) else new
+    kind, of = np.unique(kind[several], return_inverse=True)[1], of[several]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for first in range(0, int(kind.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(kind, [first, first + COLUMNS])
+        held = np.zeros((texts, COLUMNS), np.float32)
+        held[of[a:b], kind[a:b] - first] = 1
+        out += held[rows] @ held[columns].T
+    return out
+
+
+def apart_within(owner: np.ndarray, shingles: np.ndarray, counts: np.ndarray, slot: np.ndarray, label: np.ndarray, stranger: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs (rows of two places) of texts of different labels that are links, or may be by repeats.
+
+    Where there are two slots, only pairs across them. ``stranger``: not of the centre's class; one of two is. Of pairs that are links by
+    plain likeness, as many as join all their labels.
+    """
+    texts = len(slot)
+    n = np.bincount(owner, minlength=texts)
+    total = np.bincount(owner, counts, minlength=texts).astype(np.int64)
+    across = slot.min() != slot.max()
+    sides = [(stranger & (slot == slot.min()), slot == slot.max()), (~stranger & (slot == slot.min()), stranger & (slot == slot.max()))] if across else [(stranger, np.ones(texts, bool))]
+    sure, open_ = [], []
+    for left, right in sides:
+        rows, columns = np.flatnonzero(left), np.flatnonzero(right)
+        if not len(rows) or not len(columns):
+            continue
+        s = in_common(owner, shingles, rows, columns, texts).astype(np.float64)
+        apart = (label[rows][:, None] != label[columns]) & (s > 0)
+        plain = apart & (s / np.maximum(n[rows][:, None] + n[columns] - s, 1) >= threshold)
+        sure.append(np.stack([rows[(at := np.nonzero(plain))[0]], columns[at[1]]], axis=1))
+        if (total > n).any():
+            inverse = [total[t] / np.maximum(np.minimum(total[t], s_t + total[t] - n[t]), 1) for t, s_t in ((rows, s.T), (columns, s))]
+            may = apart & ~plain & ((total > n)[rows][:, None] | (total > n)[columns]) & (inverse[0].T + inverse[1] <= 1 + 1 / threshold + 1e-9)
+            open_.append(np.stack([rows[(at := np.nonzero(may))[0]], columns[at[1]]], axis=1))
+    found = np.concatenate(sure) if sure else np.zeros((0, 2), np.int64)
+    between = np.unique(np.sort(label[found], axis=1), axis=0, return_index=True)[1]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for pair in found[between]:
+        x, y = (top(int(v)) for v in label[pair])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(pair)
+    kept += [pair for pair in (np.concatenate(open_) if open_ else ()) if top(int(label[pair[0]])) != top(int(label[pair[1]]))]
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+def counted_pairs(members: DataFrame, texts: DataFrame, threshold: float, size: int = 5) -> DataFrame:
+    """(a, b): members of one centre, of different classes, that are links by plain likeness, or may be by repeats; of the former as many as join their classes.
+
+    Members are dealt out in pieces, each two pieces meet in one group: a text is read once for each piece of its centre.
+    """
+    spark = texts.sparkSession
+    one = members.groupBy("a", "b", "label", "centre_label").agg(F.max("n").alias("n"))
+    about = one.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / PIECE), F.ceil(F.sum("n") / PIECE_SHINGLES)).cast("int").alias("pieces"))
+    slots = one.join(about, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    dealt = slots.select("a", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), "slot", "b", "label", (F.col("label") != F.col("centre_label")).alias("stranger"))
+    group = ("a", "low", "high")
+    streams = dealt.join(texts, F.col("b") == F.col("doc_id")).select(*group, "slot", "b", "label", "stranger", "text").repartition(partitions(spark), *group).sortWithinPartitions(*group)
+
+    def found(held: list[tuple]) -> pa.RecordBatch:
+        slot, b, label, stranger, text = zip(*held)
+        parts, at = [], 0
+        for part in groups((t.encode() for t in text), BLOCK):
+            owner, shingles, counts = distinct_shingles(part, size)
+            parts.append((owner + at, shingles, counts))
+            at += len(part)
+        ids = np.array(b, np.int64)
+        pairs = np.sort(ids[apart_within(*(np.concatenate(x) for x in zip(*parts)), np.array(slot), np.array(label, np.int64), np.array(stranger, bool), threshold)], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if row[:3] != now:
+                    if any(h[3] for h in held):
+                        yield found(held)
+                    now, held = row[:3], []
+                held.append(row[3:])
+        if any(h[3] for h in held):
+            yield found(held)
 
-def listed_pairs(lists: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of different classes that share a list; at most half a list's length for each of its rows."""
-    reach = 1 + 1 / threshold + 1e-9
-    x, y = lists.alias("x"), lists.alias("y")
-    most = F.least("x.common", "y.common") + F.least(F.col("x.n") - F.col("x.common"), F.col("y.n") - F.col("y.common"))
-    repeats = (F.col("x.total") > F.col("x.n")) | (F.col("y.total") > F.col("y.n"))
-    may = repeats | (F.col("x.n") + F.col("y.n") <= reach * most)
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.label") != F.col("y.label")) & may).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    return map_batches(streams, work, "a long, b long").distinct()
 
 
 def same_ids(known: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -393,7 +430,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame
 def linked(docs: DataFrame, profiled: DataFrame, alike: Column, threshold: float, size: int) -> DataFrame:
     """The classes of ``docs``, whose rows have the profiles and bands ``profiled``, by links for which ``alike`` holds.
 
-    ``alike`` may ask for more than that one likeness reaches ``threshold``, not for less.
+    ``alike`` must hold where plain Jaccard reaches ``threshold``; elsewhere it may ask for more than that one likeness does, not for less.
     """
     known = stash(profiled, "profiles")
     nodes = stash(known.where("n_shingles > 0").groupBy("p1", "p2").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")).where("node IS NOT NULL"), "nodes")
@@ -401,26 +438,19 @@ def linked(docs: DataFrame, profiled: DataFrame, alike: Column, threshold: float
     buckets = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = stash(rows.join(buckets, "key"), "buckets")
     score = stash(live.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score")), "score")
+    # Only nodes that share a bucket are ever compared: later steps read their texts alone.
+    few = score.limit(MOST_NODES + 1).count() <= MOST_NODES
+    wanted = score.select(F.col("node").alias("doc_id"))
     texts = own_columns(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    texts = stash(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "texts")
     labels = merged(docs.sparkSession.createDataFrame([], "node long, label long"), same_ids(known, nodes))
-    while True:
-        members = stash(measured(starred(live, score), texts, size).withColumn("alike", alike), "members")
-        labels = merged(labels, members.where("alike"))
-        named = labelled(labelled(members.drop("alike", "jaccard", "probability_jaccard"), labels, "a", "centre_label"), labels, "b", "label")
-        mixed = named.join(named.where("label != centre_label").select("a").distinct(), "a", "left_semi")
-        mixed = stash(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        lists = stash(shared_lists(mixed), "lists")
-        told = stash(telling(lists, threshold), "telling")
-        apart = bounded_pairs(widened(mixed, lists), threshold).unionByName(listed_pairs(told.where(F.col("length") <= LIST), threshold)).distinct()
+    members = stash(measured(starred(live, score), texts, size).withColumn("alike", alike), "members")
+    labels = merged(labels, members.where("alike"))
+    named = labelled(labelled(members.select("a", "b", "n"), labels, "a", "centre_label"), labels, "b", "label")
+    mixed = stash(named.join(named.where("label != centre_label").select("a").distinct(), "a", "left_semi"), "mixed")
+    if not mixed.isEmpty():
+        apart = counted_pairs(mixed, texts, threshold, size)
         labels = merged(labels, stash(verify_pairs(apart, texts, size).where(alike), "verified"))
-        # Long lists that still hold several classes are the next round's buckets.
-        long = labelled(told.where(F.col("length") > LIST).select("key", F.col("b").alias("node")), labels, "node", "label")
-        still = long.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-        live = stash(long.join(still, "key").select("key", "node").distinct(), "buckets")
-        if live.isEmpty():
-            break
     named = nodes.select("p1", "p2", F.col("node").alias("profile_id")).join(labels.withColumnRenamed("node", "profile_id"), "profile_id", "left")
     own = known.select("doc_id", "p1", "p2", "n_shingles").join(named.select("p1", "p2", "profile_id", F.coalesce("label", "profile_id").alias("class_id")), ["p1", "p2"], "left")
     empty = F.col("n_shingles") == 0
